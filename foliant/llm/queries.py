@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import quality
+from foliant.llm import quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
+    "op3_simhash_near_dedup": simhash.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
