@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import quality, simhash
+from foliant.llm import quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
     "op3_simhash_near_dedup": simhash.query,
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
