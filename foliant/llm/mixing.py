@@ -5,8 +5,8 @@ weight until none is above). A document of a source with ratio r = target / sour
 once more with probability r - floor(r). The cube method draws those extra copies: a flight phase moves the fractional
 probabilities of three documents at a time through the null space of two constraints (the number of documents and
 their total size) until at most two stay fractional. Flights run first within blocks of at most about `block` documents of
-one source, then over what the blocks left; only that small landing problem, at most two documents a source, is
-rounded, to the outcome nearest to the source's target. A source of any share of the rows is split over many blocks.
+one source, then over what the blocks left; only a small landing problem, a dozen documents a source, is rounded, to
+the outcome nearest to the source's target. A source of any share of the rows is split over many blocks.
 
 A null text has size 0; null sources are a source of their own, last in order. Rows with the same id, source and size
 are one unit of the draw, of their number and size together. An empty table gives an empty result. Totals are
@@ -19,6 +19,7 @@ from __future__ import annotations
 import random
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,30 +76,35 @@ def flight(p: list[float], n: list[int], x: list[int], rng: random.Random) -> li
         active = [k for k in active if 0 < p[k] < 1]
 
 
-def landing(p: list[float], x: list[int]) -> list[float]:
-    """Rounds the last fractional units (two at most) to the outcome whose size is nearest to what is due."""
+def landing(p: list[float], n: list[int], x: list[int]) -> list[float]:
+    """Rounds the last fractional units (a dozen at most) to the outcome whose size is nearest to what is due, then its rows."""
     rest, out = [k for k, v in enumerate(p) if 0 < v < 1], list(p)
-    due = sum(p[k] * x[k] for k in rest)
-    best = min(range(1 << len(rest)), key=lambda m: (abs(sum(x[k] for i, k in enumerate(rest) if m >> i & 1) - due), m))
-    for i, k in enumerate(rest):
-        out[k] = float(best >> i & 1)
+    taken = np.arange(1 << len(rest))[:, None] >> np.arange(len(rest)) & 1
+    size, rows = (abs(taken @ np.array([v[k] for k in rest], float) - sum(p[k] * v[k] for k in rest)) for v in (x, n))
+    best = np.lexsort((rows, size))[0]
+    for k, v in zip(rest, taken[best].tolist()):
+        out[k] = float(v)
     return out
 
 
+#: Units of a source that wait for the landing, besides the two that a flight leaves.
+_WAIT = 10
+
+
 def cube_sample(units: DataFrame, block: int = 2000, seed: int = 11) -> DataFrame:
     """units (_group, _p, _n, size, and an id _key) with _p moved to 0 or 1, balanced within each _group.
 
-    A flight leaves two open units of a block, so each level has about block / 2 times fewer; the last one lands. Large
-    units fly first, so those left to the landing are small.
+    A flight leaves two open units of a block, so each level has about block / 2 times fewer; the last one lands.
     """
     schema, done, level = units.schema, [], 0
 
     def run(last: bool):
         def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "_order"], ascending=[False, True], kind="stable").reset_index(drop=True)
-            p, x = pdf["_p"].tolist(), pdf["size"].tolist()
-            p = flight(p, pdf["_n"].tolist(), x, random.Random(f"{seed} {level} {pdf['_group'].iloc[0]} {pdf['_order'].iloc[0]}"))
-            return pdf.assign(_p=landing(p, x) if last else p)[schema.names]
+            pdf = pdf.sort_values("_order", kind="stable").reset_index(drop=True)
+            p, n, x = (pdf[c].tolist() for c in ("_p", "_n", "size"))
+            rng, fly = random.Random(f"{seed} {level} {pdf['_group'].iloc[0]} {pdf['_order'].iloc[0]}"), max(0, len(p) - _WAIT * last)
+            p = flight(p[:fly], n[:fly], x[:fly], rng) + p[fly:]
+            return pdf.assign(_p=landing(p, n, x) if last else p)[schema.names]
 
         return settle
 

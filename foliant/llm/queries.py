@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import mixing, quality, simhash, toxicity
+from foliant.llm import mixing, quality, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
     "op3_simhash_near_dedup": simhash.query,
+    "op4_token_files": tokens.query,
     "op8_mixing": mixing.query,
     "op9_toxicity": toxicity.query,
 }
