@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import mixing, quality, simhash, tokens, toxicity
+from foliant.llm import mixing, neighbours, quality, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": tokens.query,
     "op8_mixing": mixing.query,
     "op9_toxicity": toxicity.query,
+    "op10_neighbours": neighbours.query,
 }
 
 ORACLE_SQL: dict[str, str] = {

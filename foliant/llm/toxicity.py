@@ -182,12 +182,12 @@ def fit_on(rows: DataFrame, **kwargs) -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold); columns of those names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits numbers, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # 2^bits numbers, whatever the input
     cols = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*cols).schema.add("score", "double").add("predicted", "int")
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(**shared.value))
         for b in batches:
             s = pa.array([scorer(t) for t in b.column(cols.index(text)).to_pylist()], pa.float64())
             p = pa.array(np.asarray(s) >= threshold).cast(pa.int32())
