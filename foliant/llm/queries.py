@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import chat, mixing, neighbours, quality, simhash, tokens, toxicity
+from foliant.llm import chat, mixing, neighbours, quality, repeats, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
     "op2_chat_windows": chat.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_token_files": tokens.query,
+    "op5_substring_dedup": repeats.query,
     "op8_mixing": mixing.query,
     "op9_toxicity": toxicity.query,
     "op10_neighbours": neighbours.query,
