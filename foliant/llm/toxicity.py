@@ -105,8 +105,8 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(texts: list[str | None], labels: list[int], dim: int = 8, bits: int = 18, window: int = 8, rounds: int = 8, epochs: int = 2, rate: float = 0.4, seed: int = 7) -> Model:
-    """Embeddings and softmax, learned together. Deterministic for given rows in a given order."""
+def fit(texts: list[str | None], labels: list[int], dim: int = 8, bits: int = 18, window: int = 8, rounds: int = 8, epochs: int = 2, least: int = 200, rate: float = 0.4, seed: int = 7) -> Model:
+    """Embeddings and softmax, learned together, in `least` steps a round at least. Deterministic for given rows in a given order."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1), 0.0, 0, window, constant=float(y[0]) if len(y) else 0.0)
@@ -136,7 +136,7 @@ def fit(texts: list[str | None], labels: list[int], dim: int = 8, bits: int = 18
             at = {int(_passage_logits(v[d], window).argmax())} if turn else set(rng.integers(0, last, 4 if label else 1).tolist())
             at |= {int(rng.integers(0, last))} if not label else set()
             spans += [(d[a : a + window], label) for a in at]
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-least * 64 // max(1, len(spans))))):
             order = rng.permutation(len(spans))
             for lo in range(0, len(order), 64):
                 batch = [spans[i] for i in order[lo : lo + 64]]
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     """docs with score (0 to 1) and predicted (1 if score >= threshold); columns of those names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # 2^bits numbers, whatever the input
     cols = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*cols).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*cols).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches):
         scorer = Scorer(Model(**shared.value))
