@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import chat, mixing, neighbours, quality, repeats, simhash, tokens, toxicity
+import corpus_pipeline
+from foliant.llm import chat, mixing, neighbours, ngrams, packing, quality, repeats, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
@@ -14,9 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": simhash.query,
     "op4_token_files": tokens.query,
     "op5_substring_dedup": repeats.query,
+    "op6_lm_scoring": ngrams.query,
+    "op7_best_fit_packing": packing.query,
     "op8_mixing": mixing.query,
     "op9_toxicity": toxicity.query,
     "op10_neighbours": neighbours.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

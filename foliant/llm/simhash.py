@@ -132,7 +132,7 @@ def _signed(x: int) -> int:
 def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
     """Star links (a, b), a > b, between the documents of nodes (fp, doc; fp distinct) within the radius."""
     count, agree = nodes.count(), 1
-    while count > shard_rows << (64 * agree // (radius + agree)):
+    while count > 64 << (64 * agree // (radius + agree)):  # shards of 64 on average
         agree += 1
     masks = _block_masks(radius + agree)
     choices = [sum(masks[i] for i in c) for c in combinations(range(radius + agree), agree)]
