@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.plans import catalog
+
+_PLANS = (catalog,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return reduce(lambda a, b: a | b.QUERIES, _PLANS, {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return reduce(lambda a, b: a | b.ORACLE_SQL, _PLANS, {})
