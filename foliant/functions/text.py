@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 _ENDS = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, _ENDS, "")
 
@@ -146,7 +151,7 @@ def normalize_latex(c: Column) -> Column:
     s = strip(c)
     for pattern in _WRAPPERS:
         s = F.regexp_replace(s, pattern, "")
-    return F.when(s.contains(_BEGIN) & ~s.contains(_END), F.concat(s, F.lit(f"\n\n{_END}\n"))).otherwise(s)
+    return let(s, lambda x: F.when(x.contains(_BEGIN) & ~x.contains(_END), F.concat(x, F.lit(f"\n\n{_END}\n"))).otherwise(x))
 
 
 def extract_block(c: Column, tag: str) -> Column:
@@ -164,7 +169,7 @@ def plausible_fix(old: Column, new: Column) -> Column:
 
 def _before_document(c: Column, snippet: Column) -> Column:
     """Puts a line before the document's begin, unless the source has it."""
-    at = F.instr(c, _BEGIN)
+    at = F.locate(_BEGIN, c)
     put = F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), snippet, F.lit("\n"), F.substring(c, at, F.length(c)))).otherwise(F.concat(F.regexp_replace(c, r"\s+$", ""), F.lit("\n"), snippet, F.lit("\n")))
     return F.when(F.contains(c, snippet), c).otherwise(put)
 
@@ -189,26 +194,39 @@ def prepare_latex(c: Column) -> Column:
         c = F.regexp_replace(c, rf"\\(footnote|footnotemark|footnotetext)\s*\[{re.escape(sign)}\]", rf"\\$1[{number}]")
     c = F.regexp_replace(c, r"(?<!\$)(\d)\\cdot(?=\d)", r"$1\$\\cdot\$")
     for used, name in _NEEDS:
-        loaded = c.rlike(rf"\\usepackage(?:\[[^\]]*\])?\{{[^}}]*\b{name}\b[^}}]*\}}")
-        c = F.when(c.rlike(used) & ~loaded, _before_document(c, F.lit(f"\\usepackage{{{name}}}"))).otherwise(c)
+        c = let(c, _loader(used, name))
     return c
 
 
+def _loader(used: str, name: str):
+    return lambda c: _with_package(c, used, name)
+
+
+def _with_package(c: Column, used: str, name: str) -> Column:
+    loaded = c.rlike(rf"\\usepackage(?:\[[^\]]*\])?\{{[^}}]*\b{name}\b[^}}]*\}}")
+    return F.when(c.rlike(used) & ~loaded, _before_document(c, F.lit(f"\\usepackage{{{name}}}"))).otherwise(c)
+
+
 def apply_layout(c: Column, font_pt: Column, geometry: Column, note: Column) -> Column:
     """The class's font size and the page geometry set from a layout profile, and a comment that says so."""
+    c = let(c, lambda x: _sized(x, font_pt))
+    set_, old = F.concat(F.lit("\\geometry{"), geometry, F.lit("}")), r"(?s)^(.*?)\\geometry\{[^}]*\}(.*)$"
+    loaded = lambda x: F.when(x.rlike(old) | x.contains("\\usepackage{geometry}"), x).otherwise(_before_document(x, F.lit("\\usepackage{geometry}")))
+    placed = lambda x: F.when(x.rlike(old), F.concat(F.regexp_extract(x, old, 1), set_, F.regexp_extract(x, old, 2))).otherwise(_before_document(x, set_))
+    return let(let(let(c, loaded), placed), lambda x: _before_document(x, F.concat(F.lit("% Auto layout profile: "), note)))
+
+
+def _sized(c: Column, font_pt: Column) -> Column:
+    """The class with a font size for its first option."""
     klass = r"(?s)^(.*?)\\documentclass(?:\[([^\]]*)\])?\{([^}]+)\}(.*)$"
     part = lambda i: F.regexp_extract(c, klass, i)
     options = F.filter(F.transform(F.split(part(2), ","), strip), lambda o: (o != "") & ~o.rlike(r"^\d+pt$"))
     options = F.array_join(F.concat(F.array(F.concat(font_pt.cast("string"), F.lit("pt"))), options), ",")
-    sized = F.when(c.rlike(klass), F.concat(part(1), F.lit("\\documentclass["), options, F.lit("]{"), part(3), F.lit("}"), part(4))).otherwise(c)
-    set_, old = F.concat(F.lit("\\geometry{"), geometry, F.lit("}")), r"(?s)^(.*?)\\geometry\{[^}]*\}(.*)$"
-    fresh = _before_document(F.when(sized.contains("\\usepackage{geometry}"), sized).otherwise(_before_document(sized, F.lit("\\usepackage{geometry}"))), set_)
-    placed = F.when(sized.rlike(old), F.concat(F.regexp_extract(sized, old, 1), set_, F.regexp_extract(sized, old, 2))).otherwise(fresh)
-    return _before_document(placed, F.concat(F.lit("% Auto layout profile: "), note))
+    return F.when(c.rlike(klass), F.concat(part(1), F.lit("\\documentclass["), options, F.lit("]{"), part(3), F.lit("}"), part(4))).otherwise(c)
 
 
 def tex_length(x: Column, unit: str) -> Column:
-    s = F.format_string("%.2f", x.cast("double"))
+    s = F.format_string("%.2f", F.bround(x.cast("double"), 2))
     return F.concat(F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", ""), F.lit(unit))
 
 
@@ -334,7 +352,7 @@ def sample_evenly(values: Column, k: int) -> Column:
 def page_snippet(original: Column, korean: Column, empty: str = "No extracted text available.") -> Column:
     """The first 140 characters of a page's text, the original's if there is one."""
     s = strip(F.regexp_replace(F.coalesce(original, korean, F.lit("")), r"(?U)\s+", " "))
-    return F.when(s == "", empty).when(F.length(s) > 140, F.concat(F.rtrim(F.substring(s, 1, 137)), F.lit("..."))).otherwise(s)
+    return let(s, lambda x: F.when(x == "", empty).when(F.length(x) > 140, F.concat(F.rtrim(F.substring(x, 1, 137)), F.lit("..."))).otherwise(x))
 
 
 def page_availability(original: Column, korean: Column) -> Column:

@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import catalog
+from foliant.plans import catalog, text
 
-_PLANS = (catalog,)
+_PLANS = (catalog, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
