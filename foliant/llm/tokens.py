@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -109,43 +110,83 @@ class Reader:
 
 
 _DOUBLE = re.compile(r"\s\s")
+_MARKS = ".,!?;:"
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters by which byte-level BPE writes bytes: printable ones themselves, others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (chr(256 + i) for i in range(256))
+    return {b: chr(b) if b in own else next(rest) for b in range(256)}
 
 
 class Encoder:
     """Encodes texts with a byte-level BPE of the tokenizers library; keeps the ids of pieces it has seen, up to a bound.
 
     A single space after a character that is no white space always starts a pre-token, so the pieces of a text between
-    such spaces encode one by one. Texts with white space in a row are encoded as a whole.
+    such spaces encode one by one, and a piece of letters, or of letters and then marks, is one pre-token or two, which
+    go to the library's BPE model without its pre-tokenizer. A single line feed is a pre-token of its own. Texts with white space in a row are encoded as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer, self.keep, self.known, self.marks = Tokenizer.from_file(path), keep, {}, {}
+        self.model, self.bytes = self.tokenizer.model, _byte_characters()
+        self.feed = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
+        self.direct = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece after a space, or after a line feed, with which it then begins."""
+        line = piece[:1] == "\n"
+        letters = piece[line:].rstrip(_MARKS)
+        if not (self.direct and letters.isalpha()):
+            return self._ids(piece if line else " " + piece)
+        form = letters if line else " " + letters
+        form = form.encode().decode("latin-1").translate(self.bytes)
+        out = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+        out = self.feed + out if line else out
+        if len(letters) + line == len(piece):
+            return out
+        end = piece[len(letters) + line :]
+        if (marks := self.marks.get(end)) is None:
+            marks = self._ids(end)
+            if len(self.marks) < 10_000:
+                self.marks[end] = marks
+        return out + marks
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _DOUBLE.search(text) or text[0] == " ":
-            return self._ids([text])[0]
-        first, *rest = text.split(" ")
+        if text[0] == " " or _DOUBLE.search(text):
+            return self._ids(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
         found = list(map(self.known.get, rest))
-        if None in found:
-            new = list({p for p, f in zip(rest, found) if f is None})
-            ids = dict(zip(new, self._ids([" " + p for p in new])))
+        if missing := {p for p, f in zip(rest, found) if f is None}:
+            new = {p: self._piece(p) for p in missing}
             if len(self.known) + len(new) > self.keep:
                 self.known.clear()
-            self.known.update(ids)
-            found = [ids[p] if f is None else f for p, f in zip(rest, found)]
-        return self._ids([first])[0] + b"".join(found)
+            self.known.update(new)
+            found = [new[p] if f is None else f for p, f in zip(rest, found)]
+        return self._ids(first) + b"".join(found)
+
+
+def encoder(path: str) -> Encoder:
+    """This worker process's encoder. It is kept at the library's module, which outlives a task, unlike the functions here."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_foliant_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def write(docs: DataFrame, path: str, text: str = "text", end_id: int | None = 0, shard_tokens: int = 1 << 20) -> DataFrame:
-    """The table of files: part, shard (their order), n_tokens, file. end_id is appended to each document."""
+    """The table of files: part, shard (their order), before (tokens in the part before it), n_tokens, file. end_id ends each document."""
     end = b"" if end_id is None else struct.pack("<I", end_id)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
 
@@ -155,12 +196,13 @@ def write(docs: DataFrame, path: str, text: str = "text", end_id: int | None = 0
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part, shard = Encoder(path), TaskContext.get().partitionId(), 0
-        ids, counts, blobs, total = [], [], [], 0
+        encode, part, shard = encoder(path), TaskContext.get().partitionId(), 0
+        ids, counts, blobs, total, before = [], [], [], 0, 0
 
         def file():
-            tokens = np.frombuffer(b"".join(blobs), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([total], pa.int64()), pa.array([pack(tokens, ids, counts)], pa.binary())], ["part", "shard", "n_tokens", "file"])
+            tokens, kinds = np.frombuffer(b"".join(blobs), "<u4"), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            row = (part, shard, before, total, pack(tokens, ids, counts))
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["part", "shard", "before", "n_tokens", "file"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -171,13 +213,13 @@ def write(docs: DataFrame, path: str, text: str = "text", end_id: int | None = 0
                 total += len(blob) // 4
                 if total >= shard_tokens:
                     yield file()
-                    ids, counts, blobs, total, shard = [], [], [], 0, shard + 1
+                    ids, counts, blobs, before, total, shard = [], [], [], before + total, 0, shard + 1
         if ids:
             yield file()
 
-    n = 4 * partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession)
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, "part int, shard int, n_tokens long, file binary"))
+    return written(ordered.mapInArrow(run, "part int, shard int, before long, n_tokens long, file binary"))
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -198,10 +240,8 @@ def read(files: DataFrame) -> DataFrame:
         before.append((p, total))
         total += n
     offsets = files.sparkSession.createDataFrame(before, "part int, before_part long") if before else files.sparkSession.createDataFrame([], "part int, before_part long")
-    shards = files.select("part", "shard", "n_tokens")
-    earlier = shards.alias("a").join(shards.alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("b.shard") < F.col("a.shard")), "left").groupBy("a.part", "a.shard").agg(F.coalesce(F.sum("b.n_tokens"), F.lit(0)).alias("before_shard"))
-    placed = files.join(earlier, ["part", "shard"]).join(F.broadcast(offsets), "part")
-    return placed.select((F.col("before_part") + F.col("before_shard")).alias("before"), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = files.join(F.broadcast(offsets), "part")
+    return placed.select((F.col("before_part") + F.col("before")).alias("before"), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
