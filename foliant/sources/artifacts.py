@@ -19,8 +19,7 @@ def scan(spark: SparkSession, root: str, contents: bool = True) -> DataFrame:
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     below = F.regexp_extract("path", r"(?:^|/)" + root.rstrip("/").rsplit("/", 1)[-1] + r"/(.*)$", 1)
-    found = files.select(F.split_part(below, F.lit("/"), F.lit(1)).alias("folder"), F.regexp_replace(below, "^[^/]*/", "").alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), *(["content"] if contents else []))
-    return found.where(below.contains("/"))
+    return files.where(below.contains("/")).select(F.split_part(below, F.lit("/"), F.lit(1)).alias("folder"), F.regexp_replace(below, "^[^/]*/", "").alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), *(["content"] if contents else []))
 
 
 def texts(files: DataFrame) -> DataFrame:
