@@ -4,7 +4,7 @@ Each source's target is its share of the mix, at most `cap` times what it holds
 weight until none is above). A document of a source with ratio r = target / source size is taken floor(r) times and
 once more with probability r - floor(r). The cube method draws those extra copies: a flight phase moves the fractional
 probabilities of three documents at a time through the null space of two constraints (the number of documents and
-their total size) until at most two stay fractional. Flights run first within blocks of at most about `block` documents of
+their total size) until at most two of them stay fractional. Flights run first within blocks of at most about `block` documents of
 one source, then over what the blocks left; only a small landing problem, a dozen documents a source, is rounded, to
 the outcome nearest to the source's target. A source of any share of the rows is split over many blocks.
 
@@ -87,22 +87,22 @@ def landing(p: list[float], n: list[int], x: list[int]) -> list[float]:
     return out
 
 
-#: Units of a source that wait for the landing, besides the two that a flight leaves.
+#: Units that wait for the next level, or the landing, besides the two that a flight leaves; a block must be larger.
 _WAIT = 10
 
 
 def cube_sample(units: DataFrame, block: int = 2000, seed: int = 11) -> DataFrame:
     """units (_group, _p, _n, size, and an id _key) with _p moved to 0 or 1, balanced within each _group.
 
-    A flight leaves two open units of a block, so each level has about block / 2 times fewer; the last one lands.
+    A block leaves a dozen open units, so each level has about block / 12 times fewer; the last one lands.
     """
-    schema, done, level = units.schema, [], 0
+    schema, done, level, block = units.schema, [], 0, max(block, 4 * _WAIT)
 
     def run(last: bool):
         def settle(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("_order", kind="stable").reset_index(drop=True)
             p, n, x = (pdf[c].tolist() for c in ("_p", "_n", "size"))
-            rng, fly = random.Random(f"{seed} {level} {pdf['_group'].iloc[0]} {pdf['_order'].iloc[0]}"), max(0, len(p) - _WAIT * last)
+            rng, fly = random.Random(f"{seed} {level} {pdf['_group'].iloc[0]} {pdf['_order'].iloc[0]}"), max(0, len(p) - _WAIT)
             p = flight(p[:fly], n[:fly], x[:fly], rng) + p[fly:]
             return pdf.assign(_p=landing(p, n, x) if last else p)[schema.names]
 

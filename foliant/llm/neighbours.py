@@ -183,7 +183,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     near = run(True, None)
     # The k-th least distance in the nearest list bounds what the other lists can add; equal vectors count each.
     ranked = near.groupBy("uid").agg(F.slice(F.array_sort(F.collect_list("d")), k + 1, 1).alias("kth"))
-    bounds = ranked.select("uid", F.element_at("kth", 1).alias("bound")).where("bound IS NOT NULL") if k else None
+    bounds = ranked.select("uid", F.get("kth", F.lit(0)).alias("bound")).where("bound IS NOT NULL")
     found = near.union(run(False, bounds)) if shared.value["probes"] > 1 else near
     hits = found.select("uid", F.explode("ids").alias("vec_id"), "score")
     best = hits.groupBy("uid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k + 1).alias("best"))

@@ -2,7 +2,7 @@
 
 A word is the bag of its character n-grams (hashed into a table of embeddings) and itself, so an unseen misspelling
 shares vectors with the words it resembles. A passage is the average of its words' vectors and goes into a softmax of
-two classes. A document scores as its most toxic passage, every window of `window` words being one; so a slur counts
+two classes. A document scores as its most toxic passage, every window of `window` words being one (short ones: neighbours dilute); so a slur counts
 the same in a short and in a very long text. Training alternates: the model picks each training document's worst
 passage, then embeddings and softmax learn together from those passages (and random ones of clean documents).
 
@@ -105,7 +105,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(texts: list[str | None], labels: list[int], dim: int = 8, bits: int = 18, window: int = 8, rounds: int = 8, epochs: int = 2, least: int = 200, rate: float = 0.4, seed: int = 7) -> Model:
+def fit(texts: list[str | None], labels: list[int], dim: int = 8, bits: int = 18, window: int = 2, rounds: int = 8, epochs: int = 2, least: int = 200, rate: float = 0.4, seed: int = 7) -> Model:
     """Embeddings and softmax, learned together, in `least` steps a round at least. Deterministic for given rows in a given order."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
@@ -126,14 +126,24 @@ def fit(texts: list[str | None], labels: list[int], dim: int = 8, bits: int = 18
         slot = emb @ (soft[:, 1] - soft[:, 0])
         return np.add.reduceat(slot[flat], first[:-1]) / sizes
 
+    def telling() -> np.ndarray:
+        """How unevenly the documents of both classes hold each word's most telling n-gram: where the first passages lie."""
+        held, n = np.zeros((2, 1 << bits)), np.bincount(y, minlength=2)
+        for d, label in zip(docs, y):
+            if len(d):
+                held[label][np.unique(np.concatenate([flat[first[x] : first[x + 1]] for x in np.unique(d)]))] += 1
+        share, mean = held / n[:, None], held.sum(0) / n.sum()
+        z = (share[1] - share[0]) / np.sqrt(mean * (1 - mean) * (1 / n).sum() + 1e-6)
+        return np.maximum.reduceat(z[flat], first[:-1])
+
     for turn in range(rounds):
-        v = values()
+        v = values() if turn else telling()
         spans = []
         for d, label in zip(docs, y):
             if not len(d):
                 continue
             last = max(1, len(d) - window + 1)
-            at = {int(_passage_logits(v[d], window).argmax())} if turn else set(rng.integers(0, last, 4 if label else 1).tolist())
+            at = {int(_passage_logits(v[d], window).argmax())}
             at |= {int(rng.integers(0, last))} if not label else set()
             spans += [(d[a : a + window], label) for a in at]
         for _ in range(max(epochs, -(-least * 64 // max(1, len(spans))))):
