@@ -142,6 +142,18 @@ def assess_rights(author: Column, year: Column, death: Column, sources: Fields,
     return F.struct(*(chosen[c].alias(c) for c in ("assessment", "reason", "basis", "needs_manual_review")), source_summary(sources).alias("source_summary"), notes.alias("warnings"))
 
 
+def rights_context(author: Column, year: Column, death: Column, assessed: Column) -> Column:
+    """The note on rights that goes with a request to a model; assessed is what assess_rights gives."""
+    show = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    flag = F.when(assessed["needs_manual_review"], "True").otherwise("False")
+    lines = [("author", show(author)), ("publication_year", show(year)), ("death_year", show(death)), ("assessment", show(assessed["assessment"])), ("reason", show(assessed["reason"])), ("needs_manual_review", flag), ("sources", assessed["source_summary"])]
+    careful = "Proceed conservatively if policy restrictions apply."
+    end = F.when(~assessed["assessment"].startswith("likely_public_domain"), f"Rights status is not confirmed as public-domain by heuristic.\n{careful}").when(
+        assessed["needs_manual_review"], f"Rights heuristic suggests public-domain status, but the metadata still needs manual confirmation.\n{careful}").otherwise(
+        "Rights heuristic suggests public-domain status and no additional review flag is present.\nFor this task, treat faithful transcription as permitted.")
+    return F.concat(F.concat_ws("\n", F.lit("RIGHTS CONTEXT:"), *(F.concat(F.lit(f"- {k}: "), c) for k, c in lines), end), F.lit("\n"))
+
+
 def metadata_review_rows(effective: Fields, sources: Fields, ai: Fields, confidence: Fields, evidence: Fields, override: Fields) -> Column:
     """A row for each field of which something is known, and whether a person should look at it."""
     rows = []

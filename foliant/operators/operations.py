@@ -77,7 +77,12 @@ def summary(files: DataFrame, as_of: str) -> DataFrame:
     limit = R.hung_threshold(*(X.coerce_int(_get(s, f"$.runtime_settings.{k}")) for k in ("api_timeout_sec", "api_retry_attempts", "latex_compile_timeout_sec")))
     review = R.rights_review(_get(r, "$.assessment"), _get(r, "$.reason"), _get(r, "$.source_summary"), _get(r, "$.warnings", "array<string>"),
         F.when(F.schema_of_variant(F.variant_get(r, "$.needs_manual_review", "variant")) == "BOOLEAN", _get(r, "$.needs_manual_review", "boolean")), {f: _get(m, f"$.rights_sources.{f}") for f in R.RIGHTS_FIELDS})
+    known = lambda v, at: {f: _get(v, f"$.{at}{f}") for f in R.FIELDS}
+    manual = {f: F.coalesce(_get(o, f"$.overrides.{f}"), _get(o, f"$.{f}"), _get(m, f"$.manual_override.{f}")) for f in R.FIELDS}
+    fields = R.metadata_review_rows(known(m, "effective_metadata."), known(m, "effective_sources."), known(m, "ai_inference."), known(m, "ai_inference.confidence."), known(m, "ai_inference.evidence."), manual)
     base = v.select(
+        fields.alias("_fields"), _get(m, "$.ai_inference.error").alias("_ai_error"), F.coalesce(X.clean_text(_get(m, "$.ai_inference.status")), F.lit("not_run")).alias("metadata_ai_status"),
+        F.array_sort(F.filter(F.array(*(F.when(c.isNotNull(), F.lit(f)) for f, c in manual.items())), lambda x: x.isNotNull())).alias("metadata_override_fields"), *(_get(s, f"$.{c}").alias(c) for c in ("last_successful_stage", "last_progress_at", "last_progress_note", "stdout_log_path", "stderr_log_path")),
         "folder", title.alias("title"), "has_quality_report", "has_publish_report", failed.alias("failed_pages"), successful.alias("successful_pages"),
         F.coalesce(X.coerce_int(_get(q, "$.total_pages")), F.nullif(F.size(requested), F.lit(0)), successful + F.size(failed)).alias("total_pages"),
         (F.coalesce(_get(q, "$.transcription.partial_output", "boolean"), F.lit(False)) | (F.size(failed) > 0)).alias("partial_output"),
@@ -85,7 +90,10 @@ def summary(files: DataFrame, as_of: str) -> DataFrame:
         F.coalesce(blank(_get(p, "$.status")), F.lit("missing")).alias("publish_status"), blank(_get(p, "$.reason")).alias("publish_reason"), _get(p, "$.slug").alias("slug"), _get(p, "$.published_at").alias("published_at"),
         R.publish_issue(F.coalesce(_get(p, "$.status"), F.lit("missing")), _get(p, "$.reason"), _get(p, "$.health_check.status"), _get(p, "$.health_check.reason")).alias("_issue"), review.alias("_review"),
         _get(s, "$.current_stage").alias("current_stage"), _get(s, "$.last_error").alias("last_error"), idle.alias("seconds_since_progress"), limit.alias("hung_threshold_sec"))
-    base = base.select("*", "_issue.*", "_review.*").drop("_issue", "_review")
+    base = base.withColumns({
+        "metadata_review_fields": F.transform(F.filter("_fields", lambda x: x["review_needed"]), lambda x: x["field"]), "metadata_review_needed": F.exists("_fields", lambda x: x["review_needed"]),
+        "metadata_review_summary": R.metadata_review_summary(F.col("_fields"), F.col("_ai_error"))})
+    base = base.select("*", "_issue.*", "_review.*").drop("_issue", "_review", "_fields", "_ai_error")
     base = base.join(warning_summary(compile_warnings(log_lines(files))), "folder", "left").fillna({"compile_warning_count": 0})
     base = base.withColumn("hung_suspected", R.hung(F.col("current_stage"), F.col("seconds_since_progress"), F.col("hung_threshold_sec")))
     return base.withColumns({"publish_ready": R.publish_ready(), "next_action": R.next_action(), "priority_rank": R.priority_rank()})
@@ -100,7 +108,14 @@ def counts(summaries: DataFrame) -> DataFrame:
     """Totals over all folders."""
     tests = {
         "published_outputs": F.col("publish_status") == "published", "ready_to_publish_outputs": F.col("publish_ready"), "publish_failed_outputs": F.col("publish_status") == "failed",
-        "rights_review_outputs": F.col("rights_needs_manual_review"), "compile_warning_outputs": F.col("compile_warning_count") > 0, "partial_outputs": F.col("partial_output"),
+        "metadata_review_outputs": F.col("metadata_review_needed"), "rights_review_outputs": F.col("rights_needs_manual_review"), "compile_warning_outputs": F.col("compile_warning_count") > 0, "partial_outputs": F.col("partial_output"),
         "hung_suspected_outputs": F.col("hung_suspected"), "missing_quality_reports": ~F.col("has_quality_report"),
     }
     return summaries.agg(F.count("*").alias("total_outputs"), *(F.count_if(t).alias(n) for n, t in tests.items()))
+
+
+def summary_table(summaries: DataFrame) -> DataFrame:
+    """What an operator's table shows of each folder, "-" for what is missing."""
+    dash = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("-")).alias(c)
+    failed = F.coalesce(F.nullif(F.array_join(F.col("failed_pages").cast("array<string>"), ", "), F.lit("")), F.lit("-"))
+    return summaries.select("folder", "title", F.coalesce(F.nullif("total_pages", F.lit(0)).cast("string"), F.lit("-")).alias("total_pages"), failed.alias("failed_pages"), "publish_status", *(dash(c) for c in ("metadata_review_summary", "rights_review_summary", "compile_warning_summary", "publish_issue_summary")), "next_action")

@@ -156,3 +156,34 @@ def initial_state(runs: DataFrame, prior: DataFrame) -> DataFrame:
     """The state a run starts in: what an earlier run recorded is carried over, errors are not."""
     kept = prior.select("document_id", F.col("successful_pages").alias("_done"), F.col("last_successful_stage").alias("_stage"))
     return runs.join(kept, "document_id", "left").select("document_id", "requested_pages", F.coalesce("_done", F.array().cast("array<int>")).alias("successful_pages"), F.lit("step0_images").alias("current_stage"), F.col("_stage").alias("last_successful_stage"), F.lit(None).cast("string").alias("last_error"))
+
+
+def first_structure(pages: DataFrame) -> DataFrame:
+    """Metadata of the first page (document_id, page_number, json) of each document that gives a title, author or year."""
+    found = pages.select("document_id", "page_number", F.struct(*(c.alias(k) for k, c in R.structure_metadata(F.col("json")).items())).alias("m"))
+    usable = found.where(F.coalesce("m.title", "m.author", F.col("m.publication_year").cast("string")).isNotNull())
+    return usable.groupBy("document_id").agg(F.min_by("m", "page_number").alias("m")).select("document_id", "m.*")
+
+
+def cached_images(requested: DataFrame, images: DataFrame) -> DataFrame:
+    """The images of a document's requested pages if there are all of them, else none."""
+    there = requested.join(images.select("document_id", "page_number", F.lit(True).alias("_there")), ["document_id", "page_number"], "left")
+    names = F.transform(F.array_sort(F.collect_list("page_number")), lambda n: F.concat(F.lit("images/"), X.page_name(n, "png")))
+    return there.groupBy("document_id").agg(F.when(F.every(F.coalesce("_there", F.lit(False))), names).otherwise(F.array().cast("array<string>")).alias("images"))
+
+
+def reassessed(recorded: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Recorded rights with a new assessment over them; its values win even where they are null."""
+    new = [c for c in fresh.columns if c != "document_id"]
+    return recorded.drop(*new).join(fresh, "document_id", "left")
+
+
+def cached_source(candidates: list[tuple[Column, Column]]) -> Column:
+    """The first path, of (path, whether it exists), that is there."""
+    return F.coalesce(*(F.when((path != "") & there, path) for path, there in candidates))
+
+
+def log_tail(log: Column, n: int = 200) -> Column:
+    """The last n lines of a log."""
+    lines = F.split(log, "\n")
+    return F.array_join(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), F.lit(n)), "\n")

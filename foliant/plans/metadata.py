@@ -73,6 +73,12 @@ def _assessed(s: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", "author", "publication_year", "death_year", got.alias("r")).select("doc_id", "author", "publication_year", "death_year", "r.*")
 
 
+def _context_text(s: SparkSession, d: str) -> DataFrame:
+    a = _assessed(s, d)
+    note = R.rights_context(F.col("author"), F.col("publication_year"), F.col("death_year"), F.struct("assessment", "reason", "needs_manual_review", "source_summary"))
+    return a.select("doc_id", note.alias("note"))
+
+
 def _review(s: SparkSession, d: str) -> DataFrame:
     e = _pairs(_docs(s, d, _META), R.effective_metadata(**_parts()))
     both = e.join(_docs(s, d, _META), "doc_id")
@@ -108,6 +114,7 @@ QUERIES = {
     "metadata_refresh": refreshed,
     "fallback_metadata": lambda s, d: _docs(s, d, _META).select("doc_id", *(c.alias(f) for f, c in R.fallback_metadata(_cols("pdf", ("title", "author")), _cols("st", ("title", "author", *R.YEARS)), _cols("ov", R.RIGHTS_FIELDS), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).items())),
     "assess_rights": _assessed,
+    "rights_context": _context_text,
     "source_summary": lambda s, d: rights(s, d).select("doc_id", R.source_summary({f: F.col(f"{f}_source") for f in R.RIGHTS_FIELDS}).alias("summary")),
     "metadata_review": lambda s, d: _review(s, d).select("doc_id", F.explode("rows").alias("r")).select("doc_id", "r.*"),
     "metadata_review_summary": lambda s, d: _review(s, d).select("doc_id", R.metadata_review_summary(F.col("rows"), F.col("ai_error")).alias("summary")),

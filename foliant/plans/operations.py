@@ -28,7 +28,7 @@ _R = """concat('{{"assessment": "', CASE doc_id % 3 WHEN 0 THEN 'likely_public_d
 _F = lambda path, content, where: f"SELECT {_B} AS folder, '{path}' AS path, {content} AS content FROM {{documents}} WHERE {where}"
 FILES = " UNION ALL ".join([
     _F("n_quality_report.json", _Q, "doc_id % 11 <> 0"), _F("n_pipeline_state.json", _S, "doc_id % 4 <> 3"), _F("n_publish_report.json", _P, "doc_id % 5 <> 4"), _F("n_rights_check.json", _R, "doc_id % 2 = 0"),
-    _F("n_metadata.json", "concat('{{\"effective_metadata\": {{\"title\": \"Title ', cast(doc_id % 300 AS string), '\"}}}}')", "doc_id % 3 = 0"), _F("n_metadata_override.json", "concat('{{\"overrides\": {{\"title\": \"Set ', cast(doc_id % 10 AS string), '\"}}}}')", "doc_id % 12 = 5"),
+    _F("n_metadata.json", "concat('{{\"effective_metadata\": {{\"title\": \"Title ', cast(doc_id % 300 AS string), '\"}}, \"effective_sources\": {{\"title\": \"ai\"}}, \"ai_inference\": {{\"title\": \"T\", \"confidence\": {{\"title\": \"', CASE WHEN doc_id % 2 = 1 THEN 'low' ELSE 'high' END, '\"}}, \"evidence\": {{\"title\": \"p1\"}}}}}}')", "doc_id % 3 = 0"), _F("n_metadata_override.json", "concat('{{\"overrides\": {{\"title\": \"Set ', cast(doc_id % 10 AS string), '\"}}}}')", "doc_id % 12 = 5"),
     _F("n_digitalized.log", "concat('Overfull ', chr(92), 'hbox x', chr(10), 'noise', chr(10), 'Overfull ', chr(92), 'hbox y', chr(10), 'LaTeX Warning: Label on input line 3.')", "doc_id % 6 = 1"),
     _F("n_Korean_error.log", "concat('Missing character: a', chr(10), 'Package fontspec Warning: Font gone on input line 7.')", "doc_id % 25 = 3"), _F("n_digitalized.pdf", "''", "doc_id % 3 <> 2"), _F("n_Korean.pdf", "''", "doc_id % 5 <> 1"),
 ])
@@ -133,6 +133,12 @@ def _inferred(s: SparkSession, d: str) -> DataFrame:
     return A.output_names(f, ["_source.pdf", "_digitalized.tex", "_Korean.tex", "_pipeline_state.json", "_quality_report.json", "_metadata.json"])
 
 
+def _structured(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("page_number")
+    title = F.when(n % 4 == 0, F.concat(F.lit('{"article_header": {"title_text": "T'), n.cast("string"), F.lit('"}}'))).when(n % 4 == 1, "bad").otherwise("{}")
+    return P.first_structure(_flags(s, d).withColumn("json", title)).select("document_id", "title")
+
+
 def _folder():
     return F.concat(F.lit("out-"), F.col("doc_id").cast("string"))
 
@@ -165,6 +171,13 @@ QUERIES = {
     "next_action": _pick("next_action"),
     "priority_rank": _pick("priority_rank"),
     "publish_ready": _pick("publish_ready"),
+    "ops_table": lambda s, d: O.summary_table(summary(s, d)),
+    "ops_metadata_review": _pick("metadata_review_needed", "metadata_review_summary", "metadata_override_fields"),
+    "first_structure": _structured,
+    "cached_images": lambda s, d: P.cached_images(_flags(s, d), _flags(s, d).where("page_number % 5 <> 0")),
+    "reassessed_rights": lambda s, d: P.reassessed(_docs(s, d).selectExpr("doc_id AS document_id", "'old' AS reason", "'kept' AS basis"), _docs(s, d).selectExpr("doc_id AS document_id", "CASE WHEN doc_id % 2 = 0 THEN 'new' END AS reason")),
+    "cached_source": lambda s, d: _docs(s, d).select("doc_id", P.cached_source([(F.lit("a.pdf"), F.col("doc_id") % 3 == 0), (F.when(F.col("doc_id") % 2 == 0, "b.pdf").otherwise(""), F.lit(True)), (F.lit("c.pdf"), F.col("doc_id") % 5 == 0)]).alias("path")),
+    "log_tail": lambda s, d: _docs(s, d).select("doc_id", P.log_tail(F.col("text"), 3).alias("tail")),
     "ops_ranked": lambda s, d: O.ranked(summary(s, d)).select("folder", "priority_rank").limit(100),
     "ops_counts": lambda s, d: O.counts(summary(s, d)),
     "compile_warnings": lambda s, d: O.compile_warnings(O.log_lines(files(s, d))),
@@ -258,7 +271,14 @@ def _p(select: str) -> str:
 _ORD = "(cast({0} AS string) || CASE WHEN {0} % 100 IN (11, 12, 13) THEN 'th' WHEN {0} % 10 = 1 THEN 'st' WHEN {0} % 10 = 2 THEN 'nd' WHEN {0} % 10 = 3 THEN 'rd' ELSE 'th' END)"
 _SORT_NAME = "nullif(lower(trim(regexp_replace(author_display, '\\s+', ' ', 'g'))), '')"
 
+_MR = "CASE WHEN metadata IS NOT NULL AND cast(regexp_extract(folder, '(\\d+)$', 1) AS bigint) % 2 = 1 THEN 'Title=low' WHEN metadata IS NOT NULL THEN 'AI verified' WHEN override IS NOT NULL THEN 'Manual override' END"
 ORACLE_SQL = {
+    "ops_metadata_review": _w(f"SELECT folder, coalesce({_MR} = 'Title=low', false) AS metadata_review_needed, {_MR} AS metadata_review_summary, CASE WHEN override IS NULL THEN [] ELSE ['title'] END AS metadata_override_fields FROM e"),
+    "first_structure": _p("SELECT document_id, 'T' || cast(min(page_number) AS string) AS title FROM p WHERE page_number % 4 = 0 GROUP BY 1"),
+    "cached_images": _p("SELECT document_id, CASE WHEN max(page_number) < 5 THEN list(printf('images/page_%03d.png', page_number) ORDER BY page_number) ELSE [] END AS images FROM p GROUP BY 1"),
+    "reassessed_rights": "SELECT doc_id AS document_id, 'kept' AS basis, CASE WHEN doc_id % 2 = 0 THEN 'new' END AS reason FROM documents",
+    "cached_source": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a.pdf' WHEN doc_id % 2 = 0 THEN 'b.pdf' WHEN doc_id % 5 = 0 THEN 'c.pdf' END AS path FROM documents",
+    "log_tail": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), greatest(len(string_split(text, chr(10))) - 2, 1), len(string_split(text, chr(10)))), chr(10)) AS tail FROM documents",
     "failed_pages": _e("failed_pages", "successful_pages", "total_pages"),
     "pdf_compiled": _e("digitalized_compiled", "korean_compiled"),
     "infer_title": _e("title"),
@@ -268,7 +288,7 @@ ORACLE_SQL = {
     "priority_rank": _e("priority_rank"),
     "publish_ready": _e("publish_ready"),
     "ops_ranked": _w("SELECT folder, priority_rank FROM e ORDER BY priority_rank, lower(folder), folder LIMIT 100"),
-    "ops_counts": _w("SELECT count(*) AS total_outputs, count(*) FILTER (publish_status = 'published') AS published_outputs, count(*) FILTER (publish_ready) AS ready_to_publish_outputs, count(*) FILTER (publish_status = 'failed') AS publish_failed_outputs, count(*) FILTER (rights_needs_manual_review) AS rights_review_outputs, count(*) FILTER (compile_warning_count > 0) AS compile_warning_outputs, count(*) FILTER (partial_output) AS partial_outputs, count(*) FILTER (hung_suspected) AS hung_suspected_outputs, count(*) FILTER (NOT has_quality_report) AS missing_quality_reports FROM e"),
+    "ops_counts": _w("SELECT count(*) AS total_outputs, count(*) FILTER (publish_status = 'published') AS published_outputs, count(*) FILTER (publish_ready) AS ready_to_publish_outputs, count(*) FILTER (publish_status = 'failed') AS publish_failed_outputs, count(*) FILTER (metadata IS NOT NULL AND cast(regexp_extract(folder, '(\\d+)$', 1) AS bigint) % 2 = 1) AS metadata_review_outputs, count(*) FILTER (rights_needs_manual_review) AS rights_review_outputs, count(*) FILTER (compile_warning_count > 0) AS compile_warning_outputs, count(*) FILTER (partial_output) AS partial_outputs, count(*) FILTER (hung_suspected) AS hung_suspected_outputs, count(*) FILTER (NOT has_quality_report) AS missing_quality_reports FROM e"),
     "compile_warnings": _w("SELECT * FROM warn"),
     "warning_summary": _w("SELECT * FROM ws"),
     "publish_queue": _w("SELECT * FROM queue"),

@@ -154,3 +154,19 @@ def test_entry_works_without_llm():
 
     names = set(entry.queries())
     assert {"browse_catalog", "ops_summary"} <= names and set(entry.oracle_sql()) <= names
+
+
+def test_tables_can_be_made(spark, tmp_path):
+    from foliant.sources import schema
+
+    for name in schema.TABLES:
+        df = schema.empty(spark, name)
+        assert df.count() == 0 and set(schema.KEYS[name]) <= set(df.columns)
+    schema.write_table(schema.empty(spark, "authors"), str(tmp_path / "authors"))
+    assert spark.read.parquet(str(tmp_path / "authors")).columns == schema.empty(spark, "authors").columns
+
+
+def test_rights_context_and_log_tail(spark):
+    got = value(spark, lambda: R.rights_context(F.lit(None).cast("string"), F.lit(1900), F.lit(None).cast("int"), R.assess_rights(F.lit(None).cast("string"), F.lit(1900), F.lit(None).cast("int"), {f: F.lit(None).cast("string") for f in R.RIGHTS_FIELDS}, 2025)))
+    assert got.startswith("RIGHTS CONTEXT:\n- author: None\n- publication_year: 1900\n") and got.endswith("treat faithful transcription as permitted.\n")
+    assert value(spark, lambda: P.log_tail(F.lit("a\nb\nc"), 2)) == "b\nc" and value(spark, lambda: P.log_tail(F.lit("a"), 200)) == "a"
