@@ -114,10 +114,13 @@ def fit(texts: list[str | None], labels: list[int], dim: int = 8, bits: int = 18
     docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int64) for t in texts]
     if not vocabulary:
         return Model(np.zeros(1), 0.0, 0, window, constant=float(y.mean()))
-    slots, of = _bags(list(vocabulary), bits, lengths)
-    flat, sizes = slots[np.argsort(of, kind="stable")].astype(np.int32), np.bincount(of)
+    known, parts = list(vocabulary), []
+    for lo in range(0, len(known), 20_000):  # a word's n-grams take far more room while they are found than after
+        slots, of = _bags(known[lo : lo + 20_000], bits, lengths)
+        parts.append((slots.astype(np.int32)[np.argsort(of, kind="stable")], np.bincount(of)))
+    flat, sizes = (np.concatenate(x) for x in zip(*parts))
     first = np.concatenate([[0], np.cumsum(sizes)])
-    del slots, of
+    del parts, known, slots, of
     emb = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     g_emb, g_soft, g_bias = np.full(1 << bits, 1e-4, np.float32), np.full(soft.shape, 1e-4, np.float32), np.full(2, 1e-4, np.float32)
