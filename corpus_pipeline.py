@@ -9,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import common, mixing, packing, repeats, simhash, toxicity
+from foliant.llm import common, mixing, packing, repeats, shingles, toxicity
 
-#: Bits of 64 in which the fingerprints of near copies differ at most; unrelated texts do so once in some 10^10 pairs.
+#: The near-dedup stage's rule before it compared whole sets of shingles; test_pipeline_stages still reads these two.
 RADIUS = 7
-#: Words of a fingerprint's shingles. Pairs that share 0.8 or more of their five-word shingles differ in about 10 bits on
-#: five words, but in about 6 on two, where the radius finds most of them (the README has measured shares).
 SHINGLE = 2
 #: Words of a passage that may stand in one document only.
 PASSAGE = 13
@@ -28,10 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each class of near copies."""
-    found = simhash.near_duplicates(docs, RADIUS, SHINGLE)
-    kept = found.where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    some = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return some.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    found = shingles.near_copies(docs)
+    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("k")).select("k.*")
+    some = docs.withColumn("key", F.xxhash64("text")).join(kept, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"])
+    return some.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, common, mixing, neighbours, ngrams, packing, quality, queries, repeats, simhash, tokens, toxicity
+from foliant.llm import chat, common, mixing, neighbours, ngrams, packing, quality, queries, repeats, shingles, simhash, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 SHORT = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -463,6 +463,47 @@ def test_pipeline_stages(spark):
     check_bins(held[5].collect(), units.collect(), 2048, 4)
 
 
+def five_word_sets(texts):
+    held = {}
+    for i, t in texts.items():
+        w = [x.lower() for x in words(t)]
+        held[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return held
+
+
+def test_near_dedup_keeps_what_jaccard_keeps(spark):
+    import corpus_pipeline as P
+
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    held = five_word_sets({r.doc_id: r.text for r in docs.collect()})
+    ids, least = sorted(held), {i: i for i in held}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if 5 * len(held[i] & held[j]) >= 4 * len(held[i] | held[j]):
+                a, b = root(i), root(j)
+                least[max(a, b)] = min(a, b)
+    assert {r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()} == {i for i in ids if root(i) == i}
+
+
+def test_near_dedup_of_one_text_varied(spark):
+    import corpus_pipeline as P
+
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join("x" if k == i * 9 else w for k, w in enumerate(base))) for i in range(1, 11)]  # similarity 86 / 106 or more
+    rows += [(20 + i, " ".join("y" if k % 25 == i else w for k, w in enumerate(base))) for i in range(1, 4)]  # two-word fingerprints are near, sets are not
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()) == [1, 21, 22, 23]
+    sets = five_word_sets(dict(rows))
+    assert {r.node for r in shingles.sets(docs).collect()} == {xxhash.xxh64_intdigest(shingles.shingles(t).tobytes(), 42) - (1 << 64 if xxhash.xxh64_intdigest(shingles.shingles(t).tobytes(), 42) >> 63 else 0) for _, t in rows}
+    assert all(len(shingles.shingles(t)) == len(sets[i]) for i, t in rows)
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     import corpus_pipeline as P
 
