@@ -6,7 +6,7 @@ last return the columns of documents. Rows whose doc_id is null pass the dedup s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import common, mixing, packing, repeats, shingles, toxicity
@@ -25,10 +25,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each class of near copies."""
+    """The least document of each class of near copies; of rows that repeat an id, those whose texts are no near copies."""
     found = shingles.near_copies(docs)
     kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("k")).select("k.*")
-    some = docs.withColumn("key", F.xxhash64("text")).join(kept, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"])
+    alike = Window.partitionBy("doc_id", "key", "text").orderBy(*docs.columns)
+    some = docs.withColumn("key", F.xxhash64("text")).join(kept, ["doc_id", "key"], "left_semi")
+    some = some.withColumn("_row", F.row_number().over(alike)).where("_row = 1")
     return some.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 

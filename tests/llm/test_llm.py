@@ -504,6 +504,15 @@ def test_near_dedup_of_one_text_varied(spark):
     assert all(len(shingles.shingles(t)) == len(sets[i]) for i, t in rows)
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, one, "s"), (1, two, "s"), (1, one, "r"), (2, two, "s"), (None, one, "s"), (None, one, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert sorted(map(tuple, P.drop_near_copies(spark, docs, "").collect()), key=str) == sorted([(1, one, "r"), (1, two, "s"), (None, one, "s"), (None, one, "s")], key=str)
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     import corpus_pipeline as P
 
