@@ -46,3 +46,8 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs_without_sql(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+def test_ranking_holds_every_folder_in_order(spark, duck):
+    found = [tuple(r) for r in registry.queries()["ops_ranked_all"](spark, SF).collect()]
+    assert len(found) > 100 and found == duck.sql(registry.oracle_sql()["ops_ranked_all"]).fetchall()
