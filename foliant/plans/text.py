@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,3 +170,18 @@ ORACLE_SQL = {
     "page_names": _sql(_RANGES, "SELECT doc_id, printf('page_%03d.tex', n) AS tex, printf('page_%03d.png', n) AS png FROM t"),
     "tex_length": _sql(_RANGES, f"SELECT doc_id, {_LEN} AS length FROM t"),
 }
+
+#: The model's answers and log lines about whole texts, for queries beside those on prefixes.
+_WHOLE = {sql: re.sub(r"substr\((text|split_part\(text, chr\(10\), 1\)), 1, \d+\)", "text", sql) for sql in (_MODEL, _LOGS)}
+_whole_model, _whole_logs = (_of(sql) for sql in _WHOLE.values())
+QUERIES |= {
+    "is_latex_whole": _whole_model(_one(lambda: X.is_latex(_c("answer")), "latex")),
+    "normalize_latex_whole": _whole_model(_one(lambda: X.normalize_latex(_c("answer")), "source")),
+    "extract_block_whole": _whole_model(_one(lambda: X.extract_block(_c("answer"), "BEGIN_LATEX"), "block")),
+    "extract_json_whole": _whole_model(_one(lambda: U.extract_json(F.concat(F.lit("Here {x} is: "), F.to_json(F.struct("doc_id", "answer")), F.lit(" done"))), "found")),
+    "log_classify_whole": _whole_logs(_one(lambda: X.log_message(_c("line")), "message", "line")),
+    "truncate_whole": _whole_logs(_one(lambda: X.truncate(F.coalesce(X.log_message(_c("line")), F.lit(""))), "short")),
+}
+for _short, _long in _WHOLE.items():
+    _short, _long = (x.format(documents="documents") for x in (_short, _long))
+    ORACLE_SQL |= {f"{k}_whole": v.replace(_short, _long) for k, v in ORACLE_SQL.items() if _short in v and f"{k}_whole" in QUERIES}
