@@ -178,6 +178,7 @@ QUERIES = {
     "reassessed_rights": lambda s, d: P.reassessed(_docs(s, d).selectExpr("doc_id AS document_id", "'old' AS reason", "'kept' AS basis"), _docs(s, d).selectExpr("doc_id AS document_id", "CASE WHEN doc_id % 2 = 0 THEN 'new' END AS reason")),
     "cached_source": lambda s, d: _docs(s, d).select("doc_id", P.cached_source([(F.lit("a.pdf"), F.col("doc_id") % 3 == 0), (F.when(F.col("doc_id") % 2 == 0, "b.pdf").otherwise(""), F.lit(True)), (F.lit("c.pdf"), F.col("doc_id") % 5 == 0)]).alias("path")),
     "log_tail": lambda s, d: _docs(s, d).select("doc_id", P.log_tail(F.col("text"), 3).alias("tail")),
+    "log_tail_200": lambda s, d: _docs(s, d).select("doc_id", P.log_tail(F.col("text")).alias("tail")),
     "ops_ranked": lambda s, d: O.ranked(summary(s, d)).select("folder", "priority_rank").limit(100),
     "ops_ranked_all": lambda s, d: O.ranked(summary(s, d)).select("folder", "priority_rank"),
     "ops_counts": lambda s, d: O.counts(summary(s, d)),
@@ -280,6 +281,7 @@ ORACLE_SQL = {
     "reassessed_rights": "SELECT doc_id AS document_id, 'kept' AS basis, CASE WHEN doc_id % 2 = 0 THEN 'new' END AS reason FROM documents",
     "cached_source": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a.pdf' WHEN doc_id % 2 = 0 THEN 'b.pdf' WHEN doc_id % 5 = 0 THEN 'c.pdf' END AS path FROM documents",
     "log_tail": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), greatest(len(string_split(text, chr(10))) - 2, 1), len(string_split(text, chr(10)))), chr(10)) AS tail FROM documents",
+    "log_tail_200": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), greatest(len(string_split(text, chr(10))) - 199, 1), len(string_split(text, chr(10)))), chr(10)) AS tail FROM documents",
     "failed_pages": _e("failed_pages", "successful_pages", "total_pages"),
     "pdf_compiled": _e("digitalized_compiled", "korean_compiled"),
     "infer_title": _e("title"),

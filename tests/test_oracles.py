@@ -56,3 +56,8 @@ def test_ranking_holds_every_folder_in_order(spark, duck):
 def test_blocks_hold_whole_texts(spark, duck):
     most = duck.sql("SELECT max(length(trim(text))) FROM documents WHERE doc_id % 5 = 0").fetchall()[0][0]
     assert max(len(r.block or "") for r in registry.queries()["extract_block_whole"](spark, SF).collect()) >= most > 1000
+
+
+def test_tail_holds_200_lines(spark, duck):
+    most = duck.sql("SELECT max(least(len(string_split(text, chr(10))), 200)) FROM documents").fetchall()[0][0]
+    assert max(r.tail.count("\n") + 1 for r in registry.queries()["log_tail_200"](spark, SF).collect()) == most > 3
