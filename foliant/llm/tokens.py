@@ -9,32 +9,36 @@ Layout of a file (little-endian): magic "DAC1", uint32 chunk bits, uint32 levels
 each document int64 id and uint64 tokens before it; then for each level uint64 codes, the codes, and, but for the last
 level, the bitmap and the directory (uint32 for each block of 512 bits).
 
-Files are rows (shard, doc_id, file, ...) of a Parquet table in the shared folder: a path of any store works, and a lost
-executor leaves no half-written file. Null texts count as empty. Repeated rows and equal ids keep their own entries
-(their order is by id, then text). Rows with a null id are dropped, for they have no place in the order. Very long
-texts are encoded whole; a file ends with the document that reaches `shard_tokens`.
+Files are plain files of the shared folder; a table of their names, in order, says which of them count (see store).
+Null texts count as empty. Repeated rows and equal ids keep their own entries (their order is by id, then text). Rows
+with a null id are dropped, for they have no place in the order. Very long texts are encoded whole; a file ends with the
+document that reaches `shard_tokens`. An empty table gives no files and an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 import struct
+import sys
+import types
 import zlib
-from array import array
+from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import partitions, table, written
+from foliant.llm.common import partitions, shared_dir, table, written
+from foliant.llm.store import load, save
 
 CHUNK_BITS = 8
 _BLOCK_BITS = 512
 
 
-def pack(levels_ids: np.ndarray, doc_ids: list[int], counts: list[int], bits: int = CHUNK_BITS) -> bytes:
+def pack(levels_ids: np.ndarray, doc_ids: Sequence[int], counts: Sequence[int], bits: int = CHUNK_BITS) -> bytes:
     """A file with the ids of documents, counts[i] of them for doc_ids[i]."""
     values, levels = np.asarray(levels_ids, np.uint32), []
     while True:
@@ -44,8 +48,9 @@ def pack(levels_ids: np.ndarray, doc_ids: list[int], counts: list[int], bits: in
         if not more.any():
             break
         values = high[more]
-    starts = np.concatenate([[0], np.cumsum(counts)])[:-1] if counts else np.zeros(0)
-    out = [b"DAC1", struct.pack("<IIIQ", bits, len(levels), len(doc_ids), len(levels_ids)), np.stack([np.array(doc_ids, "<i8"), starts.astype("<i8")], 1).tobytes() if doc_ids else b""]
+    counts = np.asarray(counts, np.int64)
+    starts = np.cumsum(counts) - counts
+    out = [b"DAC1", struct.pack("<IIIQ", bits, len(levels), len(doc_ids), len(levels_ids)), np.stack([np.asarray(doc_ids, "<i8"), starts.astype("<i8")], 1).tobytes()]
     for k, (low, more) in enumerate(levels):
         out += [struct.pack("<Q", len(low)), low.tobytes()]
         if k < len(levels) - 1:
@@ -59,8 +64,8 @@ def pack(levels_ids: np.ndarray, doc_ids: list[int], counts: list[int], bits: in
 class Reader:
     """Random access to a file's tokens."""
 
-    def __init__(self, file: bytes) -> None:
-        assert file[:4] == b"DAC1", "not a token file"
+    def __init__(self, file: bytes | np.ndarray) -> None:
+        assert bytes(file[:4]) == b"DAC1", "not a token file"
         self.bits, n_levels, n_docs, self.n = struct.unpack_from("<IIIQ", file, 4)
         docs = np.frombuffer(file, "<i8", 2 * n_docs, 24).reshape(-1, 2)
         self.doc_ids, self.starts = docs[:, 0], np.append(docs[:, 1], self.n)
@@ -109,86 +114,183 @@ class Reader:
         return out
 
 
-_DOUBLE = re.compile(r"\s\s")
+class FileReader:
+    """Single tokens of a file by ranged reads: the header's few numbers, then one chunk, bit and rank for each level."""
+
+    def __init__(self, read) -> None:
+        self.read = read
+        self.bits, n_levels, n_docs, self.n = struct.unpack("<IIIQ", read(4, 20))
+        self.width, at, self.levels = 1 if self.bits <= 8 else 2, 24 + 16 * n_docs, []
+        for k in range(n_levels):
+            (n,) = struct.unpack("<Q", read(at, 8))
+            codes = at + 8
+            bitmap = codes + n * self.width
+            ranks = bitmap + -(-n // _BLOCK_BITS) * _BLOCK_BITS // 8
+            at = ranks + -(-n // _BLOCK_BITS) * 4
+            self.levels.append((codes, *((bitmap, ranks) if k < n_levels - 1 else (None, None))))
+
+    def __getitem__(self, i: int) -> int:
+        """The i-th token of the file."""
+        value = shift = 0
+        for codes, bitmap, ranks in self.levels:
+            value |= int.from_bytes(self.read(codes + i * self.width, self.width), "little") << shift
+            shift += self.bits
+            if bitmap is None:
+                break
+            block, at = divmod(i, _BLOCK_BITS)
+            bits = int.from_bytes(self.read(bitmap + block * _BLOCK_BITS // 8, _BLOCK_BITS // 8), "little")
+            if not bits >> at & 1:
+                break
+            i = int.from_bytes(self.read(ranks + 4 * block, 4), "little") + (bits & ((1 << at) - 1)).bit_count()
+        return value
+
+
+#: What Python counts as white space, as a class of RE2.
+_WHITE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_SLICE = 8 << 20
+
+
 _MARKS = ".,!?;:"
 
 
-def _byte_characters() -> dict[int, str]:
-    """The characters by which byte-level BPE writes bytes: printable ones themselves, others from 256 on."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = (chr(256 + i) for i in range(256))
-    return {b: chr(b) if b in own else next(rest) for b in range(256)}
+class _Table:
+    """The ids of numbered pieces, one after the other."""
+
+    def __init__(self) -> None:
+        self.sizes, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray, base: int = 0) -> range:
+        """The numbers of new pieces, from base on."""
+        n = base + len(self.sizes)
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+        return range(n, n + len(sizes))
+
+
+def _gather(sizes: np.ndarray, ids: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes and ids of numbered pieces, one after the other."""
+    length = sizes[numbers]
+    begin, ends = np.cumsum(sizes, dtype=np.int64) - sizes, np.cumsum(length, dtype=np.int64)
+    at = np.repeat((begin[numbers] - ends + length).astype(np.int32), length)  # a slice's ids are far fewer than 2^31
+    at += np.arange(len(at), dtype=np.int32)
+    return length, ids[at]
 
 
 class Encoder:
-    """Encodes texts with a byte-level BPE of the tokenizers library; keeps the ids of pieces it has seen, up to a bound.
+    """Encodes columns of texts with a byte-level BPE of the tokenizers library; keeps the ids of the pieces it met first, up to a bound.
 
     A single space after a character that is no white space always starts a pre-token, so the pieces of a text between
-    such spaces encode one by one, and a piece of letters, or of letters and then marks, is one pre-token or two, which
-    go to the library's BPE model without its pre-tokenizer. A single line feed is a pre-token of its own. Texts with white space in a row are encoded as a whole.
+    such spaces encode one by one; a single line feed is a pre-token of its own and starts a piece likewise. So a column is
+    split into pieces and these are numbered by Arrow; pieces not seen before go to the library a hundred in a string,
+    whose ids are cut again where a token begins with a space or is a line feed. Marks behind letters are a pre-token of
+    their own. Texts with white space in a row, or at their start, are encoded as a whole.
     """
 
     def __init__(self, path: str, keep: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known, self.marks = Tokenizer.from_file(path), keep, {}, {}
-        self.model, self.bytes = self.tokenizer.model, _byte_characters()
-        self.feed = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
+        self.tokenizer, self.keep, self.table, self.known = Tokenizer.from_file(path), keep, _Table(), {}
+        kinds = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            kinds[i] = token[:1] == "\u0120" or token == "\u010a"
+        self.starts = kinds
         self.direct = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a piece after a space, or after a line feed, with which it then begins."""
-        line = piece[:1] == "\n"
-        letters = piece[line:].rstrip(_MARKS)
-        if not (self.direct and letters.isalpha()):
-            return self._ids(piece if line else " " + piece)
-        form = letters if line else " " + letters
-        form = form.encode().decode("latin-1").translate(self.bytes)
-        out = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
-        out = self.feed + out if line else out
-        if len(letters) + line == len(piece):
-            return out
-        end = piece[len(letters) + line :]
-        if (marks := self.marks.get(end)) is None:
-            marks = self._ids(end)
-            if len(self.marks) < 10_000:
-                self.marks[end] = marks
-        return out + marks
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The sizes and ids of texts, each encoded as a whole."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(map(len, found), np.int32, len(found)), np.fromiter(chain.from_iterable(found), np.uint32)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The sizes and ids of pieces; a hundred in a string unless one of them ends in white space."""
+        whole = [p if p[:1] == "\n" else " " + p for p in pieces]
+        sizes, ids = self._ids(["".join(whole[a : a + 100]) for a in range(0, len(whole), 100)])
+        first = np.flatnonzero(self.starts[ids])
+        if len(first) == len(whole) and not any(p[-1].isspace() for p in whole):
+            return np.diff(np.append(first, len(ids))).astype(np.int32), ids
+        return self._ids(whole)
+
+    def _numbers(self, pieces: list[str], fresh: _Table) -> np.ndarray:
+        """A number for each of the pieces, which are distinct: new ones are kept as long as there is room, else in fresh."""
+        out = list(map(self.known.get, pieces))
+        new = [p for p, k in zip(pieces, out) if k is None]
+        if not new:
+            return np.array(out, np.int64)
+        odd = [p for p in new if not p or p[-1].isspace()]
+        new = [p for p in new if p and not p[-1].isspace()] if odd else new
+        sizes, ids = (np.concatenate(x) for x in zip(*(self._pieces(x) for x in (new, odd) if x)))
+        new += odd
+        room = max(0, min(self.keep - len(self.table.sizes), len(new)))
+        cut = int(sizes[:room].sum())
+        number = dict(zip(new, chain(self.table.add(sizes[:room], ids[:cut]), fresh.add(sizes[room:], ids[cut:], self.keep))))
+        self.known.update(zip(new[:room], number.values()))
+        return np.array([number[p] if k is None else k for p, k in zip(pieces, out)], np.int64)
+
+    def _table_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The sizes and ids of distinct pieces. Marks behind letters are a pre-token of their own and are encoded once."""
+        stems, fresh = pc.utf8_rtrim(pieces, characters=_MARKS), _Table()
+        cut = pc.and_(pc.utf8_is_alpha(stems), pc.less(pc.binary_length(stems), pc.binary_length(pieces)))
+        stems = pc.if_else(cut, stems, pieces).dictionary_encode()
+        tails = pc.replace_substring_regex(pieces.filter(cut), f"^(?s:.*)[^{_MARKS}]", "").dictionary_encode()
+        numbers = self._numbers(stems.dictionary.to_pylist(), fresh)[np.asarray(stems.indices)]
+        ends = np.fromiter(fresh.add(*self._ids(["", *tails.dictionary.to_pylist()]), self.keep), np.int64)
+        both = np.full((len(pieces), 2), ends[0])
+        both[:, 0] = numbers
+        both[np.asarray(cut), 1] = ends[1:][np.asarray(tails.indices)]
+        sizes, ids = np.concatenate([self.table.sizes, fresh.sizes]), np.concatenate([self.table.flat, fresh.flat])
+        both = np.where(both >= self.keep, both - self.keep + len(self.table.sizes), both)
+        length, ids = _gather(sizes, ids, both.ravel())
+        return length.reshape(-1, 2).sum(1, dtype=np.int32), ids
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and all ids."""
+        plain = np.zeros(len(texts), bool)
+        if self.direct and len(texts):
+            plain = ~np.asarray(pc.match_substring_regex(texts, f"^{_WHITE}|{_WHITE}{{2}}")) & (np.asarray(pc.binary_length(texts)) > 0)
+        some = texts.filter(pa.array(plain))
+        split = pc.split_pattern(pc.replace_substring(some, "\n", " \n"), " ")
+        first, flat = np.asarray(split.offsets)[: len(some)].astype(np.int64), split.flatten()
+        pieces = flat.dictionary_encode()
+        sizes, ids = self._table_of(pieces.dictionary)
+        n, whole = self._ids([*flat.take(pa.array(first)).to_pylist(), *texts.filter(pa.array(~plain)).to_pylist()])
+        own = len(sizes) + np.arange(len(n))  # first pieces of texts, and whole texts
+        sizes, ids = np.concatenate([sizes, n]), np.concatenate([ids, whole])
+        per_text = np.ones(len(texts), np.int64)
+        per_text[plain] = np.diff(np.asarray(split.offsets)) if len(some) else 1
+        numbers, last = np.empty(int(per_text.sum()), np.int64), np.cumsum(per_text)
+        numbers[np.repeat(plain, per_text)] = np.asarray(pieces.indices)
+        numbers[(last - per_text)[plain]], numbers[(last - per_text)[~plain]] = own[: len(some)], own[len(some) :]
+        length, out = _gather(sizes, ids, numbers)
+        until = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+        return until[last] - until[last - per_text], out
 
     def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if text[0] == " " or _DOUBLE.search(text):
-            return self._ids(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        found = list(map(self.known.get, rest))
-        if missing := {p for p, f in zip(rest, found) if f is None}:
-            new = {p: self._piece(p) for p in missing}
-            if len(self.known) + len(new) > self.keep:
-                self.known.clear()
-            self.known.update(new)
-            found = [new[p] if f is None else f for p, f in zip(rest, found)]
-        return self._ids(first) + b"".join(found)
+        """The ids of one text as little-endian unsigned 32-bit integers."""
+        return self.column(pa.array([text], pa.string()))[1].astype("<u4").tobytes()
 
 
 def encoder(path: str) -> Encoder:
-    """This worker process's encoder. It is kept at the library's module, which outlives a task, unlike the functions here."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_foliant_encoders", {})
+    """This worker process's encoder. Functions travel to workers by value and end with their task, so it is kept in a module of its own."""
+    kept = sys.modules.setdefault("foliant_kept_encoders", types.ModuleType("foliant_kept_encoders")).__dict__
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
 
 
+def _slices(texts: pa.Array):
+    """Bounds of runs of texts of about _SLICE bytes."""
+    size, a = np.cumsum(np.asarray(pc.binary_length(texts), np.int64)), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + _SLICE, "right")))
+        yield a, b
+        a = b
+
+
 def write(docs: DataFrame, path: str, text: str = "text", end_id: int | None = 0, shard_tokens: int = 1 << 20) -> DataFrame:
-    """The table of files: part, shard (their order), before (tokens in the part before it), n_tokens, file. end_id ends each document."""
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    """Writes the files; returns their table: part, shard (their order), before (tokens in the part before it), n_tokens, folder,
+    name. end_id ends each document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    folder = shared_dir(docs.sparkSession)
+    names = ["part", "shard", "before", "n_tokens", "folder", "name"]
 
     def run(batches):
         import os
@@ -196,30 +298,46 @@ def write(docs: DataFrame, path: str, text: str = "text", end_id: int | None = 0
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part, shard = encoder(path), TaskContext.get().partitionId(), 0
-        ids, counts, blobs, total, before = [], [], [], 0, 0
-
-        def file():
-            tokens, kinds = np.frombuffer(b"".join(blobs), "<u4"), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            row = (part, shard, before, total, pack(tokens, ids, counts))
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["part", "shard", "before", "n_tokens", "file"])
-
+        encode, part, shard, before = encoder(path), TaskContext.get().partitionId(), 0, 0
+        docs_, counts, ids, total = [], [], [], 0
+
+        def file(rest: bool = False):
+            """Writes files of what is held: each ends with the document that reaches shard_tokens."""
+            nonlocal docs_, counts, ids, total, shard, before
+            d, n, flat = (np.concatenate(x) for x in (docs_, counts, ids))
+            ends, a, lo = np.cumsum(n), 0, 0
+            while a < len(d):
+                b = int(np.searchsorted(ends, lo + shard_tokens)) + 1
+                if b > len(d) and not rest:
+                    break
+                b = min(b, len(d))
+                hi = int(ends[b - 1])
+                name = save(folder, f"tokens-{part}-{shard}", [pack(flat[lo:hi], d[a:b], n[a:b])])
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, shard, before, hi - lo, folder, name), kinds)], names)
+                shard, before, a, lo = shard + 1, before + hi - lo, b, hi
+            docs_, counts, ids, total = [d[a:]], [n[a:]], [flat[lo:]], len(flat) - lo
+
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                blob = encode(t.as_py()) + end
-                ids.append(i)
-                counts.append(len(blob) // 4)
-                blobs.append(blob)
-                total += len(blob) // 4
+            texts = b.column(1)
+            for lo, hi in _slices(texts):
+                n, flat = encode.column(texts.slice(lo, hi - lo))
+                if end_id is not None:
+                    closed = np.full(len(flat) + len(n), end_id, np.uint32)
+                    closed[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
+                    n, flat = n + 1, closed
+                docs_.append(np.asarray(b.column(0).slice(lo, hi - lo)))
+                counts.append(n)
+                ids.append(flat)
+                total += len(flat)
                 if total >= shard_tokens:
-                    yield file()
-                    ids, counts, blobs, before, total, shard = [], [], [], before + total, 0, shard + 1
-        if ids:
-            yield file()
+                    yield from file()
+        if docs_:
+            yield from file(rest=True)
 
     n = partitions(docs.sparkSession)
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, "part int, shard int, before long, n_tokens long, file binary"))
+    return written(ordered.mapInArrow(run, "part int, shard int, before long, n_tokens long, folder string, name string"))
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -227,11 +345,11 @@ def read(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for before, file in zip(b.column(0).to_pylist(), b.column(1)):
-                r, out = Reader(file.as_py()), []
-                for i, a, z in zip(r.doc_ids.tolist(), r.starts[:-1].tolist(), r.starts[1:].tolist()):
-                    out.append((i, before + a, z - a, zlib.crc32(r.tokens(a, z).astype("<u4").tobytes())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for before, folder, name in zip(*(c.to_pylist() for c in b.columns)):
+                r = Reader(load(folder, name))
+                ids, a = r.tokens(0, r.n).astype("<u4"), r.starts
+                crc = np.fromiter((zlib.crc32(ids[x:y]) for x, y in zip(a[:-1].tolist(), a[1:].tolist())), np.int64, len(r.doc_ids))
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (r.doc_ids, before + a[:-1], np.diff(a), crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # Tokens before each part: one number for each range partition, so few rows.
     parts = sorted(tuple(r) for r in files.groupBy("part").agg(F.sum("n_tokens")).collect())
@@ -239,9 +357,10 @@ def read(files: DataFrame) -> DataFrame:
     for p, n in parts:
         before.append((p, total))
         total += n
-    offsets = files.sparkSession.createDataFrame(before, "part int, before_part long") if before else files.sparkSession.createDataFrame([], "part int, before_part long")
-    placed = files.join(F.broadcast(offsets), "part")
-    return placed.select((F.col("before_part") + F.col("before")).alias("before"), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    offsets = files.sparkSession.createDataFrame(before, "part int, before_part long")
+    placed = files.join(F.broadcast(offsets), "part").select((F.col("before_part") + F.col("before")).alias("before"), "folder", "name")
+    # A file's name is a few bytes but its content isn't, so names are dealt evenly before files are read.
+    return placed.repartition(partitions(files.sparkSession)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,12 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, common, mixing, neighbours, ngrams, packing, quality, queries, repeats, shingles, simhash, tokens, toxicity
+from foliant.llm import chat, common, mixing, neighbours, ngrams, packing, quality, queries, repeats, shingles, simhash, store, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 SHORT = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -202,6 +203,38 @@ def test_encoder_matches_the_library(tokenizer):
         assert np.frombuffer(e(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_columns_encode_like_the_library(tokenizer):
+    import public_tokenizers
+
+    rng = random.Random(2)
+    parts = [" ", "  ", "\n", "\t", "ab", "é", "日本", "don't", "12a", ".", "!?", ",;", "x<|endoftext|>", "　", "\x1c", "ﬁ", "'s", "\r\n", "A.B", "\x00", "́"]
+    for keep in (0, 40, 5000):
+        e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), keep=keep)
+        for _ in range(60):
+            texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(rng.randint(0, 30))]
+            n, ids = e.column(pa.array(texts, pa.string()))
+            want = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
+def test_a_token_is_read_from_disk_by_ranges(spark, docs, tokenizer):
+    import public_tokenizers
+
+    files = tokens.write(docs, public_tokenizers.path("byte_bpe_50k.json"), shard_tokens=20_000).orderBy("part", "shard").collect()
+    ids = [i for r in docs.orderBy("doc_id").collect() for i in [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]]
+    at = 0
+    for f in files:
+        reads = []
+        ranged = store.ranges(f.folder, f.name)
+        reader = tokens.FileReader(lambda a, n: reads.append(n) or ranged(a, n))  # noqa: B023
+        reads.clear()
+        for i in (0, f.n_tokens // 2, f.n_tokens - 1):
+            assert reader[i] == ids[at + i]
+        assert sum(reads) < 3 * 200  # a chunk, a block of bits and a rank for each level, whatever the file's size
+        at += f.n_tokens
+    assert at == len(ids) and len(files) > 3
+
+
 def test_token_files_round_trip(spark, docs, odd, none, tokenizer):
     import public_tokenizers
 
