@@ -179,25 +179,60 @@ _FOOTNOTE_SIGNS = (("*", "1"), ("†", "2"), ("‡", "3"), ("§", "4"), ("\\dagg
 #: What calls for a package. Fixed values.
 _NEEDS = (
     (r"\\(?:includegraphics|scalebox|resizebox|rotatebox|reflectbox)\b", "graphicx"),
-    (r"\\begin\{wrap(?:figure|table)\}", "wrapfig"),
+    (r"\\begin\{(?:wrapfigure|wraptable)\}", "wrapfig"),
     (r"\\begin\{tikzpicture\}", "tikz"),
-    (r"\\begin\{(?:align|gather|multline|cases|[pbvBV]?matrix|split|aligned)\*?\}|\\(?:text|dfrac|tfrac|operatorname)\{", "amsmath"),
-    (r"\\(?:mathbb|mathfrak|therefore|because|square|blacksquare)\b", "amssymb"),
-    (r"\\mathscr\b", "mathrsfs"),
+    (
+        r"\\(?:begin\{(?:align\*?|gather\*?|multline\*?|cases|split|aligned|gathered)\}"
+        r"|(?:text|dfrac|tfrac|eqref|tag|substack|overset|underset|xrightarrow|xleftarrow|operatorname|boxed)\b)",
+        "amsmath",
+    ),
+    (r"\\(?:mathbb|mathfrak|therefore|because|square|blacksquare|triangleq|lesssim|gtrsim|leqslant|geqslant|varnothing)\b", "amssymb"),
+    (r"\\mathscr", "mathrsfs"),
 )
+#: What calls for lines before the document, what says that they are there, and the lines. Fixed values.
+_DEFINITIONS = (
+    (r"\\longequal", r"\\(?:providecommand|newcommand)\{\\longequal\}", (r"\providecommand{\longequal}{=}",)),
+    (
+        r"\\(?:coloneqq|eqqcolon|Coloneqq|Eqqcolon)",
+        r"\\(?:providecommand|newcommand)\{\\coloneqq\}",
+        (r"\providecommand{\coloneqq}{\mathrel{:=}}", r"\providecommand{\eqqcolon}{\mathrel{=:}}", r"\providecommand{\Coloneqq}{\mathrel{::=}}", r"\providecommand{\Eqqcolon}{\mathrel{=::}}"),
+    ),
+)
+#: Lines that a long s needs under pdfLaTeX; the last is unknown to XeLaTeX. Fixed values.
+_LONG_S = (r"\usepackage{textcomp}", r"\DeclareTextSymbol{\textlongs}{TS1}{116}", r"\DeclareTextSymbolDefault{\textlongs}{TS1}", r"\DeclareUnicodeCharacter{017F}{\textlongs}")
+_ONLY_PDFLATEX = r"(?m)^[ \t]*\\DeclareUnicodeCharacter\{017F\}\{\\textlongs\}\s*\n?"
 
 
-def prepare_latex(c: Column) -> Column:
-    """A source ready for compilation: normalized, numbered footnotes, decimal dots in math mode, packages for what it uses."""
+def prepare_latex(c: Column, compiler: Column | str = "pdflatex") -> Column:
+    """A source ready for a compiler: normalized, numbered footnotes, decimal dots in math mode, packages and definitions
+    for what it uses, and for a long s what pdfLaTeX needs and other compilers don't know."""
+    kind = F.lit(compiler) if isinstance(compiler, str) else compiler
     c = normalize_latex(c)
     for sign, number in _FOOTNOTE_SIGNS:
         c = F.regexp_replace(c, rf"\\(footnote|footnotemark|footnotetext)\s*\[{re.escape(sign)}\]", rf"\\$1[{number}]")
     c = F.regexp_replace(c, r"(?<!\$)(\d)\\cdot(?=\d)", r"$1\$\\cdot\$")
     for used, name in _NEEDS:
         c = let(c, _loader(used, name))
+    for used, there, lines in _DEFINITIONS:
+        c = let(c, _definer(used, there, lines))
+    return let(c, lambda x: F.when(kind != "pdflatex", F.regexp_replace(x, _ONLY_PDFLATEX, "")).when(x.contains("ſ"), _lines_before(x, _LONG_S)).otherwise(x))
+
+
+def _lines_before(c: Column, lines: tuple[str, ...]) -> Column:
+    """Each of the lines before the document's begin, in their order, unless the source has it."""
+    for line in lines:
+        c = let(c, _placer(line))
     return c
 
 
+def _placer(line: str):
+    return lambda c: _before_document(c, F.lit(line))
+
+
+def _definer(used: str, there: str, lines: tuple[str, ...]):
+    return lambda c: F.when(c.rlike(used) & ~c.rlike(there), _lines_before(c, lines)).otherwise(c)
+
+
 def _loader(used: str, name: str):
     return lambda c: _with_package(c, used, name)
 

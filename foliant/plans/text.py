@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions import repair as R
 from foliant.functions import text as X
 from foliant.functions import udfs as U
 from foliant.sources.adapters import catalog, with_catalog
@@ -88,8 +89,8 @@ QUERIES = {
     "prepare_latex": _tex(_one(lambda: X.prepare_latex(_c("tex")), "prepared")),
     "apply_layout": _tex(_one(lambda: X.apply_layout(_c("tex"), (_c("doc_id") % 3 + 10).cast("int"), F.lit("paperwidth=400bp"), F.lit("5.56in x 8in, 12pt")), "styled")),
     "plausible_fix": _tex(_one(lambda: X.plausible_fix(_c("tex"), F.substring(_c("tex"), F.lit(1), (F.length("tex") * (85 + _c("doc_id") % 15) / 100).cast("int"))), "plausible")),
-    "missing_graphics": _tex(_one(lambda: U.missing_graphics(F.concat(_c("tex"), F.lit("\n\\includegraphics[width=3cm]{figs/a.png}\n")), F.when(_c("doc_id") % 2 == 0, "! File `a.png' not found.")), "repaired")),
-    "compile_fix": _tex(_one(lambda: U.compile_fix(X.prepare_latex(_c("tex")), X.prepare_latex(_c("tex")), F.when(_c("doc_id") % 2 == 0, "! Missing $ inserted.").otherwise(""), F.lit("pdflatex")), "fixed")),
+    "missing_graphics": _tex(_one(lambda: R.repair_graphics(F.concat(_c("tex"), F.lit("\n\\includegraphics[width=3cm]{figs/a.png}\n")), F.when(_c("doc_id") % 2 == 0, "! File `a.png' not found.")), "repaired")),
+    "compile_fix": _tex(_one(lambda: R.compile_fix(X.prepare_latex(_c("tex")), F.when(_c("doc_id") % 2 == 0, "! Missing $ inserted.").otherwise(""), "pdflatex"), "fixed")),
     "extract_json": _model(_one(lambda: U.extract_json(F.concat(F.lit("Here {x} is: "), F.to_json(F.struct("doc_id", "answer")), F.lit(" done"))), "found")),
     "log_classify": _logs(_one(lambda: X.log_message(_c("line")), "message", "line")),
     "truncate": _logs(_one(lambda: X.truncate(F.coalesce(X.log_message(_c("line")), F.lit(""))), "short")),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from foliant.functions import repair as L
 from foliant.functions import rules as R
 from foliant.functions import text as X
 from foliant.functions import udfs as U
@@ -94,12 +95,74 @@ def test_json_is_found_in_prose(spark):
     assert value(spark, lambda: U.extract_json(F.lit("nothing"))) is None
 
 
-def test_graphics_repair():
+def test_json_objects_nest_and_fail(spark):
+    cases = {'{"a": {"b"': None, '{bad {"k": [1, {"z": "}"}]} {"l": 2}': '{"k": [1, {"z": "}"}]}', "```json\n{}\n```": "{}", "": None, '[{"é": null}]': '{"é": null}'}
+    for text, want in cases.items():
+        assert value(spark, lambda t=text: U.extract_json(F.lit(t))) == want
+    assert value(spark, lambda: U.extract_json(F.lit(None).cast("string"))) is None
+
+
+def repair(spark, source, log):
+    return value(spark, lambda: L.repair_graphics(F.lit(source), F.lit(log)))
+
+
+def test_graphics_repair(spark):
     source = "a\n\\includegraphics[width=3cm]{figs/a.png}\n% \\begin{tikzpicture}\n% \\draw;\n% \\end{tikzpicture}\n\\includegraphics{b.png}\n"
-    fixed = U.repair_graphics(source, "! File `a.png' not found. File `b.png' not found")
+    fixed = repair(spark, source, "! File `a.png' not found. File `b.png' not found")
     assert "Restored TikZ fallback for missing graphic: a.png\n\\begin{tikzpicture}" in fixed
     assert "{0.8\\linewidth}" in fixed and "b.png}" not in fixed
-    assert U.repair_graphics(source, "fine") is None
+    assert repair(spark, source, "fine") is None and repair(spark, source, None) is None and repair(spark, "", "File `a.png' not found") is None
+
+
+def test_graphics_repair_line_by_line(spark):
+    box = "\\fbox{\\parbox[c][8em][c]{%s}{\\centering\\footnotesize Source diagram unavailable}}\n"
+    log = "File `x/a.png' not found\nfile 'B.EPS' NOT found"
+    cases = [
+        ("  \\includegraphics{x/a.png} % why", "  % Missing source graphic: a.png\n  " + box % "0.8\\linewidth"),
+        ("\\includegraphics[scale=2, width = .5\\textwidth ,x]{c\\B.EPS}\nz", "% Missing source graphic: B.EPS\n" + box % ".5\\textwidth" + "z"),
+        ("\\includegraphics{a.png}\n", None),  # the log misses x/a.png
+        ("\\includegraphics{x/a.png} text\n% \\includegraphics{x/a.png}\n", None),
+        ("\\includegraphics{x/a.png}\n\n% note\n  % \\begin{tikzpicture}\n%\n  %  \\draw;\nloose\n%\\end{tikzpicture} %\nend", "% Restored TikZ fallback for missing graphic: a.png\n  \\begin{tikzpicture}\n   \\draw;\nloose\n\\end{tikzpicture} %\nend"),
+        ("\\includegraphics{x/a.png}\ntext\n% \\begin{tikzpicture}\n% \\end{tikzpicture}\n", "% Missing source graphic: a.png\n" + box % "0.8\\linewidth" + "text\n% \\begin{tikzpicture}\n% \\end{tikzpicture}\n"),
+    ]
+    for source, want in cases:
+        assert repair(spark, source, log) == want, source
+
+
+def test_compile_fix_takes_the_first_repair(spark):
+    doc = lambda head, body: f"\\documentclass{{article}}\n{head}\\begin{{document}}\n{body}\n\\end{{document}}"
+    fix = lambda source, log, compiler="pdflatex": value(spark, lambda: L.compile_fix(F.lit(source), F.lit(log), compiler))
+    wrapped = doc("", "\\begin{wrapfigure}{r}{0.4\\textwidth}\n    \\includegraphics[width=0.3\\textwidth]{diagram.png}\n    % \\begin{tikzpicture}[scale=1.2]\n    %   \\draw (0,0) -- (1,1);\n    % \\end{tikzpicture}\n\\end{wrapfigure}")
+    got = fix(wrapped, "LaTeX Warning: File `diagram.png' not found on input line 4.\n")
+    assert "\\usepackage{tikz}" in got and "    \\begin{tikzpicture}[scale=1.2]\n      \\draw" in got and "\\includegraphics" not in got
+    assert "\\parbox[c][8em][c]{0.25\\textwidth}" in fix(doc("", "\\includegraphics[width=0.25\\textwidth]{missing.png}"), "File `missing.png' not found on input line 3.")
+    assert "\\usepackage{amssymb}" in fix(doc("", "$\\mathbb R$"), "missing $ inserted")
+    assert fix(doc("", "a \\cdot b $\\cdot$"), "! Missing $ inserted.") == doc("", "a $\\cdot$ b $\\cdot$")
+    micro = "\\usepackage{x,microtype}\n"
+    assert fix(doc(micro, "a"), "pdfTeX error (font expansion)") == doc("\\usepackage{x,microtype}\n\\microtypesetup{expansion=false}\n", "a")
+    assert fix(doc("\\RequirePackage{microtype}\n", "a"), "Font Expansion") == doc("\\RequirePackage{microtype}\n\\microtypesetup{expansion=false}\n", "a")
+    assert fix(doc(micro, "a"), "font expansion", "xelatex") is None and fix(doc("", "a"), "font expansion") is None
+    lost = "fontspec error: the font cannot be found"
+    assert fix(doc("\\setmainfont{Batang}\n\\setmainfont{B}\n", "a"), lost, "xelatex") == doc("\\setmainfont{Malgun Gothic}\n\\setmainfont{B}\n", "a")
+    assert fix(doc("\\usepackage{kotex}\n", "a"), lost, "xelatex") == doc("\\usepackage{kotex}\n\\setmainfont{Malgun Gothic}\n", "a")
+    assert fix(doc("", "a"), lost, "xelatex") is None and fix(doc("", "a"), None) is None
+
+
+def test_prepare_latex_by_compiler(spark):
+    doc = lambda body, head="": f"\\documentclass{{article}}\n{head}\\begin{{document}}\n{body}\n\\end{{document}}\n"
+    prepare = lambda source, compiler="pdflatex": value(spark, lambda: X.prepare_latex(F.lit(source), compiler))
+    s = "compo\u017f\u00e9"
+    declared = "\\usepackage{textcomp}\n\\DeclareTextSymbol{\\textlongs}{TS1}{116}\n\\DeclareTextSymbolDefault{\\textlongs}{TS1}\n\\DeclareUnicodeCharacter{017F}{\\textlongs}\n"
+    assert prepare(doc(s)) == doc(s, declared).rstrip("\n") and prepare(doc(s, declared)) == doc(s, declared).rstrip("\n")
+    assert prepare(doc(s, declared), "xelatex") == doc(s, declared.rsplit("\\Declare", 1)[0]).rstrip("\n")
+    assert "\\providecommand{\\longequal}{=}" in prepare(doc("$a \\longequal b$"), "xelatex")
+    assert prepare(doc("$\\longequal$", "\\newcommand{\\longequal}{=}\n")).count("longequal") == 2
+    got = prepare(doc("$a \\coloneqq b, c \\eqqcolon d$"))
+    assert "{\\coloneqq}{\\mathrel{:=}}\n\\providecommand{\\eqqcolon}{\\mathrel{=:}}\n\\providecommand{\\Coloneqq}{\\mathrel{::=}}\n\\providecommand{\\Eqqcolon}{\\mathrel{=::}}\n\\begin{document}" in got
+    for body, package in (("\\begin{align*}x\\end{align*}", "amsmath"), ("\\tag 1", "amsmath"), ("$\\varnothing$", "amssymb"), ("$\\mathscr{L}$", "mathrsfs"), ("\\begin{tikzpicture}", "tikz"), ("\\begin{wraptable}", "wrapfig"), ("\\scalebox{2}{x}", "graphicx")):
+        assert f"\\usepackage{{{package}}}\n\\begin{{document}}" in prepare(doc(body), "xelatex")
+        assert prepare(doc(body, f"\\usepackage[a]{{b,{package}}}\n")).count("usepackage") == 1
+    assert "amsmath" not in prepare(doc("\\textbf{x} \\begin{pmatrix}"))
 
 
 def test_latex_pages_round_trip(spark):
