@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions import text as X
+from foliant.operators.order import numbered
 
 #: Fields that search reads, in their order. Fixed values.
 SEARCH_FIELDS = ("title", "author_display", "journal_or_book", "century_label", "language", "publication_year", "volume", "issue", "page_range", "doi")
@@ -147,9 +148,16 @@ def sort_documents(docs: DataFrame, sort: str, locale: str | None = "UNICODE") -
 
 
 def positions(docs: DataFrame, sort: str, locale: str | None = None) -> DataFrame:
-    """id and pos, the document's place in the order. A rank over the whole table is one task's work; for pages of
-    results, sort_documents(...).limit(n) is not."""
-    return docs.select("id", F.row_number().over(Window.orderBy(*sort_order(sort, locale))).alias("pos"))
+    """id and pos, the document's place in the order."""
+    named = lambda c: F.collate(c, locale) if locale else c
+    title, unless = named(F.col("title")), lambda c: [F.col(c).isNull(), F.col(c)]
+    key = {
+        "title": [title],
+        "author": [named(F.coalesce("author_display", F.lit(UNKNOWN_AUTHOR))), title],
+        "pages_desc": [-F.col("page_count"), title],
+        "oldest": [*unless("publication_year"), title],
+    }.get(sort_param(sort), [F.col("published_at").isNull(), -F.unix_micros(F.col("published_at").cast("timestamp")), title])
+    return numbered(docs, [*key, F.col("id")], "pos").select("id", F.col("pos").cast("int").alias("pos"))
 
 
 # Groups and facets
@@ -180,8 +188,10 @@ def _century() -> Column:
 
 
 def grouped(docs: DataFrame, key: Column, name: str) -> DataFrame:
-    """Documents by key: their number and ids in order."""
-    return docs.groupBy(key.alias(name)).agg(F.count("*").alias("documents"), F.array_sort(F.collect_list("id")).alias("ids"))
+    """A row for each document: its group, how many documents that holds, and id; groups and ids in order."""
+    keyed = docs.select(key.alias(name), "id")
+    sizes = keyed.groupBy(name).agg(F.count("*").alias("documents"))
+    return keyed.join(sizes, name).select(name, "documents", "id").orderBy(name, "id")
 
 
 def by_author(docs: DataFrame) -> DataFrame:
@@ -222,9 +232,12 @@ def era_sections(docs: DataFrame) -> DataFrame:
 
 
 def era_year_buckets(docs: DataFrame) -> DataFrame:
-    """A row for each year of an era, the undated ones together; ids in the order of the oldest-first sort."""
+    """A row for each document: its era, the year (the undated ones together), how many documents share them, and id; in
+    the order of the oldest-first sort."""
     label = F.coalesce(F.col("publication_year").cast("string"), F.lit(UNDATED))
-    return with_era(docs).groupBy("era", label.alias("year_label")).agg(F.count("*").alias("documents"), F.transform(F.array_sort(F.collect_list(F.struct("title", "id"))), lambda x: x["id"]).alias("ids"))
+    keyed = with_era(docs).select("era", label.alias("year_label"), "title", "id")
+    sizes = keyed.groupBy("era", "year_label").agg(F.count("*").alias("documents"))
+    return keyed.join(sizes, ["era", "year_label"]).orderBy("era", "year_label", "title", "id").select("era", "year_label", "documents", "id")
 
 
 def era_rollup(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import rules as R
 from foliant.functions import text as X
+from foliant.operators.order import numbered
 
 
 def queue(ready: DataFrame, limit: int | None = None) -> DataFrame:
@@ -45,9 +46,14 @@ def resolve_conflicts(incoming: DataFrame, existing: DataFrame, policy: str) ->
     return incoming.join(there, "slug", "left").withColumn("action", F.when(F.col("existing_id").isNotNull(), hit).otherwise("insert"))
 
 
-def upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """The table after a merge: rows of a key in incoming replace those there."""
-    return current.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+def upsert(current: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The table after a merge by column: a key's row takes the columns that incoming has and keeps its others; new keys are
+    added. Of rows that repeat a key in incoming the last by `order` counts (without one, the greatest row)."""
+    fields = F.struct(*incoming.columns)
+    last = incoming.groupBy(key).agg((F.max_by(fields, order) if order else F.max(fields)).alias("new")).withColumnRenamed(key, "_key")
+    both = current.withColumn("_old", F.lit(True)).join(last, F.col(key) == F.col("_key"), "full")
+    has = set(incoming.columns)
+    return both.select(*[F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in has else F.col(c) for c in current.columns])
 
 
 def replace_children(current: DataFrame, incoming: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -56,13 +62,9 @@ def replace_children(current: DataFrame, incoming: DataFrame, parents: DataFrame
 
 
 def identities(rows: DataFrame, current: DataFrame, order: str) -> DataFrame:
-    """rows with ids after the greatest in current, in order; per partition first, so no task ranks all rows."""
-    parts = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    sizes = local.groupBy("_p").agg(F.count("*").alias("_c"))  # a row for each partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    most = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_most"))
-    return local.join(F.broadcast(before), "_p").crossJoin(F.broadcast(most)).withColumn("id", F.col("_most") + F.col("_before") + F.col("_i")).drop("_p", "_i", "_before", "_most")
+    """rows with ids after the greatest in current, in order; ranked in buckets, so no task ranks all rows."""
+    most = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_most"))  # one row
+    return numbered(rows.crossJoin(F.broadcast(most)), [F.col(order)], "id", F.col("row._most")).drop("_most")
 
 
 def page_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:

@@ -90,12 +90,12 @@ ORACLE_SQL = {
     "rights_label": with_catalog(f"SELECT id, CASE WHEN {_BUCKET} = 'public_domain' THEN 'Likely public domain' ELSE 'Rights uncertain' END AS label FROM catalog"),
     "archive_overview": with_catalog(f"SELECT count(*) AS total_documents, count(DISTINCT {_CLEAN.format('author_display')}) AS authors, count(DISTINCT {_CLEAN.format('century_label')}) AS centuries, count(DISTINCT {_CLEAN.format('language')}) AS languages, count(*) FILTER ({_BUCKET} = 'public_domain') AS public_domain, greatest(count(*) - count(*) FILTER ({_BUCKET} = 'public_domain'), 0) AS undetermined, min(publication_year) AS min_year, max(publication_year) AS max_year FROM published"),
     "language_options": with_catalog(f"SELECT DISTINCT {_CLEAN.format('language')} AS language FROM published WHERE {_CLEAN.format('language')} IS NOT NULL"),
-    "group_by_author": with_catalog(f"SELECT {_AUTHOR} AS author, count(*) AS documents, list(id ORDER BY id) AS ids FROM published GROUP BY 1"),
-    "group_by_century": with_catalog(f"SELECT {_CENTURY} AS century, count(*) AS documents, list(id ORDER BY id) AS ids FROM published GROUP BY 1"),
+    "group_by_author": with_catalog(f"SELECT {_AUTHOR} AS author, count(*) OVER (PARTITION BY {_AUTHOR}) AS documents, id FROM published"),
+    "group_by_century": with_catalog(f"SELECT {_CENTURY} AS century, count(*) OVER (PARTITION BY {_CENTURY}) AS documents, id FROM published"),
     "top_authors": with_catalog(f"SELECT {_AUTHOR} AS author, count(*) AS documents FROM published GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6"),
     "top_centuries": with_catalog(f"SELECT {_CENTURY} AS century, count(*) AS documents FROM published GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6"),
     "era_sections": with_catalog(f"SELECT * FROM {_SECTIONS}"),
-    "era_year_buckets": with_catalog(f"SELECT era, coalesce(cast(publication_year AS string), 'Undated') AS year_label, count(*) AS documents, list(id ORDER BY title, id) AS ids FROM {_ERA} GROUP BY 1, 2"),
+    "era_year_buckets": with_catalog(f"SELECT era, coalesce(cast(publication_year AS string), 'Undated') AS year_label, count(*) OVER (PARTITION BY era, publication_year) AS documents, id FROM {_ERA}"),
     "era_rollup": with_catalog(f"SELECT count(*) AS sections, cast(sum(buckets) AS bigint) AS year_buckets, cast(sum(documents) AS bigint) AS documents FROM {_SECTIONS}"),
     "viewer_state": with_pages(f"SELECT p.document_id, slug, page_number, {_url('source_pdf_path')} AS source_pdf_url, {_url('digitalized_pdf_path')} AS digitalized_pdf_url, {_url('korean_pdf_path')} AS korean_pdf_url, {_url('image_path')} AS image_url FROM doc_pages p JOIN catalog c ON c.id = p.document_id WHERE status = 'published'"),
     "card_projection": with_catalog(f"SELECT id, title, {_AUTHOR} AS author, coalesce(cast(publication_year AS string), 'n.d.') AS year, coalesce(journal_or_book, 'Independent manuscript') AS journal, concat_ws(' · ', 'Vol. ' || volume, 'No. ' || issue) AS numbers, CASE WHEN {_BUCKET} = 'public_domain' THEN 'Likely public domain' ELSE 'Rights uncertain' END AS rights FROM published"),

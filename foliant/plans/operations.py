@@ -177,10 +177,8 @@ QUERIES = {
     "cached_images": lambda s, d: P.cached_images(_flags(s, d), _flags(s, d).where("page_number % 5 <> 0")),
     "reassessed_rights": lambda s, d: P.reassessed(_docs(s, d).selectExpr("doc_id AS document_id", "'old' AS reason", "'kept' AS basis"), _docs(s, d).selectExpr("doc_id AS document_id", "CASE WHEN doc_id % 2 = 0 THEN 'new' END AS reason")),
     "cached_source": lambda s, d: _docs(s, d).select("doc_id", P.cached_source([(F.lit("a.pdf"), F.col("doc_id") % 3 == 0), (F.when(F.col("doc_id") % 2 == 0, "b.pdf").otherwise(""), F.lit(True)), (F.lit("c.pdf"), F.col("doc_id") % 5 == 0)]).alias("path")),
-    "log_tail": lambda s, d: _docs(s, d).select("doc_id", P.log_tail(F.col("text"), 3).alias("tail")),
-    "log_tail_200": lambda s, d: _docs(s, d).select("doc_id", P.log_tail(F.col("text")).alias("tail")),
-    "ops_ranked": lambda s, d: O.ranked(summary(s, d)).select("folder", "priority_rank").limit(100),
-    "ops_ranked_all": lambda s, d: O.ranked(summary(s, d)).select("folder", "priority_rank"),
+    "log_tail": lambda s, d: _docs(s, d).select("doc_id", P.log_tail(F.col("text")).alias("tail")),
+    "ops_ranked": lambda s, d: O.ranked(summary(s, d)).select("folder", "priority_rank"),
     "ops_counts": lambda s, d: O.counts(summary(s, d)),
     "compile_warnings": lambda s, d: O.compile_warnings(O.log_lines(files(s, d))),
     "warning_summary": lambda s, d: O.warning_summary(O.compile_warnings(O.log_lines(files(s, d)))),
@@ -280,8 +278,7 @@ ORACLE_SQL = {
     "cached_images": _p("SELECT document_id, CASE WHEN max(page_number) < 5 THEN list(printf('images/page_%03d.png', page_number) ORDER BY page_number) ELSE [] END AS images FROM p GROUP BY 1"),
     "reassessed_rights": "SELECT doc_id AS document_id, 'kept' AS basis, CASE WHEN doc_id % 2 = 0 THEN 'new' END AS reason FROM documents",
     "cached_source": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a.pdf' WHEN doc_id % 2 = 0 THEN 'b.pdf' WHEN doc_id % 5 = 0 THEN 'c.pdf' END AS path FROM documents",
-    "log_tail": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), greatest(len(string_split(text, chr(10))) - 2, 1), len(string_split(text, chr(10)))), chr(10)) AS tail FROM documents",
-    "log_tail_200": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), greatest(len(string_split(text, chr(10))) - 199, 1), len(string_split(text, chr(10)))), chr(10)) AS tail FROM documents",
+    "log_tail": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), greatest(len(string_split(text, chr(10))) - 199, 1), len(string_split(text, chr(10)))), chr(10)) AS tail FROM documents",
     "failed_pages": _e("failed_pages", "successful_pages", "total_pages"),
     "pdf_compiled": _e("digitalized_compiled", "korean_compiled"),
     "infer_title": _e("title"),
@@ -290,8 +287,7 @@ ORACLE_SQL = {
     "next_action": _e("next_action"),
     "priority_rank": _e("priority_rank"),
     "publish_ready": _e("publish_ready"),
-    "ops_ranked": _w("SELECT folder, priority_rank FROM e ORDER BY priority_rank, lower(folder), folder LIMIT 100"),
-    "ops_ranked_all": _w("SELECT folder, priority_rank FROM e ORDER BY priority_rank, lower(folder), folder"),
+    "ops_ranked": _w("SELECT folder, priority_rank FROM e ORDER BY priority_rank, lower(folder), folder"),
     "ops_counts": _w("SELECT count(*) AS total_outputs, count(*) FILTER (publish_status = 'published') AS published_outputs, count(*) FILTER (publish_ready) AS ready_to_publish_outputs, count(*) FILTER (publish_status = 'failed') AS publish_failed_outputs, count(*) FILTER (metadata IS NOT NULL AND cast(regexp_extract(folder, '(\\d+)$', 1) AS bigint) % 2 = 1) AS metadata_review_outputs, count(*) FILTER (rights_needs_manual_review) AS rights_review_outputs, count(*) FILTER (compile_warning_count > 0) AS compile_warning_outputs, count(*) FILTER (partial_output) AS partial_outputs, count(*) FILTER (hung_suspected) AS hung_suspected_outputs, count(*) FILTER (NOT has_quality_report) AS missing_quality_reports FROM e"),
     "compile_warnings": _w("SELECT * FROM warn"),
     "warning_summary": _w("SELECT * FROM ws"),

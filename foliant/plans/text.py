@@ -23,11 +23,11 @@ _TEX = f"""SELECT doc_id, text, {lit(chr(92) + 'documentclass[12pt,a4paper]{arti
   || {lit(chr(10) + chr(92) + 'section{')} || substr(split_part(text, chr(10), 1), 1, 40) || {lit('}' + chr(10))} || replace(text, chr(10), {lit(chr(10) + ' ' + chr(92) + 'newpage ' + chr(10))})
   || {lit(chr(10) + chr(92) + 'noindent ' + chr(92) + 'textbf{bold} 3' + chr(92) + 'cdot5 {x}  y' + chr(92) * 2 + 'z ' + chr(92) + 'footnote[*]{n}' + chr(10) * 4)}
   || CASE WHEN doc_id % 7 = 0 THEN '' ELSE {lit(chr(92) + 'end{document}' + chr(10))} END AS tex FROM {{documents}}"""
-_MODEL = f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '%%% BEGIN_LATEX %%%' || chr(10) || substr(text, 1, 80) || chr(10) || '%%% END_LATEX %%%' WHEN 1 THEN 'so: %%%  BEGIN_LATEX %%% ' || substr(text, 1, 60)
-  WHEN 2 THEN 'see' || chr(10) || '```latex' || chr(10) || substr(text, 1, 50) || chr(10) || '```' WHEN 3 THEN substr(text, 1, 40) ELSE '```' || chr(10) || {lit(chr(92) + 'begin{document}')} || substr(text, 1, 30) || chr(10) || '```' END AS answer FROM {{documents}}"""
+_MODEL = f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '%%% BEGIN_LATEX %%%' || chr(10) || text || chr(10) || '%%% END_LATEX %%%' WHEN 1 THEN 'so: %%%  BEGIN_LATEX %%% ' || text
+  WHEN 2 THEN 'see' || chr(10) || '```latex' || chr(10) || text || chr(10) || '```' WHEN 3 THEN text ELSE '```' || chr(10) || {lit(chr(92) + 'begin{document}')} || text || chr(10) || '```' END AS answer FROM {{documents}}"""
 _VALUES = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '   ' WHEN 2 THEN '1499' WHEN 3 THEN concat('Printed in ', cast(1400 + doc_id % 800 AS string), '.') WHEN 4 THEN concat(' ', cast(1490 + doc_id % 700 AS string), ' ') ELSE concat(' Some  Name ', source, ' ') END AS v FROM {documents}"""
-_LOGS = f"""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN {lit('Overfull ' + chr(92) + 'hbox (3pt too wide)')} WHEN 1 THEN {lit('  Underfull ' + chr(92) + 'hbox (badness 10)')} WHEN 2 THEN 'Missing character: There is no x' WHEN 3 THEN concat('Package hyperref Warning: Token not allowed ', substr(text, 1, 90), ' on input line ', cast(doc_id AS string), '.')
-  WHEN 4 THEN concat('LaTeX Warning: Reference undefined on input line ', cast(doc_id AS string), '.') WHEN 5 THEN 'Package babel Info: The file is missing' WHEN 6 THEN '' ELSE substr(split_part(text, chr(10), 1), 1, 50) END AS line FROM {{documents}}"""
+_LOGS = f"""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN {lit('Overfull ' + chr(92) + 'hbox (3pt too wide)')} WHEN 1 THEN {lit('  Underfull ' + chr(92) + 'hbox (badness 10)')} WHEN 2 THEN 'Missing character: There is no x' WHEN 3 THEN concat('Package hyperref Warning: Token not allowed ', text, ' on input line ', cast(doc_id AS string), '.')
+  WHEN 4 THEN concat('LaTeX Warning: Reference undefined on input line ', cast(doc_id AS string), '.') WHEN 5 THEN 'Package babel Info: The file is missing' WHEN 6 THEN '' ELSE text END AS line FROM {{documents}}"""
 _PATHS = """SELECT doc_id, concat('Doc ', cast(doc_id AS string)) AS name, CASE doc_id % 12 WHEN 0 THEN concat('doc ', cast(doc_id AS string), '_Source.PDF') WHEN 1 THEN concat('Doc ', cast(doc_id AS string), '_Korean.tex') WHEN 2 THEN 'images/page_001.png' WHEN 3 THEN 'images/extra/Über scan.PNG' WHEN 4 THEN 'page_012.tex' WHEN 5 THEN 'page_012_structure.json'
   WHEN 6 THEN 'page_012_failure.json' WHEN 7 THEN 'page_12.tex' WHEN 8 THEN 'notes/Final Report (v2).tar.json' WHEN 9 THEN concat('Doc ', cast(doc_id AS string), '_quality_report.json') WHEN 10 THEN 'a//b c.txt' ELSE concat('Doc ', cast(doc_id AS string), '_translation_notes.txt') END AS path FROM {documents}"""
 _RANGES = """SELECT doc_id, cast(1 + doc_id % 9 AS int) AS n, CASE doc_id % 4 WHEN 0 THEN '1-3,5' WHEN 1 THEN '4, 2 ,7' WHEN 2 THEN '5-2,1' ELSE concat(cast(doc_id % 5 AS string), '-', cast(doc_id % 9 AS string), ',,2') END AS spec FROM {documents}"""
@@ -171,18 +171,3 @@ ORACLE_SQL = {
     "page_names": _sql(_RANGES, "SELECT doc_id, printf('page_%03d.tex', n) AS tex, printf('page_%03d.png', n) AS png FROM t"),
     "tex_length": _sql(_RANGES, f"SELECT doc_id, {_LEN} AS length FROM t"),
 }
-
-#: The model's answers and log lines about whole texts, for queries beside those on prefixes.
-_WHOLE = {sql: re.sub(r"substr\((text|split_part\(text, chr\(10\), 1\)), 1, \d+\)", "text", sql) for sql in (_MODEL, _LOGS)}
-_whole_model, _whole_logs = (_of(sql) for sql in _WHOLE.values())
-QUERIES |= {
-    "is_latex_whole": _whole_model(_one(lambda: X.is_latex(_c("answer")), "latex")),
-    "normalize_latex_whole": _whole_model(_one(lambda: X.normalize_latex(_c("answer")), "source")),
-    "extract_block_whole": _whole_model(_one(lambda: X.extract_block(_c("answer"), "BEGIN_LATEX"), "block")),
-    "extract_json_whole": _whole_model(_one(lambda: U.extract_json(F.concat(F.lit("Here {x} is: "), F.to_json(F.struct("doc_id", "answer")), F.lit(" done"))), "found")),
-    "log_classify_whole": _whole_logs(_one(lambda: X.log_message(_c("line")), "message", "line")),
-    "truncate_whole": _whole_logs(_one(lambda: X.truncate(F.coalesce(X.log_message(_c("line")), F.lit(""))), "short")),
-}
-for _short, _long in _WHOLE.items():
-    _short, _long = (x.format(documents="documents") for x in (_short, _long))
-    ORACLE_SQL |= {f"{k}_whole": v.replace(_short, _long) for k, v in ORACLE_SQL.items() if _short in v and f"{k}_whole" in QUERIES}

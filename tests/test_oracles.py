@@ -49,15 +49,15 @@ def test_runs_without_sql(spark, name):
 
 
 def test_ranking_holds_every_folder_in_order(spark, duck):
-    found = [tuple(r) for r in registry.queries()["ops_ranked_all"](spark, SF).collect()]
-    assert len(found) > 100 and found == duck.sql(registry.oracle_sql()["ops_ranked_all"]).fetchall()
+    found = [tuple(r) for r in registry.queries()["ops_ranked"](spark, SF).collect()]
+    assert len(found) > 100 and found == duck.sql(registry.oracle_sql()["ops_ranked"]).fetchall()
 
 
 def test_blocks_hold_whole_texts(spark, duck):
     most = duck.sql("SELECT max(length(trim(text))) FROM documents WHERE doc_id % 5 = 0").fetchall()[0][0]
-    assert max(len(r.block or "") for r in registry.queries()["extract_block_whole"](spark, SF).collect()) >= most > 1000
+    assert max(len(r.block or "") for r in registry.queries()["extract_block"](spark, SF).collect()) >= most > 1000
 
 
 def test_tail_holds_200_lines(spark, duck):
     most = duck.sql("SELECT max(least(len(string_split(text, chr(10))), 200)) FROM documents").fetchall()[0][0]
-    assert max(r.tail.count("\n") + 1 for r in registry.queries()["log_tail_200"](spark, SF).collect()) == most > 3
+    assert max(r.tail.count("\n") + 1 for r in registry.queries()["log_tail"](spark, SF).collect()) == most > 3
