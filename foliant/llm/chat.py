@@ -4,7 +4,8 @@ Each turn becomes <|im_start|>role\\ntext<|im_end|>\\n. Prefix sums of the turns
 turns that fit the budget; each window holds the conversation's system turn (a first turn of role system), at most
 `history` earlier turns as far as they fit, and a span. History is repeated, so its targets are masked there: under the
 loss mask each assistant text counts once, in its own span. A turn that alone exceeds the budget gets a window of its
-own, whole.
+own, whole. A system turn of more than half the budget isn't repeated: it is a turn like others, so the windows hold twice
+the conversation's tokens, and its history, at most.
 
 Control strings inside roles and texts are escaped reversibly: in every <|...|> the bar after < is doubled for each
 level already there (<|im_end|> becomes <||im_end|>, <||x becomes <|||x), so no text can end a turn or start another.
@@ -111,7 +112,7 @@ def format_chats(turns: DataFrame, budget: int = 2048, history: int = 2) -> Data
                     if state:
                         close(state, True)
                     state = {"id": i, "system": [], "back": [], "new": [], "cost": 0, "n": 0, "at": 0}
-                    if role == "system":
+                    if role == "system" and 2 * n_tokens(role, text) <= budget:
                         state["system"] = [(role, text)]
                         continue
                 state["new"].append((role, text))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,21 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: The folders that this process's operators have written to, in order.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one in local mode;
+    on a cluster there is no folder to fall back on, so it fails."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="foliant-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -28,6 +37,43 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def removed(df: DataFrame) -> None:
+    """Removes the folder of a written table that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+def made() -> int:
+    """How many folders there are now, for sweep()."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Removes what the operators have written since there were `since` folders (of made()), but for keep's. For whoever has consumed or written the operators' results, which are lazy and read these folders."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in keep.inputFiles()} if keep is not None else set()
+    for folder in [f for f in _MADE[since:] if f.rsplit("/", 1)[1] not in kept]:
+        _delete(spark, folder)
+        _MADE.remove(folder)
+
+
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the columns of these names (in any case) under names of their own, and what selects docs' columns, under
+    their old names, from a result that has kept them."""
+    taken = {n.lower() for n in names}
+    new = {c: f"_aside{i}_{uuid.uuid4().hex}" if c.lower() in taken else c for i, c in enumerate(docs.columns)}
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`{k}`").alias(c) for c, k in new.items()])
+
+    return docs.select(*[F.col(f"`{c}`").alias(k) for c, k in new.items()]), back
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

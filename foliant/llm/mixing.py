@@ -10,8 +10,8 @@ the outcome nearest to the source's target. A source of any share of the rows is
 
 A null text has size 0; null sources are a source of their own, last in order. Rows with the same id, source and size
 are one unit of the draw, of their number and size together. An empty table gives an empty result. Totals are
-collected per source (one small row for each source), nothing else is. Other columns pass through; those named like
-the result's are replaced.
+collected per source (one small row for each source, MAX_SOURCES at most; more is an error), nothing else is. Other
+columns pass through, whatever their names; those named like the result's are replaced.
 """
 
 from __future__ import annotations
@@ -115,35 +115,56 @@ def cube_sample(units: DataFrame, block: int = 2000, seed: int = 11) -> DataFram
         if last:
             done.append(dealt.groupBy("_group").applyInPandas(run(True), schema))
             break
-        dealt = dealt.join(F.broadcast(counts), "_group").withColumn("_block", F.pmod(F.xxhash64("_order"), F.ceil(F.col("_rows") / block).cast("long")))
+        dealt = dealt.join(counts, "_group").withColumn("_block", F.pmod(F.xxhash64("_order"), F.ceil(F.col("_rows") / block).cast("long")))
         moved = written(dealt.groupBy("_group", "_block").applyInPandas(run(False), schema))
         done.append(moved.where("_p IN (0, 1)"))
         units, level = moved.where("_p NOT IN (0, 1)"), level + 1
     return reduce(DataFrame.union, done)
 
 
-def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float = 2.0, size: Column | None = None, block: int = 2000, seed: int = 11) -> DataFrame:
-    """docs (doc_id, source) with size, source_size, target, copies (how often the mix takes the row) and taken (copies * size)."""
-    spark = docs.sparkSession
-    docs = docs.drop("source_size", "target", "copies", "taken", "_group")
-    sized = docs.withColumn("size", n_words(F.col("text")) if size is None else size)
-    kinds = written(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_n")))
-    totals = {r[0]: r[1] for r in kinds.groupBy("source").agg(F.sum(F.col("size") * F.col("_n"))).collect()}
-    goal, rows = targets(totals, weights, share, cap), []
+#: Columns that mix() adds.
+RESULT = ("size", "source_size", "target", "copies", "taken")
+#: Sources whose totals may come to the driver at once.
+MAX_SOURCES = 1_000_000
+
+
+def _planned(totals: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
+    """A row (source, group, source_size, target, whole, p) for each source of totals (source, source_size)."""
+    rows = totals.limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: mix their groups first")
+    sizes = {r[0]: r[1] for r in rows}
+    goal, out = targets(sizes, weights, share, cap), []
     for i, s in enumerate(goal):
-        ratio = goal[s] / totals[s] if totals[s] else 0.0
+        ratio = goal[s] / sizes[s] if sizes[s] else 0.0
         whole = int(ratio + _EPS)
         frac = ratio - whole
-        rows.append((s, i, totals[s], goal[s], whole, frac if _EPS < frac < 1 - _EPS else 0.0))
-    plan = F.broadcast(spark.createDataFrame(rows, "_source string, _group int, source_size long, target double, _whole int, _p double"))  # a row for each source
-    open_ = kinds.join(plan, kinds["source"].eqNullSafe(F.col("_source"))).where("_p > 0").select(
-        "_group", "_p", (F.col("size") * F.col("_n")).alias("size"), "_n", F.struct("doc_id", F.col("size").alias("s")).alias("_key"))
-    drawn = written(cube_sample(open_, block, seed).where("_p = 1").select("_group", F.col("_key.doc_id").alias("_id"), F.col("_key.s").alias("_size")))
-    planned = sized.join(plan, sized["source"].eqNullSafe(F.col("_source")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")) & (planned["_group"] == drawn["_group"])
-    found = planned.join(drawn, same, "left")
-    copies = F.col("_whole") + F.col("_size").isNotNull().cast("int")
-    return found.select(*sized.columns, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        out.append((s, i, sizes[s], goal[s], whole, frac if _EPS < frac < 1 - _EPS else 0.0))
+    return totals.sparkSession.createDataFrame(out, "source string, group int, source_size long, target double, whole int, p double")
+
+
+def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float = 2.0, size: Column | None = None, block: int = 2000, seed: int = 11) -> DataFrame:
+    """docs (doc_id, source) with size, source_size, target, copies (how often the mix takes the row) and taken (copies * size).
+
+    Sizes are computed once, into a table of ids; texts are read again only for the result, by a join on the id, the source
+    and a hash of the text (or the size given)."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in RESULT]) if size is None else docs
+    tag = F.xxhash64("text") if size is None else size
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULT])
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), tag.cast("long").alias("tag"), (n_words(F.col("text")) if size is None else size).cast("long").alias("size"))
+    kinds = written(rows.groupBy("id", "source", "tag").agg(F.count("*").alias("n"), F.first("size").alias("size")))
+    totals = kinds.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    plan = written(_planned(totals, weights, share, cap))
+    # A row for each source: Spark broadcasts it as long as it is small, else it joins by a shuffle.
+    units = kinds.alias("k").join(plan.alias("s"), F.col("k.source").eqNullSafe(F.col("s.source"))).select("k.*", "group", "source_size", "target", "whole", "p")
+    units = written(units)
+    open_ = units.where("p > 0").select(F.col("group").alias("_group"), F.col("p").alias("_p"), (F.col("size") * F.col("n")).alias("size"), F.col("n").alias("_n"), F.struct("id", "tag").alias("_key"))
+    drawn = written(cube_sample(open_, block, seed).where("_p = 1").select(F.col("_group").alias("g"), F.col("_key.id").alias("i"), F.col("_key.tag").alias("t")))
+    taken = units.join(drawn, F.col("id").eqNullSafe(F.col("i")) & F.col("tag").eqNullSafe(F.col("t")) & (F.col("group") == F.col("g")), "left")
+    taken = taken.select(F.col("id").alias("i"), F.col("source").alias("s"), F.col("tag").alias("t"), "size", "source_size", "target", (F.col("whole") + F.col("g").isNotNull().cast("int")).alias("copies"))
+    same = F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & F.col("tag").eqNullSafe(F.col("t"))
+    found = rows.select("row", "id", "source", "tag").join(taken, same)
+    return found.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 #: Production weights, by place of the source.

@@ -8,8 +8,10 @@ the query's current bound is abandoned, for by the hypothesis test its full dist
 nearest list is scanned first and yields the bound for its others. What survives is scored exactly, in double
 precision on the original vectors.
 
-How many lists to probe is calibrated on the sample, for a recall of `recall` against brute force there. Equal vectors
-are indexed once, with their k + 1 smallest ids, and searched once; that loses nothing, as ties go to smaller ids.
+How many lists to probe is calibrated on vectors of the sample that the centroids were not fitted on, for a recall of
+`recall` against brute force there; a list has ten vectors of the sample at least. `exact` probes all lists and abandons
+nothing early. Equal vectors are indexed once, with their k + 1 smallest ids, and searched once; that loses nothing, as
+ties go to smaller ids. Distances that may differ by rounding alone are all kept until the exact score decides.
 A list of any share of the vectors is split over tasks of at most about `rows` vectors and `rows` queries.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
@@ -56,21 +58,29 @@ class Index:
         return np.argsort(d, axis=1, kind="stable")[:, :k]
 
 
+def _nearest_centroid(y: np.ndarray, c: np.ndarray, block: int = 2048) -> np.ndarray:
+    """The nearest centroid of each row, in blocks of rows so that no matrix of all rows by all centroids is held."""
+    own = (c**2).sum(1)
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmin(own - 2 * y[a : a + block] @ c.T, axis=1) for a in range(0, len(y), block))])
+
+
 def fit(x: np.ndarray, norm: float, lists: int, k: int, recall: float, seed: int = 3) -> Index:
-    """Centroids by k-means over the sample x; probes so that its own queries find `recall` of their k nearest."""
+    """Centroids by k-means over nine tenths of the sample x; probes so that queries drawn from the rest find `recall` of
+    their k nearest in the whole sample."""
     rng = np.random.default_rng(seed)
     rotation, _ = np.linalg.qr(rng.normal(size=(x.shape[1] + 1, x.shape[1] + 1)))
     index = Index(norm, rotation, np.zeros((0, 0)), 1)
     y = index.lift(x)
-    c = y[rng.choice(len(y), min(lists, len(y)), replace=False)].astype(np.float64)
+    mixed = rng.permutation(len(x))
+    held, used = mixed[: len(x) // 10], mixed[len(x) // 10 :]
+    c = y[rng.choice(used, min(lists, len(used)), replace=False)].astype(np.float64)
     for _ in range(6):
-        near = np.argmin((c**2).sum(1) - 2 * y @ c.T, axis=1)
+        near = _nearest_centroid(y[used], c)
         total, n = np.zeros_like(c), np.bincount(near, minlength=len(c))
-        np.add.at(total, near, y)
+        np.add.at(total, near, y[used])
         c[n > 0] = total[n > 0] / n[n > 0, None]
     index.centroids = c
-    near = np.argmin((c**2).sum(1) - 2 * y @ c.T, axis=1)
-    some = rng.choice(len(x), min(200, len(x)), replace=False)
+    near, some = _nearest_centroid(y, c), (held if len(held) >= 20 else mixed)[:200]
     scores = x[some].astype(np.float64) @ x.T.astype(np.float64)
     scores[np.arange(len(some)), some] = -np.inf
     best = np.argsort(-scores, axis=1)[:, : min(k, len(x) - 1)]
@@ -81,18 +91,20 @@ def fit(x: np.ndarray, norm: float, lists: int, k: int, recall: float, seed: int
     return index
 
 
-def scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, step: int = 16, eps: float = 2.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates and queries (their places) and squared distances of what no test abandons; at most k for a query, but ties."""
+def scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, step: int = 16, eps: float = 2.1, slack: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates and queries (their places) and squared distances of what no test abandons: for each query the k nearest
+    and all that are within `slack` of the k-th, for distances so close may be equal but for rounding."""
     dims = x.shape[1]
     blocks = [(a, min(a + step, dims)) for a in range(0, dims, step)]
     a, b = blocks[0]
     part = (x[:, a:b] ** 2).sum(1)[:, None] + (q[:, a:b] ** 2).sum(1)[None, :] - 2 * x[:, a:b] @ q[:, a:b].T
+    slack = np.broadcast_to(np.asarray(slack, float), (len(q),))
     i, j, d = None, None, None
     for n, (a, b) in enumerate(blocks):
         if n:
             diff = x[i, a:b] - q[j, a:b]
             d = d + np.einsum("ij,ij->i", diff, diff)
-        limit = bound * (b / dims) * (1 + (eps / np.sqrt(b) if b < dims else 1e-6)) ** 2 + 1e-12
+        limit = np.full(len(q), np.inf) if b < dims and np.isinf(eps) else bound * (b / dims) * (1 + (eps / np.sqrt(b) if b < dims else 1e-6)) ** 2 + slack + 1e-12
         if n == 0:
             i, j = np.nonzero(part <= limit[None, :])
             d = part[i, j]
@@ -101,8 +113,11 @@ def scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, step: int = 16
             i, j, d = i[stays], j[stays], d[stays]
     order = np.lexsort((d, j))
     i, j, d = i[order], j[order], d[order]
-    first = np.searchsorted(j, np.arange(len(q)))
-    kept = np.arange(len(j)) - first[j] < k
+    first, last = np.searchsorted(j, np.arange(len(q))), np.searchsorted(j, np.arange(len(q)), "right")
+    kth = np.full(len(q), np.inf)
+    many = last - first >= k
+    kth[many] = d[first[many] + k - 1]
+    kept = d <= kth[j] + slack[j]
     return i[kept], j[kept], d[kept]
 
 
@@ -110,8 +125,9 @@ def _unique_id(v: Column) -> Column:
     return F.concat(F.hex(F.xxhash64(v)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), v)))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", sample: int = 20_000, recall: float = 0.98, rows: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k nearest found, nearest first, ties to the smaller vec_id."""
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", sample: int = 20_000, recall: float = 0.98, rows: int = 4096, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k nearest found, nearest first, ties to the smaller vec_id. With exact, all
+    lists are probed and nothing is abandoned before its whole distance is known."""
     spark, result = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("query"))
@@ -125,9 +141,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     salted = raw.groupBy("uid", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("salt")).agg(F.first("v").alias("v"), F.max("query").alias("query"), F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
     distinct = written(salted.groupBy("uid").agg(F.first("v").alias("v"), F.max("query").alias("query"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")))
     n, norm2 = distinct.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))).first()
-    lists = max(1, min(65_536, round(n**0.5 / 2)))
+    # A list has ten vectors of the sample at least, so that it is a cell of the data and not one vector's surroundings.
+    lists = max(1, min(sample // 10, round(n**0.5 / 2)))
     drawn = distinct.select("uid", "v").orderBy(F.xxhash64("uid"), "uid").limit(min(sample, n)).toPandas()
-    shared = spark.sparkContext.broadcast(vars(fit(np.array(drawn["v"].tolist()), norm2**0.5, min(lists, len(drawn)), k, recall)))
+    index = fit(np.array(drawn["v"].tolist()), norm2**0.5, min(lists, len(drawn)), k, recall)
+    index.probes = len(index.centroids) if exact else index.probes
+    shared = spark.sparkContext.broadcast(vars(index))
+    eps = float("inf") if exact else 2.1
 
     def deal(batches):
         index = Index(**shared.value)
@@ -170,10 +190,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 xq, bound = _matrix(right.column("v")), right.column("bound").to_numpy()
                 least = pa.compute.list_element(left.column("ids"), 0).to_numpy()
                 for a in range(0, len(xq), 256):
-                    i, j, d = scan(y, index.lift(xq[a : a + 256], query=True), bound[a : a + 256], k + 1)
-                    score = np.einsum("ij,ij->i", x[i], xq[a + j])
-                    order = np.lexsort((least[i], -score, j))
-                    out.append((i[order], a + j[order], d[order], score[order]))
+                    some = xq[a : a + 256]
+                    slack = 1e-11 * (index.norm**2 + (some * some).sum(1))  # far above what rounding does to a distance
+                    i, j, d = scan(y, index.lift(some, query=True), bound[a : a + 256], k + 1, eps=eps, slack=slack)
+                    score = np.einsum("ij,ij->i", x[i], some[j])
+                    order = np.lexsort((least[i], -score, j))  # equal scores: by the least id
+                    i, j, d, score = i[order], j[order], d[order], score[order]
+                    best = np.arange(len(j)) - np.searchsorted(j, j) <= k
+                    out.append((i[best], a + j[best], d[best], score[best]))
             i, j, d, score = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int),) * 2 + (np.zeros(0),) * 2
             return pa.table({"uid": right.column("uid").take(pa.array(j)), "ids": left.column("ids").take(pa.array(i)), "d": pa.array(d.astype(float)), "score": pa.array(score)})
 
@@ -182,7 +206,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     near = run(True, None)
     # The k-th least distance in the nearest list bounds what the other lists can add; equal vectors count each.
-    ranked = near.groupBy("uid").agg(F.slice(F.array_sort(F.collect_list("d")), k + 1, 1).alias("kth"))
+    ranked = near.groupBy("uid").agg(F.slice(F.array_sort(F.collect_list("d")), k + 1, 1).alias("kth"))  # k + 1 rows of a part
     bounds = ranked.select("uid", F.get("kth", F.lit(0)).alias("bound")).where("bound IS NOT NULL")
     found = near.union(run(False, bounds)) if shared.value["probes"] > 1 else near
     hits = found.select("uid", F.explode("ids").alias("vec_id"), "score")

@@ -19,7 +19,6 @@ each. Other columns pass through; those named like a measure are replaced.
 
 from __future__ import annotations
 
-import uuid
 from math import ceil, log2
 
 import numpy as np
@@ -29,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import packs as P
+from foliant.llm import store
 from foliant.llm.common import partitions, shared_dir, table, written
 
 _DIGEST = xxhash.xxh3_64_digest
@@ -121,35 +121,19 @@ def _count(docs: DataFrame, text: str, bits: int) -> DataFrame:
 
 
 def _save(folder: str, name: str, arrays: list[np.ndarray]) -> str:
-    """A file of arrays, one after the other, behind their lengths; returns its name. Each attempt writes its own."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path)
-    path = f"{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(f"{fs.FileSystem.from_uri(folder)[1]}/{path}") as out:
-        out.write(np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes())
-        for a in arrays:
-            out.write(a.tobytes())
-            out.write(b"\0" * (-a.nbytes % 8))
-    return path
+    """A file of arrays, one after the other, behind their lengths; returns its name."""
+    head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
+    return store.save(folder, name, [head, *(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)])
 
 
 class Files:
     """The model's files, mapped into memory where the shared folder is a local path."""
 
     def __init__(self, folder: str) -> None:
-        from pyarrow import fs
-
-        self.store, self.path = fs.FileSystem.from_uri(folder)
-        self.local = isinstance(self.store, fs.LocalFileSystem)
+        self.folder = folder
 
     def arrays(self, name: str, kinds: list[type]) -> list[np.ndarray]:
-        if self.local:
-            raw = np.memmap(f"{self.path}/{name}", np.uint8, "r")
-        else:
-            with self.store.open_input_file(f"{self.path}/{name}") as f:
-                raw = np.frombuffer(f.read(), np.uint8)
+        raw = store.load(self.folder, name)
         n = int(raw[:8].view(np.int64)[0])
         at, out = 8 + 8 * n, []
         for size, kind in zip(raw[8:at].view(np.int64).tolist(), kinds):

@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import shared_dir
+
 #: Odd multipliers for the places of a window, by splitmix64.
 MULTIPLIERS = []
 _x = 0x243F6A8885A308D3
@@ -72,8 +74,9 @@ def undeltas(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.cumsum(low.astype(np.uint32) | (high.astype(np.uint32) << np.uint32(16)), dtype=np.uint32)
 
 
-def pack(docs: DataFrame, columns: list[str], buckets: int, target: int = 6_000_000) -> DataFrame:
-    """A table of packs (pack, body) bucketed by pack; each holds rows of the columns, about `target` bytes of the last."""
+def pack(docs: DataFrame, columns: list[str], buckets: int, target: int = 4_000_000) -> DataFrame:
+    """A table of packs (pack, body) in the shared folder, bucketed by pack; each holds rows of the columns, about `target`
+    bytes of the last."""
     spark, name = docs.sparkSession, f"llm_packs_{uuid.uuid4().hex}"
 
     def run(batches):
@@ -96,7 +99,7 @@ def pack(docs: DataFrame, columns: list[str], buckets: int, target: int = 6_000_
             yield row()
 
     made = docs.select(*columns).mapInArrow(run, "pack long, body binary")
-    made.write.bucketBy(buckets, "pack").saveAsTable(name)
+    made.write.bucketBy(buckets, "pack").option("path", shared_dir(spark)).saveAsTable(name)
     return spark.table(name)
 
 

@@ -2,16 +2,16 @@
 
 A window of `width` words contains a whole block of k = (width + 1) // 2 words that starts at a multiple of k, wherever
 it lies. So the index holds the non-overlapping k-word blocks of every document, and every rolling k-word window
-probes it. Windows around an anchor found in more than one place are candidates; they are compared by 96-bit hashes
-of all their words, each candidate learns the least document that holds it, and a document's words under windows of a
-lesser document, the union of which are the maximal exact repeats, are removed.
+probes it. An anchor found in more than one place is extended to all windows around it; these candidates are compared by
+96-bit hashes of all their words, and each learns the least document that holds it. Windows of a lesser document that
+overlap or touch join to maximal repeats, which are removed and told as spans.
 
 Anchors and candidates travel between packs and hash buckets (see packs), so a passage in very many documents is one
-entry of each pack; no pairs are formed, and anchors only narrow the search: what they let through is judged exactly.
+entry of each pack; no pairs are formed, and anchors only narrow the search: what they let through is judged by all words.
 
 Null and empty texts have no words. Repeated rows, having one id, don't remove each other's words. A row with a null id
 keeps its text and removes nothing. Texts are read whole, of any length. Other columns pass through; n_words,
-n_removed and kept_sha256 are replaced. An empty table gives an empty result.
+n_removed, kept_sha256 and removed are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -156,10 +156,11 @@ def _least_documents(held: list[tuple[int, bytes]]):
             yield p, P.squeeze(np.packbits(less), mine[less])
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text: str = "text", bucket_words: int = 2_000_000) -> DataFrame:
-    """docs with text less what repeats a lesser document (untouched texts stay as they are), n_words, n_removed, kept_sha256."""
+def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text: str = "text", bucket_words: int = 3_000_000) -> DataFrame:
+    """docs with text less what repeats a lesser document (untouched texts stay as they are), n_words, n_removed, kept_sha256
+    and removed, the maximal repeats as spans of words (a to b, b not included)."""
     spark = docs.sparkSession
-    others = [c for c in docs.columns if c not in (id_col, text, "n_words", "n_removed", "kept_sha256")]
+    others = [c for c in docs.columns if c not in (id_col, text, "n_words", "n_removed", "kept_sha256", "removed")]
     size = docs.agg(F.sum(F.length(F.col(text)))).first()[0] or 0
     buckets = max(8, ceil(size / 6 / bucket_words))
     tasks = max(partitions(spark), ceil(size / 24_000_000))
@@ -177,7 +178,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     least = P.in_buckets(P.to_buckets(packed, anchors, windows), tasks, _least_documents)
     answers = written(least.withColumn("bucket", -1 - F.col("bucket"))).union(anchors)
     schema = docs.select(id_col, *others, text).withColumn(id_col, F.col(id_col).cast("long")).schema
-    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")):
+    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("removed", "array<struct<a:int,b:int>>")):
         schema = schema.add(name, kind)
 
     def cut(batches):
@@ -195,7 +196,9 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
                     words = (r[-1] or "").encode("utf-8", "surrogatepass").split()
                     kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
                     body_text = kept.decode("utf-8", "surrogatepass") if gone.any() else r[-1]
-                    out.append((*r[:-1], body_text, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+                    edges = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
+                    spans = [{"a": x, "b": y} for x, y in zip(edges[::2], edges[1::2])]
+                    out.append((*r[:-1], body_text, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     return P.with_answers(packed, answers).mapInArrow(cut, schema)

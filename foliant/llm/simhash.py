@@ -129,13 +129,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
-    """Star links (a, b), a > b, between the documents of nodes (fp, doc; fp distinct) within the radius."""
-    count, agree = nodes.count(), 1
-    while count > 64 << (64 * agree // (radius + agree)):  # shards of 64 on average
+def choices_of(radius: int, count: int, rows: int = 64) -> list[int]:
+    """Masks of bit blocks such that fingerprints within the radius agree on one of them; more blocks the larger `count` is,
+    so that a shard holds `rows` of them on average at most."""
+    agree = 1
+    while count > rows << (64 * agree // (radius + agree)):
         agree += 1
     masks = _block_masks(radius + agree)
-    choices = [sum(masks[i] for i in c) for c in combinations(range(radius + agree), agree)]
+    return [sum(masks[i] for i in c) for c in combinations(range(radius + agree), agree)]
+
+
+def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
+    """Star links (a, b), a > b, between the documents of nodes (fp, doc; fp distinct) within the radius."""
+    count = nodes.count()
+    choices = choices_of(radius, count)
     keys: list[Column] = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(choices)]
     keyed = nodes.select("fp", "doc", F.explode(F.array(*keys)).alias("key"))
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
