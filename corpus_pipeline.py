@@ -1,19 +1,18 @@
 """The corpus pipeline: toxicity, near-dedup, substring dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows the one before has kept, and returns a DataFrame; all but the
-last return the columns of documents. Rows whose doc_id is null pass the dedup stages.
+last return the columns of documents as they are, whatever their names; columns that a stage computes on the way don't
+replace them. Rows whose doc_id is null pass the dedup stages. Of rows that repeat an id, those with unlike texts are
+documents of their own; of those with the same text one stays, the least by its columns. Null texts count as empty ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import common, mixing, packing, repeats, shingles, toxicity
 
-#: The near-dedup stage's rule before it compared whole sets of shingles; test_pipeline_stages still reads these two.
-RADIUS = 7
-SHINGLE = 2
 #: Words of a passage that may stand in one document only.
 PASSAGE = 13
 
@@ -21,30 +20,40 @@ PASSAGE = 13
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the labels, doesn't call toxic."""
     model = toxicity.train(spark, docs, sf_dir)
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    held, back = common.aside(docs, "score", "predicted")
+    return back(toxicity.score(held, model).where("predicted = 0"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each class of near copies; of rows that repeat an id, those whose texts are no near copies."""
+    """The least document of each class of near copies; of rows that repeat an id, those whose texts are no near copies.
+
+    Few rows are dropped or repeated; a filter of bounded size tells which rows may be, and only these are shuffled.
+    """
     found = shingles.near_copies(docs)
-    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("k")).select("k.*")
-    alike = Window.partitionBy("doc_id", "key", "text").orderBy(*docs.columns)
-    some = docs.withColumn("key", F.xxhash64("text")).join(kept, ["doc_id", "key"], "left_semi")
-    some = some.withColumn("_row", F.row_number().over(alike)).where("_row = 1")
-    return some.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    each = found.groupBy("component", "doc_id", "key").agg(F.count("*").alias("n"))
+    least = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("least"))
+    odd = each.join(least, "component").withColumn("drop", F.struct("doc_id", "key") != F.col("least")).where("drop OR n > 1")
+    odd = common.written(odd.select("key", F.col("doc_id").alias("id"), "drop"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("id"))
+    rows = shingles.filtered(rows, "key", odd)
+    some = rows.where("_may").join(odd, ["key", "id"], "left")
+    one = some.where("NOT drop").groupBy("id", "key").agg(F.min("row").alias("row"))
+    kept = rows.where("NOT _may").select("row.*").union(some.where("drop IS NULL").select("row.*")).union(one.select("row.*"))
+    return kept.union(docs.where("doc_id IS NULL"))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a lesser one holds; those of which nothing is left go."""
-    cut = repeats.remove_repeats(docs, PASSAGE).where("n_removed = 0 OR n_removed < n_words")
+    held, back = common.aside(docs, "n_words", "n_removed", "kept_sha256", "removed")
+    cut = repeats.remove_repeats(held, PASSAGE).where("n_removed = 0 OR n_removed < n_words")
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", chars).select(*docs.columns)
+    return back(cut.withColumn("n_chars", chars))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs, mixing.WEIGHTS)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    held, back = common.aside(docs, *mixing.RESULT)
+    return back(mixing.mix(held, mixing.WEIGHTS).where("copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +75,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, made = common.table(spark, sf_dir, "documents"), common.made()
     for _, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir))
+        common.sweep(spark, made, docs)
     return docs
