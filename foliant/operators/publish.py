@@ -92,13 +92,6 @@ def author_bridge(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.groupBy("sort_name").agg(F.min("author_display").alias("display_name")), named.select("document_id", "sort_name", F.lit(1).alias("ordinal"))
 
 
-def bundle(rows: DataFrame) -> DataFrame:
-    """Document rows of bundles: rows hold id, title, author, publication_year, pages, requested, cover, assessment."""
-    return rows.select("id", "slug", "title", "author", X.century_label(F.col("publication_year")).alias("century_label"), "publication_year", F.size("pages").alias("page_count"),
-        F.coalesce(F.size("requested"), F.size("pages")).alias("requested_page_count"), F.when(F.size("pages") > 0, F.concat(F.lit("images/"), X.page_name(F.col("pages")[0], "png"))).alias("cover_image_path"),
-        F.when(F.size("pages") == 0, "No page_*.tex files found.").alias("error"))
-
-
 def batch_counts(results: DataFrame) -> DataFrame:
     s = F.col("status")
     return results.agg(F.count_if(s != "skipped").alias("queued"), F.count_if(s.startswith("skipped")).alias("skipped"), F.count_if(s == "published").alias("published"), F.count_if(s == "failed").alias("failed"), F.count_if(s == "dry_run").alias("dry_run"))
@@ -108,6 +101,34 @@ def publish_report(status: Column, reason: Column, slug: Column) -> Column:
     return F.to_json(F.struct(status.alias("status"), reason.alias("reason"), slug.alias("slug")))
 
 
+def _report(status: str, reason: Column, slug: Column, **more: Column | None) -> Column:
+    """A report as JSON that keeps nulls; keys without a column are left out."""
+    null = F.lit(None).cast("string")
+    parts = {"status": F.lit(status), "reason": reason, "slug": slug} | {k: c for k, c in more.items() if c is not None} | {"published_at": null}
+    return F.to_json(F.struct(*(c.alias(k) for k, c in parts.items())), {"ignoreNullFields": "false"})
+
+
+def dry_run_report(slug: Column, bucket: Column, root: Column, assets: Column, pages: Column, policy: str | None = None) -> Column:
+    """What a publication would have done."""
+    return _report("dry_run", F.lit(None).cast("string"), slug, storage_bucket=bucket, storage_root=root, uploaded_assets=assets, published_pages=pages, slug_conflict_policy=F.lit(policy) if policy else None)
+
+
+def disabled_report(reason: str = "Publishing disabled by configuration.") -> Column:
+    return _report("disabled", F.lit(reason), F.lit(None).cast("string"))
+
+
+def failed_report(slug: Column, reason: Column, policy: str | None = None, health: Column | None = None) -> Column:
+    """Why a publication failed; health is a struct of status and reason."""
+    return _report("failed", reason, slug, slug_conflict_policy=F.lit(policy) if policy else None, health_check=health)
+
+
+def result_rows(entries: DataFrame, reports: DataFrame) -> DataFrame:
+    """The entries of a batch with what their reports (folder, report as JSON, report_path) say; entries without stay out."""
+    r, kinds = F.col("report"), {"status": "string", "reason": "string", "published_at": "string", "slug_conflict_policy": "string", "overwrote_existing": "boolean"}
+    told = reports.select("folder", "report_path", *(F.get_json_object(r, f"$.{k}").cast(t).alias(k) for k, t in kinds.items()))
+    return entries.drop("status", "reason").join(told, "folder")
+
+
 def batch(entries: DataFrame, dry_run: bool) -> DataFrame:
     """One report for each queued entry; an entry with an error fails alone."""
     status = F.when(F.col("error").isNotNull(), "failed").otherwise("dry_run" if dry_run else "published")
@@ -154,12 +175,6 @@ def rebuild(old: dict[str, Column], new: dict[str, Column], retry: Column) -> Co
     return out
 
 
-def initial_state(runs: DataFrame, prior: DataFrame) -> DataFrame:
-    """The state a run starts in: what an earlier run recorded is carried over, errors are not."""
-    kept = prior.select("document_id", F.col("successful_pages").alias("_done"), F.col("last_successful_stage").alias("_stage"))
-    return runs.join(kept, "document_id", "left").select("document_id", "requested_pages", F.coalesce("_done", F.array().cast("array<int>")).alias("successful_pages"), F.lit("step0_images").alias("current_stage"), F.col("_stage").alias("last_successful_stage"), F.lit(None).cast("string").alias("last_error"))
-
-
 def first_structure(pages: DataFrame) -> DataFrame:
     """Metadata of the first page (document_id, page_number, json) of each document that gives a title, author or year."""
     found = pages.select("document_id", "page_number", F.struct(*(c.alias(k) for k, c in R.structure_metadata(F.col("json")).items())).alias("m"))

@@ -91,20 +91,6 @@ def _rights_review(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d, _REPORT).select("doc_id", got.alias("r")).select("doc_id", "r.*")
 
 
-def _form(s: SparkSession, d: str) -> DataFrame:
-    """What a form shows: set values, else effective, else those of the rights; "" for none."""
-    m = _docs(s, d, _META)
-    show = lambda f: F.coalesce(F.nullif(F.col(f"ov_{f}").cast("string"), F.lit("")), F.col(f"ai_{f}").cast("string"), *([F.col(f"st_{f}").cast("string")] if f in R.RIGHTS_FIELDS else []), F.lit(""))
-    return m.select("doc_id", *(show(f).alias(f) for f in R.FIELDS))
-
-
-def _context(s: SparkSession, d: str) -> DataFrame:
-    """Metadata by precedence of a cached report, used only on resume without force: raw values win, inference is reused."""
-    m = _docs(s, d, _META)
-    use = (F.col("doc_id") % 2 == 0) & (F.col("doc_id") % 3 != 0)
-    return m.select("doc_id", use.alias("reused"), F.coalesce("pdf_title", F.when(use, F.col("st_title"))).alias("raw_title"), F.when(use, F.col("ai_author")).alias("ai_author"), F.col("ov_title").alias("override_title"))
-
-
 QUERIES = {
     "infer_structure": lambda s, d: _docs(s, d, _STRUCTURE).select("doc_id", *(c.alias(k) for k, c in R.structure_metadata(F.col("json")).items())),
     "normalize_ai": lambda s, d: _docs(s, d, _META).select("doc_id", *(c.alias(f) for f, c in _parts()["ai"].items()), *(c.alias(f"{f}_conf") for f, c in _parts()["confidence"].items())),
@@ -119,8 +105,6 @@ QUERIES = {
     "metadata_review": lambda s, d: _review(s, d).select("doc_id", F.explode("rows").alias("r")).select("doc_id", "r.*"),
     "metadata_review_summary": lambda s, d: _review(s, d).select("doc_id", R.metadata_review_summary(F.col("rows"), F.col("ai_error")).alias("summary")),
     "rights_review": _rights_review,
-    "form_metadata": _form,
-    "metadata_context": _context,
 }
 
 # DuckDB
@@ -191,6 +175,4 @@ ORACLE_SQL = {
   CASE kind WHEN 'likely_public_domain_us' THEN 'Likely public domain (US)' WHEN 'likely_public_domain_life_plus_70' THEN 'Likely public domain (life+70)' ELSE 'Rights uncertain' END AS label FROM u)
   SELECT doc_id, kind AS rights_assessment, reason AS rights_reason, review AS rights_needs_manual_review, wher AS rights_source_summary, CASE WHEN w IS NULL THEN [] ELSE [w] END AS rights_warnings,
   nullif(concat_ws('; ', CASE WHEN review THEN 'Review required: ' || label || coalesce(' (' || wher || ')', '') WHEN kind <> 'unknown' THEN label ELSE reason END, w), '') AS rights_review_summary FROM v""",
-    "form_metadata": _q("SELECT doc_id, " + ", ".join(f"coalesce(cast(ov_{f} AS string), cast(ai_{f} AS string){f', cast(st_{f} AS string)' if f in R.RIGHTS_FIELDS else ''}, '') AS {f}" for f in R.FIELDS) + " FROM n"),
-    "metadata_context": _q("SELECT doc_id, use AS reused, coalesce(pdf_title, CASE WHEN use THEN st_title END) AS raw_title, CASE WHEN use THEN ai_author END AS ai_author, ov_title AS override_title FROM (SELECT *, doc_id % 2 = 0 AND doc_id % 3 <> 0 AS use FROM n)"),
 }

@@ -10,6 +10,8 @@ from foliant.functions import text as X
 from foliant.functions import udfs as U
 from foliant.operators import operations as O
 from foliant.operators import publish as P
+from foliant.operators import runs as N
+from foliant.plans.bundle import plain, plain_sql
 from foliant.sources import artifacts as A
 from foliant.sources.adapters import CATALOG, catalog, pages, with_catalog
 from foliant.streaming import progress as S
@@ -78,12 +80,6 @@ def _two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return c.where("id % 3 <> 0"), c.where("id % 5 <> 0").withColumn("title", F.concat(F.lit("new "), "title"))
 
 
-def _bundle(s: SparkSession, d: str) -> DataFrame:
-    c, numbers = catalog(s, d), pages(s, d).where("page_number % 4 <> 1").groupBy("document_id").agg(F.array_sort(F.collect_list("page_number")).alias("pages"))
-    rows = c.join(numbers, c["id"] == numbers["document_id"], "left").select("id", "slug", "title", F.col("author_display").alias("author"), "publication_year", F.coalesce("pages", F.array().cast("array<int>")).alias("pages"), F.when(F.col("id") % 2 == 0, F.array(F.lit(1), F.lit(2))).alias("requested"))
-    return P.bundle(rows)
-
-
 def _zip(s: SparkSession, d: str) -> DataFrame:
     p = pages(s, d).groupBy("document_id").agg(F.array_sort(F.collect_list("page_number")).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("digitalized_text", F.lit("")).alias("t")))), lambda x: x["t"]).alias("a"))
     return p.select("document_id", F.explode(P.page_texts(F.filter("n", lambda x: x % 3 != 2), F.col("a"), F.slice("a", 1, 2))).alias("r")).select("document_id", "r.*")
@@ -108,11 +104,21 @@ def _rebuilt(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", P.rebuild(old, new, i % 10 == 0).alias("rebuild"))
 
 
+def _chunk_sources(s: SparkSession, d: str) -> DataFrame:
+    body = F.regexp_replace(plain(F.col("text")), "\n", "\n\n\\\\newpage\n\n")
+    return _docs(s, d).select("doc_id", F.concat(F.lit("\\documentclass{x}\n\\begin{document}\n"), body, F.lit("\n\\end{document}")).alias("tex"))
+
+
 def _chunks(s: SparkSession, d: str) -> DataFrame:
     """Pages regrouped by four for translation, each group one document."""
-    p = pages(s, d).select("document_id", "page_number", F.concat(F.lit("\\begin{document}\n"), F.coalesce("digitalized_text", F.lit("-")), F.lit("\n\\end{document}")).alias("page"))
-    g = p.groupBy("document_id", F.floor((F.col("page_number") - 1) / 4).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page"))), lambda x: x["page"]).alias("pages"))
-    return g.select("document_id", "chunk", F.size("pages").alias("n"), X.merge_pages(F.col("pages")).alias("merged"))
+    return N.translation_chunks(_chunk_sources(s, d), "doc_id", F.col("tex"), 4)
+
+
+def _translations(s: SparkSession, d: str) -> DataFrame:
+    """What a model that answers with the source itself, sometimes marked and annotated, gives for the chunks."""
+    marked = F.concat(F.lit("%%% BEGIN_KOREAN_LATEX %%%\n"), "source", F.lit("\n%%% END_KOREAN_LATEX %%%\n%%% TRANSLATION_NOTES %%%\nnote\n%%% END_TRANSLATION_NOTES %%%"))
+    answers = _chunks(s, d).select("doc_id", "chunk", F.when(F.col("chunk") % 2 == 1, marked).otherwise(F.concat(F.lit("  "), "source")).alias("answer"))
+    return N.translated(answers, "doc_id")
 
 
 def _quality(s: SparkSession, d: str) -> DataFrame:
@@ -123,8 +129,21 @@ def _quality(s: SparkSession, d: str) -> DataFrame:
 def _initial(s: SparkSession, d: str) -> DataFrame:
     c = _docs(s, d).select(F.col("doc_id").alias("document_id"))
     runs = c.select("document_id", F.array(F.lit(1), (F.col("document_id") % 9 + 2).cast("int")).alias("requested_pages"))
-    prior = c.where("document_id % 3 = 0").select("document_id", F.array(F.lit(1)).alias("successful_pages"), F.lit("translation").alias("last_successful_stage"))
-    return P.initial_state(runs, prior)
+    prior = c.where("document_id % 3 = 0").select("document_id", F.array(F.lit(1)).alias("successful_pages"), F.array(F.lit(2)).alias("failed_pages"), F.lit("translation").alias("last_successful_stage"), F.when(F.col("document_id") % 2 == 0, "{}").alias("layout_profile"))
+    return N.initial_state(runs, prior, AS_OF)
+
+
+def _reports(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    slug = F.concat(F.lit("s-"), i.cast("string"))
+    return _docs(s, d).select("doc_id", P.dry_run_report(slug, F.lit("b"), F.concat(F.lit("documents/"), slug), (i % 7).cast("int"), (i % 5).cast("int"), "skip").alias("dry_run"), P.disabled_report().alias("disabled"),
+        P.failed_report(F.when(i % 2 == 0, slug), F.lit("Boom"), health=F.struct(F.lit("dns_failed").alias("status"), F.lit("no dns").alias("reason"))).alias("failed"))
+
+
+def _results(s: SparkSession, d: str) -> DataFrame:
+    q = P.queue(_ready(s, d)).where("status = 'queued'")
+    made = P.dry_run_report(F.col("slug"), F.lit("b"), F.lit("r"), F.lit(1), F.lit(2), "overwrite")
+    return P.result_rows(q, q.where("priority_rank > 4").select("folder", made.alias("report"), F.concat("folder", F.lit("/n_publish_report.json")).alias("report_path")))
 
 
 def _inferred(s: SparkSession, d: str) -> DataFrame:
@@ -153,12 +172,12 @@ def _pick(*cols: str):
 
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
-    """Sessions of heartbeats found by a stream that reads the events as files; ends when all have been read."""
+    """Sessions of heartbeats found by a stream that reads the events as files, and those still open at its end."""
     from foliant.streaming.paths import scratch
 
     out, checkpoint = scratch(s, "sessions"), scratch(s, "checkpoint")
     S.run_once(S.sessions(S.stream_events(s, d)), out, checkpoint)
-    return s.read.parquet(out)
+    return S.flushed(s.read.parquet(out), _events(s, d))
 
 
 QUERIES = {
@@ -199,20 +218,22 @@ QUERIES = {
     "key_assets": lambda s, d: P.key_assets(_assets(s, d)),
     "doc_author_bridge": lambda s, d: P.author_bridge(catalog(s, d))[1],
     "authors": lambda s, d: P.author_bridge(catalog(s, d))[0],
-    "publish_bundle": _bundle,
     "resolve_pages": _resolved,
     "first_cached_page": _cached,
     "cache_reuse": lambda s, d: P.reusable_pages(_flags(s, d), _flags(s, d).where("page_number % 7 = 0"), _flags(s, d).where("page_number % 2 = 0"), _flags(s, d).where("page_number % 3 <> 1")),
     "merge_inclusion": lambda s, d: P.merged_pages(_flags(s, d), _flags(s, d).where("page_number % 3 = 1")),
     "rebuild_decision": _rebuilt,
     "quality_report": _quality,
-    "override_merge": lambda s, d: _docs(s, d).select("doc_id", *(F.coalesce(F.when(F.col("doc_id") % a == 0, F.lit(f"new {f}")), F.when(F.col("doc_id") % b != 0, F.lit(f"old {f}"))).alias(f) for f, a, b in (("title", 2, 3), ("author", 3, 5), ("doi", 7, 2)))),
     "initial_state": _initial,
     "translation_chunks": _chunks,
+    "translated": _translations,
+    "report_shapes": _reports,
+    "batch_results": _results,
     "latest_state": lambda s, d: S.latest_state(_events(s, d)).select("job", "stage", "beats"),
     "stage_history": lambda s, d: S.stage_history(_events(s, d)),
     "progress_sessions": lambda s, d: S.sessions(_events(s, d), "6 hours").select("job", "beats"),
     "progress_sessions_stream": _streamed,
+    "hung_jobs": lambda s, d: S.hung(_events(s, d), _events(s, d).select("job").distinct().withColumn("threshold_sec", (F.col("job") % 5 + 1) * 40000), "2024-01-31 00:00:00", "purchase"),
 }
 
 # DuckDB
@@ -271,6 +292,12 @@ def _p(select: str) -> str:
 _ORD = "(cast({0} AS string) || CASE WHEN {0} % 100 IN (11, 12, 13) THEN 'th' WHEN {0} % 10 = 1 THEN 'st' WHEN {0} % 10 = 2 THEN 'nd' WHEN {0} % 10 = 3 THEN 'rd' ELSE 'th' END)"
 _SORT_NAME = "nullif(lower(trim(regexp_replace(author_display, '\\s+', ' ', 'g'))), '')"
 
+_HEAD, _TAIL, _BREAK = (f"({x})" for x in ("chr(92) || 'documentclass{x}' || chr(10) || chr(92) || 'begin{document}'", "chr(92) || 'end{document}'", "chr(10) || chr(10) || chr(92) || 'newpage' || chr(10) || chr(10)"))
+_CHUNKS = f"""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split({plain_sql('text')}, chr(10)), lambda l: trim(l)), lambda l: l <> '') AS pages FROM documents),
+u AS (SELECT doc_id, CASE WHEN len(pages) = 0 THEN [''] ELSE pages END AS pages, len(pages) = 0 AS blank FROM t),
+c AS (SELECT doc_id, cast(i AS int) AS chunk, CASE WHEN len(pages) > 4 THEN list_slice(pages, (i - 1) * 4 + 1, i * 4) ELSE pages END AS g, blank FROM (SELECT *, unnest(range(1, greatest(1, (len(pages) + 3) // 4) + 1)) AS i FROM u))"""
+_MERGED = f"concat({_HEAD}, chr(10), array_to_string(g, {_BREAK}), chr(10), {_TAIL})"
+
 _MR = "CASE WHEN metadata IS NOT NULL AND cast(regexp_extract(folder, '(\\d+)$', 1) AS bigint) % 2 = 1 THEN 'Title=low' WHEN metadata IS NOT NULL THEN 'AI verified' WHEN override IS NOT NULL THEN 'Manual override' END"
 ORACLE_SQL = {
     "ops_metadata_review": _w(f"SELECT folder, coalesce({_MR} = 'Title=low', false) AS metadata_review_needed, {_MR} AS metadata_review_summary, CASE WHEN override IS NULL THEN [] ELSE ['title'] END AS metadata_override_fields FROM e"),
@@ -308,15 +335,19 @@ ORACLE_SQL = {
     "key_assets": _p(f"SELECT document_id, kind AS asset_type, printf(fmt, max(page_number)) AS storage_path FROM {_HELD}, (VALUES ('page_image', 'doc/images/page_%03d.png'), ('page_tex', 'doc/page_%03d.tex'), ('page_structure', 'doc/page_%03d_structure.json')) k(kind, fmt) GROUP BY 1, 2, fmt"),
     "doc_author_bridge": with_catalog(f"SELECT id AS document_id, {_SORT_NAME} AS sort_name, 1 AS ordinal FROM catalog WHERE author_display IS NOT NULL"),
     "authors": with_catalog(f"SELECT {_SORT_NAME} AS sort_name, min(author_display) AS display_name FROM catalog WHERE author_display IS NOT NULL GROUP BY 1"),
-    "publish_bundle": f"WITH p AS ({_PG}), c AS ({CATALOG.format(documents='documents', labels='labels')}), g AS (SELECT document_id, list(page_number ORDER BY page_number) AS pages FROM p WHERE page_number % 4 <> 1 GROUP BY 1) SELECT id, slug, title, author_display AS author, CASE WHEN publication_year > 0 THEN {_ORD.format('((publication_year - 1) // 100 + 1)')} || ' century' END AS century_label, publication_year, coalesce(len(pages), 0) AS page_count, CASE WHEN id % 2 = 0 THEN 2 ELSE coalesce(len(pages), 0) END AS requested_page_count, CASE WHEN pages IS NOT NULL THEN printf('images/page_%03d.png', pages[1]) END AS cover_image_path, CASE WHEN pages IS NULL THEN 'No page_*.tex files found.' END AS error FROM c LEFT JOIN g ON document_id = id",
     "first_cached_page": _p("SELECT document_id, arg_min(page_number, CASE WHEN page_number = 4 THEN 0 ELSE 1000000 END + page_number) AS page_number FROM p WHERE page_number % 2 = 0 AND page_number % 3 <> 0 GROUP BY 1"),
     "cache_reuse": _p("SELECT document_id, page_number FROM p WHERE page_number % 7 <> 0 AND page_number % 2 = 0 AND page_number % 3 <> 1"),
     "merge_inclusion": _p("SELECT document_id, page_number FROM p WHERE page_number % 3 <> 1"),
     "rebuild_decision": "SELECT doc_id, doc_id % 10 = 0 OR (CASE WHEN doc_id % 3 <> 0 THEN doc_id % 5 END) IS DISTINCT FROM (CASE WHEN doc_id % 6 <> 0 THEN doc_id % 5 END) OR doc_id % 7 = 0 AS rebuild FROM documents",
     "resolve_pages": "SELECT doc_id, list_transform(r, lambda i: cast(i - 1 AS int)) AS places, CASE WHEN doc_id % 4 = 0 THEN list_filter([2, 4], lambda i: i <= t) ELSE [] END AS retry, list_sort(list_distinct(list_concat(CASE WHEN doc_id % 2 = 0 THEN [1, 2] ELSE [] END, r))) AS requested FROM (SELECT doc_id, t, CASE WHEN doc_id % 4 = 0 AND t >= 2 THEN list_filter([2, 4], lambda i: i <= t) WHEN doc_id % 3 = 0 THEN list_filter([1, 2, 3, 5], lambda i: i <= t) ELSE list_transform(range(1, t + 1), lambda i: cast(i AS int)) END AS r FROM (SELECT doc_id, cast(doc_id % 9 + 1 AS int) AS t FROM documents))",
-    "override_merge": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new title' WHEN doc_id % 3 <> 0 THEN 'old title' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'new author' WHEN doc_id % 5 <> 0 THEN 'old author' END AS author, CASE WHEN doc_id % 7 = 0 THEN 'new doi' WHEN doc_id % 2 <> 0 THEN 'old doi' END AS doi FROM documents",
-    "initial_state": "SELECT doc_id AS document_id, [1, cast(doc_id % 9 + 2 AS int)] AS requested_pages, CASE WHEN doc_id % 3 = 0 THEN [1] ELSE [] END AS successful_pages, 'step0_images' AS current_stage, CASE WHEN doc_id % 3 = 0 THEN 'translation' END AS last_successful_stage, cast(NULL AS string) AS last_error FROM documents",
+    "initial_state": f"SELECT doc_id AS document_id, [1, cast(doc_id % 9 + 2 AS int)] AS requested_pages, [] AS last_rendered_pages, CASE WHEN doc_id % 3 = 0 THEN [2] ELSE [] END AS failed_pages, [] AS failed_page_details, CASE WHEN doc_id % 3 = 0 THEN [1] ELSE [] END AS successful_pages, CASE WHEN doc_id % 6 = 0 THEN '{{}}' END AS layout_profile, CASE WHEN doc_id % 3 = 0 THEN 'translation' END AS last_successful_stage, 'step0_images' AS current_stage, cast(NULL AS string) AS last_error, '{AS_OF}' AS last_progress_at, 'Preparing page images.' AS last_progress_note FROM documents",
     "quality_report": "SELECT doc_id, concat('{\"paper_name\":\"n', doc_id, '\",\"date\":\"2025-01-01T00:00:00\",\"total_pages\":', doc_id % 20 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END, ',\"transcription\":{\"successful_pages\":', doc_id % 20, ',\"failed_pages\":', CASE WHEN doc_id % 4 = 0 THEN '[3]' ELSE '[]' END, ',\"partial_output\":', CASE WHEN doc_id % 4 = 0 THEN 'true' ELSE 'false' END, '},\"digitalized_pdf\":{\"compiled\":', CASE WHEN doc_id % 3 = 0 THEN concat('true,\"file\":\"n', doc_id, '_digitalized.pdf\"') ELSE 'false,\"file\":null' END, '},\"korean_pdf\":{\"compiled\":', CASE WHEN doc_id % 5 = 0 THEN concat('true,\"file\":\"n', doc_id, '_Korean.pdf\"') ELSE 'false,\"file\":null' END, '}}') AS report FROM documents",
+    "translation_chunks": f"{_CHUNKS} SELECT doc_id, chunk, cast(len(g) AS int) AS pages, {_MERGED} AS source FROM c",
+    "translated": f"{_CHUNKS}, m AS (SELECT doc_id, chunk, g, {_MERGED} AS source FROM c) SELECT doc_id, CASE WHEN count(*) = 1 THEN any_value(source) ELSE concat({_HEAD}, chr(10), string_agg(array_to_string(g, {_BREAK}), {_BREAK} ORDER BY chunk), chr(10), {_TAIL}) END AS translation, list(concat('--- Chunk ', chunk, ' ---', chr(10), 'note') ORDER BY chunk) FILTER (chunk % 2 = 1) AS notes FROM m GROUP BY 1",
+    "report_shapes": "SELECT doc_id, concat('{\"status\":\"dry_run\",\"reason\":null,\"slug\":\"s-', doc_id, '\",\"storage_bucket\":\"b\",\"storage_root\":\"documents/s-', doc_id, '\",\"uploaded_assets\":', doc_id % 7, ',\"published_pages\":', doc_id % 5, ',\"slug_conflict_policy\":\"skip\",\"published_at\":null}') AS dry_run, '{\"status\":\"disabled\",\"reason\":\"Publishing disabled by configuration.\",\"slug\":null,\"published_at\":null}' AS disabled, concat('{\"status\":\"failed\",\"reason\":\"Boom\",\"slug\":', CASE WHEN doc_id % 2 = 0 THEN concat('\"s-', doc_id, '\"') ELSE 'null' END, ',\"health_check\":{\"status\":\"dns_failed\",\"reason\":\"no dns\"},\"published_at\":null}') AS failed FROM documents",
+    "batch_results": _w("SELECT folder, name, slug, priority_rank, concat(folder, '/n_publish_report.json') AS report_path, 'dry_run' AS status, cast(NULL AS string) AS reason, cast(NULL AS string) AS published_at, 'overwrite' AS slug_conflict_policy, cast(NULL AS boolean) AS overwrote_existing FROM queue WHERE status = 'queued' AND priority_rank > 4"),
+    "progress_sessions_stream": "SELECT job, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS \"end\", count(*) AS beats FROM (SELECT user_id AS job, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY job, s",
+    "hung_jobs": "SELECT job, stage, s AS seconds_since_progress, t AS threshold_sec, stage <> 'purchase' AND s > t AS hung_suspected FROM (SELECT user_id AS job, arg_max(event_type, (ts, event_id)) AS stage, cast(epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts))) AS bigint) AS s, (user_id % 5 + 1) * 40000 AS t FROM events GROUP BY user_id)",
     "latest_state": "SELECT user_id AS job, arg_max(event_type, (ts, event_id)) AS stage, count(*) AS beats FROM events GROUP BY 1",
     "stage_history": "SELECT user_id AS job, list(event_type ORDER BY f) AS stages, cast(sum(n) AS bigint) AS beats FROM (SELECT user_id, event_type, min((ts, event_id)) AS f, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1",
     "progress_sessions": "SELECT job, count(*) AS beats FROM (SELECT user_id AS job, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY job, s",

@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import catalog, metadata, operations, text
+from foliant.plans import bundle, catalog, metadata, operations, text
 
-_PLANS = (catalog, text, metadata, operations)
+_PLANS = (catalog, text, metadata, operations, bundle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,10 +15,12 @@ def scan(spark: SparkSession, root: str, contents: bool = True) -> DataFrame:
     """All files below root/<folder>/; an absent root gives no rows. Without contents only names and sizes are read."""
     schema = "folder string, path string, modified timestamp, size long" + (", content binary" if contents else "")
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    below = F.regexp_extract("path", r"(?:^|/)" + root.rstrip("/").rsplit("/", 1)[-1] + r"/(.*)$", 1)
+    whole = store.makeQualified(path).toString().rstrip("/") + "/"
+    below = F.when(F.col("path").startswith(whole), F.substring("path", len(whole) + 1, 1 << 30)).otherwise("")
     return files.where(below.contains("/")).select(F.split_part(below, F.lit("/"), F.lit(1)).alias("folder"), F.regexp_replace(below, "^[^/]*/", "").alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), *(["content"] if contents else []))
 
 

@@ -22,6 +22,21 @@ def sessions(beats: DataFrame, gap: str = "10 minutes", late: str = "1 hour") ->
     return marked.groupBy("job", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("beats")).select("job", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "beats")
 
 
+def flushed(closed: DataFrame, beats: DataFrame, gap: str = "10 minutes") -> DataFrame:
+    """The sessions that a stream has closed and, its input being over, those of all beats that it still held open."""
+    told = closed.select("job", "start", F.lit(True).alias("_told"))
+    # An anti join would be pushed below the merging of session windows, where it compares single heartbeats.
+    return closed.unionByName(sessions(beats, gap).join(told, ["job", "start"], "left").where("_told IS NULL").select(closed.columns))
+
+
+def hung(beats: DataFrame, thresholds: DataFrame, as_of: str, done: str = "complete") -> DataFrame:
+    """Jobs whose last stage isn't the final one and whose last heartbeat is older than the job's own threshold
+    (thresholds: job, threshold_sec). Works on a batch and, in complete mode, on a stream."""
+    last = latest_state(beats).join(thresholds, "job")
+    silent = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds("at")
+    return last.select("job", "stage", silent.alias("seconds_since_progress"), "threshold_sec", ((F.col("stage") != done) & (silent > F.col("threshold_sec"))).alias("hung_suspected"))
+
+
 def stage_history(beats: DataFrame) -> DataFrame:
     """Stages of each job in the order of their first heartbeat."""
     first = beats.groupBy("job", "stage").agg(F.min(F.struct("at", "seq")).alias("f"), F.count("*").alias("beats"))

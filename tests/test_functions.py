@@ -8,8 +8,11 @@ from foliant.functions import repair as L
 from foliant.functions import rules as R
 from foliant.functions import text as X
 from foliant.functions import udfs as U
+from foliant.operators import bundle as B
 from foliant.operators import catalog as C
 from foliant.operators import publish as P
+from foliant.operators import runs as N
+from foliant.operators.order import numbered
 from foliant.sources import artifacts as A
 
 
@@ -187,6 +190,48 @@ def test_queue_skips_second_of_a_slug(spark):
     assert set(r.folder for r in P.queue(df, 1).collect()) == {"a_dir"}
 
 
+def test_scan_takes_folders_of_the_root_alone(spark, tmp_path):
+    for path in ("out/a/x.json", "out/x/out/b.json", "out+1/c/y.json"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("{}")
+    found = lambda root: sorted((r.folder, r.path) for r in A.scan(spark, str(tmp_path / root)).collect())
+    assert found("out") == [("a", "x.json"), ("x", "out/b.json")] and found("out/x/out") == []
+    assert found("out+1") == [("c", "y.json")] and found("none") == []
+
+
+def test_override_files(spark):
+    values = lambda json: spark.range(1).select(*(c.alias(f) for f, c in B.override_values(F.lit(json)).items())).first().asDict()
+    held = {k: v for k, v in values('{"overrides": {"title": " T ", "publication_year": "c. 1704", "doi": " ", "x": 1}, "title": "outer"}').items() if v is not None}
+    assert held == {"title": "T", "publication_year": 1704}
+    assert {k: v for k, v in values('{"title": "bare", "overrides": 3}').items() if v is not None} == {"title": "bare"}
+    for bad in ("[]", "no", "", None):
+        assert set(values(bad).values()) == {None}
+    named = spark.range(1).select(*(c.alias(f) for f, c in B.override_of_arguments({"author": F.lit(" A "), "death_year": F.lit("99")}).items())).first()
+    assert (named.author, named.death_year, named.title) == ("A", None, None)
+
+
+def test_upsert_merges_by_column(spark):
+    now = spark.createDataFrame([(1, "a", "x", "kept"), (2, "b", "y", "kept")], "id long, slug string, title string, made string")
+    new = spark.createDataFrame([("b", "first", 1), ("b", "last", 2), ("c", "new", 3)], "slug string, title string, n int")
+    got = sorted(tuple(r) for r in P.upsert(now, new, "slug", "n").collect() if r.id)
+    assert got == [(1, "a", "x", "kept"), (2, "b", "last", "kept")]
+    assert [tuple(r) for r in P.upsert(now, new, "slug", "n").where("id IS NULL").collect()] == [(None, "c", "new", None)]
+    assert P.upsert(now, new.limit(0), "slug").count() == 2
+
+
+def test_numbers_follow_the_order(spark):
+    rows = [(i, (i * 7919) % 500 if i % 3 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v int").repartition(7)
+    got = {r.id: r.n for r in numbered(df, [F.col("v").isNull(), F.col("v"), F.col("id")], "n").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    assert got == {r[0]: n for n, r in enumerate(want, 1)} and numbered(df.limit(0), [F.col("id")], "n").count() == 0
+
+
+def test_translation_groups(spark):
+    pages = lambda n: value(spark, lambda: N.page_groups(F.array(*[F.lit(str(i)) for i in range(n)]), 4))
+    assert pages(4) == [["0", "1", "2", "3"]] and pages(5) == [["0", "1", "2", "3"], ["4"]] and pages(9)[2] == ["8"]
+
+
 def test_conflict_policy():
     assert P.conflict_policy(" SKIP ") == "skip" and P.conflict_policy(None) == "overwrite"
     with pytest.raises(ValueError):
