@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from foliant.llm import packs as P
 from foliant.llm.common import partitions, table, written
@@ -178,8 +179,9 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     least = P.in_buckets(P.to_buckets(packed, anchors, windows), tasks, _least_documents)
     answers = written(least.withColumn("bucket", -1 - F.col("bucket"))).union(anchors)
     schema = docs.select(id_col, *others, text).withColumn(id_col, F.col(id_col).cast("long")).schema
-    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("removed", "array<struct<a:int,b:int>>")):
+    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")):
         schema = schema.add(name, kind)
+    schema = schema.add("removed", ArrayType(StructType().add("a", "integer").add("b", "integer")))
 
     def cut(batches):
         from pyspark.sql.pandas.types import to_arrow_schema

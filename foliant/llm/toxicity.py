@@ -182,7 +182,7 @@ def fit(texts: list[str | None], labels: list[int], dim: int = 8, bits: int = 18
 def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int, keep: Column | None = None, max_chars: int = 50_000_000) -> DataFrame:
     """At most max_docs labelled documents of either class, by a hash of the id, and as many of them as have max_chars
     characters together; of an id's rows, the least text."""
-    marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     marks = marks if keep is None else marks.where(keep)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [marks.where(F.col("toxic") == c).orderBy(*order).limit(max_docs) for c in (0, 1)]

@@ -277,8 +277,12 @@ def test_repeats_match_brute_force(spark, docs, odd, none):
     made = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 60)))) for i in range(120)]
     for df, width in ((docs, 13), (spark.createDataFrame(made, "doc_id long, text string").repartition(5), 5), (odd.where("doc_id IS NOT NULL"), 13)):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-        got = repeats.remove_repeats(df, width, bucket_words=200).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-        assert sorted(tuple(r) for r in got) == plain_repeats(rows, width)
+        found = repeats.remove_repeats(df, width, bucket_words=200).collect()
+        got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found]
+        assert sorted(got) == plain_repeats(rows, width)
+        for r in found:  # maximal spans: at least a window each, apart from each other
+            assert sum(x.b - x.a for x in r.removed) == r.n_removed and all(x.b - x.a >= width for x in r.removed)
+            assert all(x.b < y.a for x, y in zip(r.removed, r.removed[1:]))
     assert repeats.remove_repeats(none).count() == 0
     free = repeats.remove_repeats(odd).where("doc_id IS NULL").first()
     assert free.text == SHORT and free.n_removed == 0 and free.bucket == "b"
