@@ -211,35 +211,22 @@ def prepare_latex(c: Column, compiler: Column | str = "pdflatex") -> Column:
     for sign, number in _FOOTNOTE_SIGNS:
         c = F.regexp_replace(c, rf"\\(footnote|footnotemark|footnotetext)\s*\[{re.escape(sign)}\]", rf"\\$1[{number}]")
     c = F.regexp_replace(c, r"(?<!\$)(\d)\\cdot(?=\d)", r"$1\$\\cdot\$")
-    for used, name in _NEEDS:
-        c = let(c, _loader(used, name))
-    for used, there, lines in _DEFINITIONS:
-        c = let(c, _definer(used, there, lines))
-    return let(c, lambda x: F.when(kind != "pdflatex", F.regexp_replace(x, _ONLY_PDFLATEX, "")).when(x.contains("ſ"), _lines_before(x, _LONG_S)).otherwise(x))
+    return let(c, _prepared(kind))
 
 
-def _lines_before(c: Column, lines: tuple[str, ...]) -> Column:
-    """Each of the lines before the document's begin, in their order, unless the source has it."""
-    for line in lines:
-        c = let(c, _placer(line))
-    return c
+def _prepared(kind: Column):
+    """What the source needs before its document, all told from the source as it is, is put there at once."""
 
+    def body(c: Column) -> Column:
+        loaded = lambda name: c.rlike(rf"\\usepackage(?:\[[^\]]*\])?\{{[^}}]*\b{name}\b[^}}]*\}}")
+        wanted = [(c.rlike(used) & ~loaded(name), f"\\usepackage{{{name}}}") for used, name in _NEEDS]
+        wanted += [(c.rlike(used) & ~c.rlike(there), line) for used, there, lines in _DEFINITIONS for line in lines]
+        wanted += [((kind == "pdflatex") & c.contains("ſ"), line) for line in _LONG_S]
+        lines = F.filter(F.array(*(F.when(need & ~c.contains(line), F.lit(line)) for need, line in wanted)), lambda x: x.isNotNull())
+        put = let(F.array_join(lines, "\n"), lambda x: F.when(x == "", c).otherwise(_before_document(c, x)))
+        return F.when(kind != "pdflatex", F.regexp_replace(put, _ONLY_PDFLATEX, "")).otherwise(put)
 
-def _placer(line: str):
-    return lambda c: _before_document(c, F.lit(line))
-
-
-def _definer(used: str, there: str, lines: tuple[str, ...]):
-    return lambda c: F.when(c.rlike(used) & ~c.rlike(there), _lines_before(c, lines)).otherwise(c)
-
-
-def _loader(used: str, name: str):
-    return lambda c: _with_package(c, used, name)
-
-
-def _with_package(c: Column, used: str, name: str) -> Column:
-    loaded = c.rlike(rf"\\usepackage(?:\[[^\]]*\])?\{{[^}}]*\b{name}\b[^}}]*\}}")
-    return F.when(c.rlike(used) & ~loaded, _before_document(c, F.lit(f"\\usepackage{{{name}}}"))).otherwise(c)
+    return body
 
 
 def apply_layout(c: Column, font_pt: Column, geometry: Column, note: Column) -> Column:

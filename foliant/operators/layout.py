@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as X
@@ -16,11 +18,36 @@ MARGINS = {
 }
 
 
+#: Least dark pixels of a line of ink: as a share of the line, and in any case; and what is dark. Fixed values.
+INK_SHARE, INK_LEAST, DARK = 0.02, 6, 215
+
+
+def _clamped(c: Column, least: float, most: float, default: float) -> Column:
+    """Between bounds; the default for null (greatest and least alone would pass nulls over)."""
+    return F.when(c.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), c)))
+
+
+@F.pandas_udf("left double, right double, top double, bottom double")
+def margins(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
+    """The margins of a page's content as fractions of the page, from a grayscale thumbnail (a byte a pixel, row by row);
+    nulls for a page without ink or pixels that don't fit the size."""
+    out = []
+    for data, w, h in zip(pixels, width, height):
+        sides = [None] * 4
+        if data is not None and w and h and len(data) == int(w) * int(h):
+            dark = np.frombuffer(data, np.uint8).reshape(int(h), int(w)) < DARK
+            inked = [np.flatnonzero(dark.sum(axis) >= max(INK_LEAST, int(n * INK_SHARE))) for axis, n in ((0, h), (1, w))]
+            if len(inked[0]) and len(inked[1]):
+                sides = [x for places, n in zip(inked, (int(w), int(h))) for x in (places[0] / n, (n - 1 - places[-1]) / n)]
+        out.append(sides)
+    return pd.DataFrame(out, columns=["left", "right", "top", "bottom"], dtype=float)
+
+
 def layout_profile(pages: DataFrame, key: str) -> DataFrame:
     """Profile of each key's pages (width, height in bp; margins as fractions, null where unknown): exact medians."""
     found = pages.groupBy(key).agg(
         *(F.round(F.percentile(c, F.lit(0.5)), 2).alias(f"{c}_bp") for c in ("width", "height")), F.count("left").alias("sampled"),
-        *(F.round(F.coalesce(F.greatest(F.lit(a), F.least(F.lit(b), F.percentile(s, F.lit(0.5)))), F.lit(d)), 4).alias(s) for s, (a, b, d) in MARGINS.items()))
+        *(F.round(_clamped(F.percentile(s, F.lit(0.5)), *bounds), 4).alias(s) for s, bounds in MARGINS.items()))
     w, h = F.col("width_bp") / 72, F.col("height_bp") / 72
     font = F.when((w <= 5.9) & (h <= 8.6), 12).when((w <= 6.4) | (h <= 9.2), 11).otherwise(10)
     bp = {s: F.round(F.col("width_bp" if s in ("left", "right") else "height_bp") * F.col(s), 2) for s in MARGINS}

@@ -176,3 +176,11 @@ ORACLE_SQL = {
   SELECT doc_id, kind AS rights_assessment, reason AS rights_reason, review AS rights_needs_manual_review, wher AS rights_source_summary, CASE WHEN w IS NULL THEN [] ELSE [w] END AS rights_warnings,
   nullif(concat_ws('; ', CASE WHEN review THEN 'Review required: ' || label || coalesce(' (' || wher || ')', '') WHEN kind <> 'unknown' THEN label ELSE reason END, w), '') AS rights_review_summary FROM v""",
 }
+
+_A = ORACLE_SQL["assess_rights"]
+_SHOW = lambda c: f"coalesce(cast({c} AS string), 'None')"
+ORACLE_SQL["rights_context"] = (
+    "SELECT doc_id, concat_ws(chr(10), 'RIGHTS CONTEXT:', " + ", ".join(f"'- {c}: ' || {_SHOW(c)}" for c in ("author", "publication_year", "death_year", "assessment", "reason")) + ", '- needs_manual_review: ' || CASE WHEN needs_manual_review THEN 'True' ELSE 'False' END, '- sources: ' || source_summary,"
+    " CASE WHEN NOT starts_with(assessment, 'likely_public_domain') THEN 'Rights status is not confirmed as public-domain by heuristic.' || chr(10) || 'Proceed conservatively if policy restrictions apply.' WHEN needs_manual_review THEN 'Rights heuristic suggests public-domain status, but the metadata still needs manual confirmation.' || chr(10) || 'Proceed conservatively if policy restrictions apply.'"
+    f" ELSE 'Rights heuristic suggests public-domain status and no additional review flag is present.' || chr(10) || 'For this task, treat faithful transcription as permitted.' END) || chr(10) AS note FROM ({_A})"
+)

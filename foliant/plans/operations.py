@@ -299,6 +299,8 @@ c AS (SELECT doc_id, cast(i AS int) AS chunk, CASE WHEN len(pages) > 4 THEN list
 _MERGED = f"concat({_HEAD}, chr(10), array_to_string(g, {_BREAK}), chr(10), {_TAIL})"
 
 _MR = "CASE WHEN metadata IS NOT NULL AND cast(regexp_extract(folder, '(\\d+)$', 1) AS bigint) % 2 = 1 THEN 'Title=low' WHEN metadata IS NOT NULL THEN 'AI verified' WHEN override IS NOT NULL THEN 'Manual override' END"
+_RL = "CASE WHEN rights_assessment = 'likely_public_domain_us' THEN 'Likely public domain (US)' ELSE 'Rights uncertain' END"
+_RS = f"CASE WHEN rights_needs_manual_review THEN 'Review required: ' || {_RL} WHEN rights_assessment <> 'unknown' THEN {_RL} ELSE rr END"
 ORACLE_SQL = {
     "ops_metadata_review": _w(f"SELECT folder, coalesce({_MR} = 'Title=low', false) AS metadata_review_needed, {_MR} AS metadata_review_summary, CASE WHEN override IS NULL THEN [] ELSE ['title'] END AS metadata_override_fields FROM e"),
     "first_structure": _p("SELECT document_id, 'T' || cast(min(page_number) AS string) AS title FROM p WHERE page_number % 4 = 0 GROUP BY 1"),
@@ -306,6 +308,7 @@ ORACLE_SQL = {
     "reassessed_rights": "SELECT doc_id AS document_id, 'kept' AS basis, CASE WHEN doc_id % 2 = 0 THEN 'new' END AS reason FROM documents",
     "cached_source": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a.pdf' WHEN doc_id % 2 = 0 THEN 'b.pdf' WHEN doc_id % 5 = 0 THEN 'c.pdf' END AS path FROM documents",
     "log_tail": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), greatest(len(string_split(text, chr(10))) - 199, 1), len(string_split(text, chr(10)))), chr(10)) AS tail FROM documents",
+    "ops_table": _w(f"SELECT folder, title, coalesce(cast(nullif(total_pages, 0) AS string), '-') AS total_pages, coalesce(nullif(array_to_string(failed_pages, ', '), ''), '-') AS failed_pages, publish_status, coalesce({_MR}, '-') AS metadata_review_summary, coalesce({_RS}, '-') AS rights_review_summary, coalesce(compile_warning_summary, '-') AS compile_warning_summary, coalesce(publish_issue_summary, '-') AS publish_issue_summary, next_action FROM e"),
     "failed_pages": _e("failed_pages", "successful_pages", "total_pages"),
     "pdf_compiled": _e("digitalized_compiled", "korean_compiled"),
     "infer_title": _e("title"),

@@ -90,7 +90,7 @@ QUERIES = {
     "apply_layout": _tex(_one(lambda: X.apply_layout(_c("tex"), (_c("doc_id") % 3 + 10).cast("int"), F.lit("paperwidth=400bp"), F.lit("5.56in x 8in, 12pt")), "styled")),
     "plausible_fix": _tex(_one(lambda: X.plausible_fix(_c("tex"), F.substring(_c("tex"), F.lit(1), (F.length("tex") * (85 + _c("doc_id") % 15) / 100).cast("int"))), "plausible")),
     "missing_graphics": _tex(_one(lambda: R.repair_graphics(F.concat(_c("tex"), F.lit("\n\\includegraphics[width=3cm]{figs/a.png}\n")), F.when(_c("doc_id") % 2 == 0, "! File `a.png' not found.")), "repaired")),
-    "compile_fix": _tex(_one(lambda: R.compile_fix(X.prepare_latex(_c("tex")), F.when(_c("doc_id") % 2 == 0, "! Missing $ inserted.").otherwise(""), "pdflatex"), "fixed")),
+    "compile_fix": _tex(_one(lambda: R.compile_fix(F.when(_c("doc_id") % 3 == 0, _c("tex")).otherwise(X.prepare_latex(_c("tex"))), F.when(_c("doc_id") % 2 == 0, "! Missing $ inserted.").otherwise(""), "pdflatex"), "fixed")),
     "extract_json": _model(_one(lambda: U.extract_json(F.concat(F.lit("Here {x} is: "), F.to_json(F.struct("doc_id", "answer")), F.lit(" done"))), "found")),
     "log_classify": _logs(_one(lambda: X.log_message(_c("line")), "message", "line")),
     "truncate": _logs(_one(lambda: X.truncate(F.coalesce(X.log_message(_c("line")), F.lit(""))), "short")),
@@ -171,3 +171,21 @@ ORACLE_SQL = {
     "page_names": _sql(_RANGES, "SELECT doc_id, printf('page_%03d.tex', n) AS tex, printf('page_%03d.png', n) AS png FROM t"),
     "tex_length": _sql(_RANGES, f"SELECT doc_id, {_LEN} AS length FROM t"),
 }
+
+# What has fixed parts only, as SQL of those parts
+_BS = "chr(92)"
+_STORED = "CASE doc_id % 12 WHEN 0 THEN 'source.pdf' WHEN 1 THEN 'korean.tex' WHEN 3 THEN 'images/extra/uber-scan.png' WHEN 8 THEN 'notes/final-report-v2.tar.json' WHEN 9 THEN 'quality_report.json' WHEN 10 THEN 'a/b-c.txt' WHEN 11 THEN 'translation_notes.txt' ELSE path END"
+_PREPARED = f"replace(replace(CASE WHEN contains(s, {_BS} || 'end{{document}}') THEN s ELSE s || chr(10) || chr(10) || {_BS} || 'end{{document}}' || chr(10) END, 'footnote[*]', 'footnote[1]'), '3' || {_BS} || 'cdot5', '3$' || {_BS} || 'cdot$5')"
+_WITH_TEX = f"(SELECT *, {_STRIP.format('tex')} AS s FROM t)"
+_SIDES = (("left", 7, 0.08, 0.17, 0.13, "w"), ("right", 11, 0.08, 0.17, 0.13, "w"), ("top", 13, 0.05, 0.12, 0.09, "h"), ("bottom", 17, 0.05, 0.12, 0.09, "h"))
+_BP = lambda c: f"(regexp_replace(regexp_replace(printf('%.2f', {c}), '0+$', ''), '\\.$', '') || 'bp')"
+_PAGE_SIZES = "SELECT doc_id, 380.0::DOUBLE + (doc_id * 37 + page * 11) % 200 AS width, 560.0::DOUBLE + (doc_id * 53 + page * 17) % 220 AS height, " + ", ".join(f"CASE WHEN doc_id % 3 <> 0 THEN (doc_id * {m} + page * 3) % 25 / 100.0::DOUBLE END AS {n}" for n, m, *_ in _SIDES) + " FROM documents, range(1, 6) r(page) WHERE page <= doc_id % 5 + 1"
+ORACLE_SQL |= {
+    "storage_path": _sql(_PATHS, f"SELECT doc_id, path, {_STORED} AS stored FROM t"),
+    "prepare_latex": _sql(_TEX, f"SELECT doc_id, {_PREPARED} AS prepared FROM {_WITH_TEX}"),
+    "compile_fix": _sql(_TEX, f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_PREPARED} WHEN doc_id % 7 = 0 THEN rtrim({_PREPARED}, chr(10)) END AS fixed FROM {_WITH_TEX}"),
+    "apply_layout": _sql(_TEX, f"SELECT doc_id, replace(replace(tex, '[12pt,a4paper]', concat('[', doc_id % 3 + 10, 'pt,a4paper]')), {_BS} || 'begin{{document}}', {_BS} || 'geometry{{paperwidth=400bp}}' || chr(10) || '% Auto layout profile: 5.56in x 8in, 12pt' || chr(10) || {_BS} || 'begin{{document}}') AS styled FROM t".replace("{{", "{").replace("}}", "}")),
+    "missing_graphics": _sql(_TEX, f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(tex, chr(10), '% Missing source graphic: a.png', chr(10), {_BS}, 'fbox{{', {_BS}, 'parbox[c][8em][c]{{3cm}}{{', {_BS}, 'centering', {_BS}, 'footnotesize Source diagram unavailable}}}}}}}}', chr(10)) END AS repaired FROM t".replace("{{", "{").replace("}}", "}")),
+    "layout_profile": f"WITH p AS ({_PAGE_SIZES}), m AS (SELECT doc_id, round(median(width), 2) AS w, round(median(height), 2) AS h, count(\"left\") AS sampled, " + ", ".join(f'round(coalesce(greatest({a}, least({b}, median("{n}"))), {d}), 4) AS "{n}_"'.replace(f"coalesce(greatest({a}, least({b}, median(\"{n}\"))), {d})", f'CASE WHEN median("{n}") IS NULL THEN {d} ELSE greatest({a}, least({b}, median("{n}"))) END') for n, _, a, b, d, _ in _SIDES) + " FROM p GROUP BY 1) "
+    "SELECT doc_id, w AS width_bp, h AS height_bp, round(w / 72, 2) AS width_in, round(h / 72, 2) AS height_in, cast(CASE WHEN w / 72 <= 5.9 AND h / 72 <= 8.6 THEN 12 WHEN w / 72 <= 6.4 OR h / 72 <= 9.2 THEN 11 ELSE 10 END AS int) AS font_size_pt, " + ", ".join(f'{n}_ AS "{n}"' for n, *_ in _SIDES) + ", concat_ws(',', 'paperwidth=' || " + _BP("w") + ", 'paperheight=' || " + _BP("h") + ", " + ", ".join(f"'{n}=' || " + _BP(f"cast(round(cast(cast({'h' if n in ('top', 'bottom') else 'w'} * {n}_ AS string) AS decimal(30, 16)), 2) AS double)") for n in ("top", "bottom", "left", "right")) + ", 'headheight=14pt') AS geometry_options, sampled FROM m",
+}
