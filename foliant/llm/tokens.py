@@ -276,7 +276,7 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def _slices(texts: pa.Array):
+def slices(texts: pa.Array):
     """Bounds of runs of texts of about _SLICE bytes."""
     size, a = np.cumsum(np.asarray(pc.binary_length(texts), np.int64)), 0
     while a < len(texts):
@@ -320,7 +320,7 @@ def write(docs: DataFrame, path: str, text: str = "text", end_id: int | None = 0
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for b in batches:
             texts = b.column(1)
-            for lo, hi in _slices(texts):
+            for lo, hi in slices(texts):
                 n, flat = encode.column(texts.slice(lo, hi - lo))
                 if end_id is not None:
                     closed = np.full(len(flat) + len(n), end_id, np.uint32)

@@ -556,14 +556,38 @@ def test_model_query(spark, small_texts):
         assert math.isclose(r.base_score, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
 
 
-def test_packing_query(spark, docs):
-    units = packing.units_of(docs).collect()
+def test_packing_query(spark, docs, tokenizer):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    units = packing.token_units(docs, path)
+    want = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in units.collect()} == {i: len(x) for i, x in want.items()}
     rows = queries.QUERIES["op7_best_fit_packing"](spark, SF).collect()
-    check_bins(rows, units, 2048, 4)
+    check_bins(rows, units.collect(), 2048, 4)
     fill = Counter()
     for r in rows:
         fill[r.bin_id] += r.n_tokens
-    assert sum(fill.values()) / (2048 * len(fill)) > 0.9
+    assert sum(fill.values()) / (2048 * len(fill)) > 0.95
+    got = packing.sequences(packing.pack(units), docs, path).collect()
+    assert {r.bin_id: len(r.ids) for r in got} == fill
+    spread = {}
+    for r in got:
+        assert [(x.a, x.b) for x in r.documents][0][0] == 0 and all(x.b == y.a for x, y in zip(r.documents, r.documents[1:]))
+        for x in r.documents:
+            spread.setdefault(x.doc_id, []).append(r.ids[x.a : x.b])
+    assert {i: sum(map(len, x)) for i, x in spread.items()} == {i: len(x) for i, x in want.items()}
+    assert all(sorted(t for piece in x for t in piece) == sorted(want[i]) for i, x in spread.items())
+
+
+def test_token_packing_of_odd_rows(odd, none):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    units = packing.token_units(odd, path)
+    check_bins(packing.pack(units, 2048, 4).collect(), units.collect(), 2048, 4)
+    got = packing.sequences(packing.pack(units), odd, path).collect()
+    assert sum(len(r.ids) for r in got) == sum(r.n_tokens for r in units.collect()) and packing.sequences(packing.pack(packing.token_units(none, path)), none, path).count() == 0
 
 
 def test_mixing_query(spark, docs, small_texts):
