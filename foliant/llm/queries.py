@@ -25,4 +25,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.SQL,
+    "op5_substring_dedup": repeats.SQL,
 }

@@ -543,6 +543,9 @@ def test_token_query(spark, small_texts, tokenizer):
 def test_repeats_query(spark, small_texts):
     got = queries.QUERIES["op5_substring_dedup"](spark, SF).collect()
     assert sorted(tuple(r) for r in got) == plain_repeats(list(small_texts.items()), 13)
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    assert sorted(c.sql(queries.ORACLE_SQL["op5_substring_dedup"]).fetchall()) == sorted(tuple(r) for r in got)
 
 
 def test_model_query(spark, small_texts):
