@@ -1,5 +1,10 @@
 """Functions and rules on small values whose results are known."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -264,6 +269,14 @@ def test_entry_works_without_llm():
     assert {"browse_catalog", "ops_summary"} <= names and set(entry.oracle_sql()) <= names
 
 
+def test_the_rest_stands_without_llm(tmp_path):
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(here, "foliant"), tmp_path / "foliant", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(here, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 140 and not [k for k in q if k.startswith('op') and k[2].isdigit()] and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
 def test_tables_can_be_made(spark, tmp_path):
     from foliant.sources import schema
 
