@@ -308,6 +308,12 @@ ORACLE_SQL = {
     "reassessed_rights": "SELECT doc_id AS document_id, 'kept' AS basis, CASE WHEN doc_id % 2 = 0 THEN 'new' END AS reason FROM documents",
     "cached_source": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a.pdf' WHEN doc_id % 2 = 0 THEN 'b.pdf' WHEN doc_id % 5 = 0 THEN 'c.pdf' END AS path FROM documents",
     "log_tail": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), greatest(len(string_split(text, chr(10))) - 199, 1), len(string_split(text, chr(10)))), chr(10)) AS tail FROM documents",
+    "ops_summary": _w(
+        "SELECT folder, 'not_run' AS metadata_ai_status, CASE WHEN override IS NULL THEN [] ELSE ['title'] END AS metadata_override_fields, json_extract_string(state, '$.last_progress_at') AS last_progress_at, json_extract_string(publish, '$.slug') AS slug, "
+        + "".join(f"cast(NULL AS string) AS {c}, " for c in ("last_successful_stage", "last_progress_note", "stdout_log_path", "stderr_log_path", "published_at", "last_error", "rights_source_summary"))
+        + f"CASE WHEN {_MR} = 'Title=low' THEN ['title'] ELSE [] END AS metadata_review_fields, coalesce({_MR} = 'Title=low', false) AS metadata_review_needed, {_MR} AS metadata_review_summary, rr AS rights_reason, {_RS} AS rights_review_summary, title, has_quality_report, has_publish_report, failed_pages, successful_pages, total_pages,"
+        " partial_output, digitalized_compiled, korean_compiled, publish_status, publish_reason, current_stage, seconds_since_progress, hung_threshold_sec, publish_issue_type, publish_issue_label, publish_issue_detail, publish_issue_summary, rights_assessment, rights_needs_manual_review, compile_warning_count, compile_warning_summary, hung_suspected, publish_ready, next_action, priority_rank FROM e"
+    ),
     "ops_table": _w(f"SELECT folder, title, coalesce(cast(nullif(total_pages, 0) AS string), '-') AS total_pages, coalesce(nullif(array_to_string(failed_pages, ', '), ''), '-') AS failed_pages, publish_status, coalesce({_MR}, '-') AS metadata_review_summary, coalesce({_RS}, '-') AS rights_review_summary, coalesce(compile_warning_summary, '-') AS compile_warning_summary, coalesce(publish_issue_summary, '-') AS publish_issue_summary, next_action FROM e"),
     "failed_pages": _e("failed_pages", "successful_pages", "total_pages"),
     "pdf_compiled": _e("digitalized_compiled", "korean_compiled"),

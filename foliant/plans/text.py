@@ -189,3 +189,4 @@ ORACLE_SQL |= {
     "layout_profile": f"WITH p AS ({_PAGE_SIZES}), m AS (SELECT doc_id, round(median(width), 2) AS w, round(median(height), 2) AS h, count(\"left\") AS sampled, " + ", ".join(f'round(coalesce(greatest({a}, least({b}, median("{n}"))), {d}), 4) AS "{n}_"'.replace(f"coalesce(greatest({a}, least({b}, median(\"{n}\"))), {d})", f'CASE WHEN median("{n}") IS NULL THEN {d} ELSE greatest({a}, least({b}, median("{n}"))) END') for n, _, a, b, d, _ in _SIDES) + " FROM p GROUP BY 1) "
     "SELECT doc_id, w AS width_bp, h AS height_bp, round(w / 72, 2) AS width_in, round(h / 72, 2) AS height_in, cast(CASE WHEN w / 72 <= 5.9 AND h / 72 <= 8.6 THEN 12 WHEN w / 72 <= 6.4 OR h / 72 <= 9.2 THEN 11 ELSE 10 END AS int) AS font_size_pt, " + ", ".join(f'{n}_ AS "{n}"' for n, *_ in _SIDES) + ", concat_ws(',', 'paperwidth=' || " + _BP("w") + ", 'paperheight=' || " + _BP("h") + ", " + ", ".join(f"'{n}=' || " + _BP(f"cast(round(cast(cast({'h' if n in ('top', 'bottom') else 'w'} * {n}_ AS string) AS decimal(30, 16)), 2) AS double)") for n in ("top", "bottom", "left", "right")) + ", 'headheight=14pt') AS geometry_options, sampled FROM m",
 }
+ORACLE_SQL["extract_json"] = _sql(_MODEL, "SELECT doc_id, concat('{\"doc_id\": ', doc_id, ', \"answer\": ', cast(to_json(answer) AS string), '}') AS found FROM t")
