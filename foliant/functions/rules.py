@@ -71,6 +71,18 @@ def normalized_ai(values: Fields, confidence: Fields) -> tuple[dict[str, Column]
     return clean, rate
 
 
+def inference(found: Column, error: Column) -> dict[str, Column]:
+    """What a model's answer gives: the fields and confidences of its first JSON object (found, null for none), status and
+    error; an error of the call leaves all fields empty."""
+    v = F.when(error.isNull(), F.try_parse_json(found))
+    get = lambda p: F.try_variant_get(v, p, "string")
+    values, confidence = normalized_ai({f: get(f"$.{f}") for f in FIELDS}, {f: F.coalesce(get(f"$.confidence.{f}"), F.lit("")) for f in FIELDS})
+    some = F.size(F.coalesce(F.json_object_keys(found), F.array())) > 0
+    status = F.when(error.isNotNull(), "error").when(some, "ok").otherwise("empty")
+    told = F.when(error.isNotNull(), X.strip(error)).when(~some, "Could not parse metadata JSON response.")
+    return values | {f"{f}_confidence": c for f, c in confidence.items()} | {"status": status, "error": told}
+
+
 def first_of(*sources: tuple[str, Column]) -> tuple[Column, Column]:
     """The first value that is not null, and the name of its source."""
     value = F.coalesce(*(c for _, c in sources))

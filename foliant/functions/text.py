@@ -387,3 +387,36 @@ def output_name(files: Column, suffixes: Sequence[str]) -> Column:
     pattern = r"^(.+)(?:" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"
     names = F.array_sort(F.array_distinct(F.filter(F.transform(files, lambda f: F.nullif(F.regexp_extract(f, pattern, 1), F.lit(""))), lambda x: x.isNotNull())))
     return F.struct(F.when(F.size(names) == 1, names[0]).alias("name"), F.when(F.size(names) == 0, "not found").when(F.size(names) > 1, "ambiguous").alias("error"))
+
+
+#: Extension -> media type of an image that goes to a model; anything else counts as PNG. Fixed values.
+IMAGES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
+
+
+def media_type(path: Column) -> Column:
+    ext, out = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)), F.lit("image/png")
+    for e, m in IMAGES.items():
+        out = F.when(ext == e, m).otherwise(out)
+    return out
+
+
+def image_part(path: Column, content: Column) -> Column:
+    """An image as a model takes it: media type and base64."""
+    return F.struct(media_type(path).alias("media_type"), F.base64(content).alias("data"))
+
+
+def normal_path(path: Column, base: str) -> Column:
+    """An absolute path without . and .. segments; a relative one is below base. Null for an empty one."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), path))
+    steps = F.filter(F.split(whole, "/"), lambda p: ~p.isin("", "."))
+    up = lambda s, p: F.when(p == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(p)))
+    return F.when(F.coalesce(path, F.lit("")) != "", F.concat(F.lit("/"), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), up), "/")))
+
+
+#: Characters of a page's structure or source that a model is shown. Fixed value.
+SHOWN = 12_000
+
+
+def shown(c: Column) -> Column:
+    """What a model is shown of a text."""
+    return F.substring(c, 1, SHOWN)

@@ -7,8 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import rules as R
+from foliant.functions import text as X
+from foliant.functions import udfs as U
 from foliant.operators import bundle as B
+from foliant.operators import catalog as C
+from foliant.plans import catalog as PC
 from foliant.plans import metadata as M
+from foliant.sources import artifacts as A
+from foliant.sources.adapters import catalog, with_catalog
 from foliant.streaming.paths import held
 
 AS_OF, AT = 2025, "2025-01-01T00:00:00"
@@ -121,7 +127,44 @@ def _jobs(s: SparkSession, d: str) -> DataFrame:
     return B.page_jobs(s.read.parquet(f"{d}/documents.parquet").select(i.alias("document_id"), F.sequence(F.lit(3), (i % 3 + 3).cast("int")).alias("numbers"), images.alias("images")))
 
 
+def _listed(s: SparkSession, d: str) -> DataFrame:
+    """Files of output folders with the times at which they changed."""
+    i = F.col("doc_id")
+    names = F.array(F.lit("page_002.tex"), F.when(i % 2 == 0, "page_001.tex"), F.when(i % 3 == 0, "page_1.tex"), F.lit("page_0100.tex"), F.when(i % 5 != 0, F.concat(F.lit("n"), i.cast("string"), F.lit("_quality_report.json"))), F.when(i % 7 == 0, "n_pipeline_state.json"), F.lit("sub/n_metadata.json"))
+    rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit("out-"), i.cast("string")).alias("folder"), F.posexplode(F.filter(names, lambda x: x.isNotNull())).alias("n", "path"))
+    return rows.select("folder", "path", F.timestamp_seconds(F.lit(1_700_000_000) + i * 10 + F.col("n")).alias("modified"))
+
+
+def _inferred(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    answer = F.when(i % 3 == 0, "no").when(i % 3 == 1, F.concat(F.lit('so: {"title": " T'), i.cast("string"), F.lit('", "publication_year": "c. 1704", "confidence": {"title": "HIGH"}}'))).otherwise("{}")
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", U.extract_json(answer).alias("found"), F.when(i % 5 == 0, " timeout ").alias("failure"))
+    got = R.inference(F.col("found"), F.col("failure"))
+    return docs.select("doc_id", *(got[k].alias(k) for k in ("title", "publication_year", "doi", "title_confidence", "publication_year_confidence", "doi_confidence", "status", "error")))
+
+
+def _images(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.when(i % 3 == 0, "a/b.JPG").when(i % 3 == 1, "a.b/c").otherwise("x.jpeg").alias("path"))
+    return docs.select("doc_id", X.image_part(F.col("path"), F.col("text").cast("binary")).alias("p")).select("doc_id", "p.media_type", F.regexp_replace("p.data", r"\s", "").alias("data"))
+
+
+def _paths(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    path = F.when(i % 5 == 0, "").when(i % 5 == 1, F.concat(F.lit("logs//./"), i.cast("string"), F.lit("/../x.log"))).when(i % 5 == 2, "/../a/b/").when(i % 5 == 3, "..")
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", X.normal_path(path, "/data/out").alias("path"))
+
+
 QUERIES = {
+    "page_discovery": lambda s, d: A.page_numbers(_listed(s, d)),
+    "last_updated": lambda s, d: A.last_updated(_listed(s, d)),
+    "ai_inference": _inferred,
+    "image_parts": _images,
+    "normal_paths": _paths,
+    "shown_text": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", X.shown(F.concat("text", F.repeat("text", F.lit(8)))).alias("shown")),
+    "empty_scan": lambda s, d: C.empty(s, C.catalog_all(catalog(s, d)).schema),
+    "browse_state_documents": lambda s, d: C.browse_state(C.published(catalog(s, d)), "oldest", q="author", rights="public_domain")["documents"].select("id", "title"),
+    "browse_state_languages": lambda s, d: C.browse_state(C.published(catalog(s, d)), "oldest", q="author")["languages"],
     "bundle_inputs": lambda s, d: existing(s, d).select("folder", "error", "done", "requested", "effective.title", "effective.author", "effective.publication_year", "judged.assessment"),
     "publish_bundle": lambda s, d: bundles(s, d)["documents"],
     "bundle_authors": lambda s, d: bundles(s, d)["authors"],
@@ -204,6 +247,18 @@ ORACLE_SQL["bundle_snapshots"] = (
     f" concat('{{', coalesce('\"author\":\"' || author || '\",', ''), coalesce('\"publication_year\":' || publication_year || ',', ''), '\"assessment\":\"', assessment, '\",\"reason\":\"', CASE WHEN publication_year <= 1929 THEN 'Publication year is 1929 or earlier (US heuristic).' WHEN publication_year IS NOT NULL THEN 'Publication year alone was not enough for this heuristic.' ELSE 'Insufficient metadata.' END, '\"', CASE WHEN publication_year <= 1929 THEN ',\"basis\":\"publication_year\"' ELSE '' END, ',\"needs_manual_review\":', CASE WHEN publication_year > 1929 THEN 'true' ELSE 'false' END, CASE WHEN {_HAS} THEN ',\"source_summary\":\"author=pdf\"' ELSE '' END, ',\"warnings\":[]}}') AS rights_metadata,"
     " CASE WHEN doc_id % 8 = 0 THEN '{\"font_size_pt\":12}' ELSE '{}' END AS layout_profile FROM b")
 
+_DOCS = "FROM documents"
+ORACLE_SQL |= {
+    "page_discovery": f"SELECT concat('out-', doc_id) AS folder, CASE WHEN doc_id % 2 = 0 THEN [1, 2] ELSE [2] END AS pages {_DOCS}",
+    "last_updated": f"SELECT concat('out-', doc_id) AS folder, CASE WHEN doc_id % 5 <> 0 OR doc_id % 7 = 0 THEN strftime(make_timestamp((1700000000 + doc_id * 10 + n) * 1000000), '%Y-%m-%dT%H:%M:%S') END AS updated_at FROM (SELECT doc_id, 1 + CAST(doc_id % 2 = 0 AS int) + CAST(doc_id % 3 = 0 AS int) + CASE WHEN doc_id % 7 = 0 AND doc_id % 5 <> 0 THEN 2 ELSE 1 END AS n {_DOCS})",
+    "ai_inference": f"SELECT doc_id, CASE WHEN ok THEN concat('T', doc_id) END AS title, cast(CASE WHEN ok THEN 1704 END AS int) AS publication_year, cast(NULL AS string) AS doi, CASE WHEN ok THEN 'high' ELSE 'none' END AS title_confidence, CASE WHEN ok THEN 'low' ELSE 'none' END AS publication_year_confidence, 'none' AS doi_confidence, CASE WHEN doc_id % 5 = 0 THEN 'error' WHEN ok THEN 'ok' ELSE 'empty' END AS status, CASE WHEN doc_id % 5 = 0 THEN 'timeout' WHEN NOT ok THEN 'Could not parse metadata JSON response.' END AS error FROM (SELECT doc_id, doc_id % 3 = 1 AND doc_id % 5 <> 0 AS ok {_DOCS})",
+    "image_parts": f"SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'image/png' ELSE 'image/jpeg' END AS media_type, to_base64(encode(text)) AS data {_DOCS}",
+    "normal_paths": f"SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN '/data/out/logs/x.log' WHEN 2 THEN '/a/b' WHEN 3 THEN '/data' END AS path {_DOCS}",
+    "shown_text": f"SELECT doc_id, substr(repeat(text, 9), 1, {X.SHOWN}) AS shown {_DOCS}",
+    "empty_scan": "SELECT * FROM (" + PC.ORACLE_SQL["catalog_all"] + ") WHERE false",
+    "browse_state_documents": with_catalog("SELECT id, title FROM published WHERE contains(lower(concat_ws(' ', title, author_display, journal_or_book, doi, century_label, language)), 'author') AND starts_with(rights_assessment, 'likely_public_domain')"),
+    "browse_state_languages": with_catalog("SELECT DISTINCT nullif(trim(language), '') AS language FROM published WHERE language IS NOT NULL"),
+}
 _MD, _RD = (M.ORACLE_SQL[k] for k in ("metadata_refresh", "apply_override"))
 ORACLE_SQL["metadata_report"] = (
     "SELECT e.doc_id, ['ai_inference', 'checked_at', 'deterministic_inference', 'effective_metadata', 'effective_sources', 'manual_override', 'paper_name', 'raw_pdf_metadata', 'rights_metadata', 'rights_sources'] AS keys, concat('n', e.doc_id) AS name,"
