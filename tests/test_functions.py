@@ -5,6 +5,7 @@ import shutil
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from foliant.operators import bundle as B
 from foliant.operators import catalog as C
 from foliant.operators import publish as P
 from foliant.operators import runs as N
+from foliant.operators.layout import margins
 from foliant.operators.order import numbered
 from foliant.sources import artifacts as A
 
@@ -237,6 +239,17 @@ def test_translation_groups(spark):
     assert pages(4) == [["0", "1", "2", "3"]] and pages(5) == [["0", "1", "2", "3"], ["4"]] and pages(9)[2] == ["8"]
 
 
+def test_margins_of_a_page(spark):
+    page = np.full((200, 100), 255, np.uint8)
+    page[20:150, 10:80] = 0
+    page[0, :3] = 0  # a speck is no ink
+    blank = np.full((10, 10), 215, np.uint8)
+    rows = [(1, page.tobytes(), 100, 200), (2, blank.tobytes(), 10, 10), (3, None, 1, 1), (4, b"x", 5, 5)]
+    df = spark.createDataFrame([(i, bytearray(p) if p is not None else None, w, h) for i, p, w, h in rows], "id int, pixels binary, w int, h int")
+    got = {r.id: tuple(r.m) for r in df.select("id", margins("pixels", "w", "h").alias("m")).collect()}
+    assert got[1] == pytest.approx((0.10, 0.20, 0.10, 0.25)) and all(m is None or m != m for i in (2, 3, 4) for m in got[i])
+
+
 def test_conflict_policy():
     assert P.conflict_policy(" SKIP ") == "skip" and P.conflict_policy(None) == "overwrite"
     with pytest.raises(ValueError):
