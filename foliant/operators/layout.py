@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from foliant.functions import text as X
 
@@ -27,7 +28,7 @@ def _clamped(c: Column, least: float, most: float, default: float) -> Column:
     return F.when(c.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), c)))
 
 
-@F.pandas_udf("left double, right double, top double, bottom double")
+@F.pandas_udf(StructType([StructField(side, DoubleType()) for side in MARGINS]))
 def margins(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
     """The margins of a page's content as fractions of the page, from a grayscale thumbnail (a byte a pixel, row by row);
     nulls for a page without ink or pixels that don't fit the size."""
