@@ -62,6 +62,28 @@ def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) ->
         _MADE.remove(folder)
 
 
+def lean(run):
+    """run, a function of Arrow batches, that gives back what it has freed: a reused worker else keeps the peak of every
+    operator that ran in it."""
+
+    def lean_run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            trim = ctypes.CDLL(None).malloc_trim
+        except (OSError, AttributeError):  # another C library
+            trim = lambda _: None
+        for b in run(batches):
+            yield b
+            trim(0)
+        pa.default_memory_pool().release_unused()
+        trim(0)
+
+    return lean_run
+
+
 def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with the columns of these names (in any case) under names of their own, and what selects docs' columns, under
     their old names, from a result that has kept them."""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import packs as P
 from foliant.llm import store
-from foliant.llm.common import partitions, shared_dir, table, written
+from foliant.llm.common import lean, partitions, shared_dir, table, written
 
 _DIGEST = xxhash.xxh3_64_digest
 _START, _END = (int.from_bytes(_DIGEST(x), "little") for x in (b" start", b" end"))
@@ -117,7 +117,7 @@ def _count(docs: DataFrame, text: str, bits: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select(text).mapInArrow(run, "pack long, bucket int, blob binary")
+    return docs.select(text).mapInArrow(lean(run), "pack long, bucket int, blob binary")
 
 
 def _save(folder: str, name: str, arrays: list[np.ndarray]) -> str:
@@ -302,7 +302,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 out = [pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(at), shared.value["tokens"], np.int64)), pa.array(base), pa.array(total), pa.array(10 ** (-total / sizes))]
                 yield pa.RecordBatch.from_arrays([*b.slice(at[0], len(at)).columns, *out], [*cols, *new])
 
-    return docs.select(*cols).mapInArrow(run, schema)
+    return docs.select(*cols).mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str) -> Column:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import shared_dir
+from foliant.llm.common import lean, shared_dir
 
 #: Odd multipliers for the places of a window, by splitmix64.
 MULTIPLIERS = []
@@ -89,7 +89,8 @@ def pack(docs: DataFrame, columns: list[str], buckets: int, target: int = 4_000_
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + n], pa.int64()), pa.array([body], pa.binary())], ["pack", "body"])
 
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
+            for r in zip(*b.columns):  # a batch of long texts is far larger as Python's
+                r = tuple(x.as_py() for x in r)
                 held.append(r)
                 size += len(r[-1] or "") + 16
                 if size >= target:
@@ -98,7 +99,7 @@ def pack(docs: DataFrame, columns: list[str], buckets: int, target: int = 4_000_
         if held:
             yield row()
 
-    made = docs.select(*columns).mapInArrow(run, "pack long, body binary")
+    made = docs.select(*columns).mapInArrow(lean(run), "pack long, body binary")
     made.write.bucketBy(buckets, "pack").option("path", shared_dir(spark)).saveAsTable(name)
     return spark.table(name)
 
@@ -117,7 +118,7 @@ def to_buckets(packs: DataFrame, answers: DataFrame | None, task: Callable[[int,
                 out = list(task(p, rows_of(body), [(g["bucket"], g["blob"]) for g in (got[0] or [])] if got else []))
                 yield pa.RecordBatch.from_arrays([pa.array([p] * len(out), pa.int64()), pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["pack", "bucket", "blob"])
 
-    return with_answers(packs, answers).mapInArrow(run, "pack long, bucket int, blob binary")
+    return with_answers(packs, answers).mapInArrow(lean(run), "pack long, bucket int, blob binary")
 
 
 def with_answers(packs: DataFrame, answers: DataFrame | None) -> DataFrame:
@@ -160,4 +161,4 @@ def by_bucket(sent: DataFrame, n: int, task: Callable[[int, list[tuple[int, byte
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
     arrow = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
-    return sent.select("pack", "bucket", "blob").repartition(n, "bucket").sortWithinPartitions("bucket", "pack").mapInArrow(run, schema)
+    return sent.select("pack", "bucket", "blob").repartition(n, "bucket").sortWithinPartitions("bucket", "pack").mapInArrow(lean(run), schema)

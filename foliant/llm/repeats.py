@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from foliant.llm import packs as P
-from foliant.llm.common import partitions, table, written
+from foliant.llm.common import lean, partitions, table, written
 
 _NO_ID = (1 << 63) - 1
 _LOW = np.uint64(0xFFFFFFFF)
@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
                     out.append((*r[:-1], body_text, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return P.with_answers(packed, answers).mapInArrow(cut, schema)
+    return P.with_answers(packed, answers).mapInArrow(lean(cut), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import packs as P
 from foliant.llm.bktree import Forest
-from foliant.llm.common import partitions, removed, written
+from foliant.llm.common import lean, partitions, removed, written
 from foliant.llm.simhash import choices_of, components
 
 SEED = 42
@@ -91,7 +91,7 @@ def sets(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "node", "n", "set", "fps"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, key long, node long, n int, set binary, fps array<long>")
+    return rows.where("doc_id IS NOT NULL").mapInArrow(lean(run), "doc_id long, key long, node long, n int, set binary, fps array<long>")
 
 
 def dealt(nodes: DataFrame, count: int, shard_rows: int) -> tuple[DataFrame, list[int], int]:
@@ -223,7 +223,7 @@ def nearest(rows: DataFrame, masks: list[int], n: int) -> DataFrame:
             yield from _rows(s, x, y[tell], d[tell], full[s.shard[x]])
         yield from _rows(s, np.flatnonzero(full[s.shard]))
 
-    return rows.repartition(n, "key", "tree").mapInArrow(run, _FOUND)
+    return rows.repartition(n, "key", "tree").mapInArrow(lean(run), _FOUND)
 
 
 def across(rows: DataFrame, masks: list[int], n: int) -> DataFrame:
@@ -242,7 +242,7 @@ def across(rows: DataFrame, masks: list[int], n: int) -> DataFrame:
             yield from _rows(s, *h)
         yield from _rows(s, np.flatnonzero(s.used & ~s.sparse[s.shard]))
 
-    return rows.repartition(n, "key", "tree").mapInArrow(run, _FOUND)
+    return rows.repartition(n, "key", "tree").mapInArrow(lean(run), _FOUND)
 
 
 def linked(rows: DataFrame, masks: list[int], n: int) -> DataFrame:
@@ -276,7 +276,7 @@ def linked(rows: DataFrame, masks: list[int], n: int) -> DataFrame:
                             parts[parts == parts[j]] = parts[i]
             yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in out], pa.int64()), pa.array([min(p) for p in out], pa.int64())], ["a", "b"])
 
-    return rows.repartition(n, "key", "tree").sortWithinPartitions("key", "tree", "probe").mapInArrow(run, "a long, b long")
+    return rows.repartition(n, "key", "tree").sortWithinPartitions("key", "tree", "probe").mapInArrow(lean(run), "a long, b long")
 
 
 def _by_tree(batches, most: int = 4096):
@@ -344,7 +344,7 @@ def similar(pairs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(kept.columns[:2], ["a", "b"])
 
     a, b = (own.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(lean(run), "a long, b long")
 
 
 def near_copies(docs: DataFrame, shard_rows: int = 4096) -> DataFrame:

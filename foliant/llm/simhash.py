@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import partitions, table, written
+from foliant.llm.common import lean, partitions, table, written
 
 SEED = 42
 _BLOCK = 1 << 16
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp long")
+    return rows.where("doc_id IS NOT NULL").mapInArrow(lean(run), "doc_id long, fp long")
 
 
 class BKTree:
@@ -168,7 +168,7 @@ def links(nodes: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFram
                 out = []
         yield _pairs(out)
 
-    return dealt.repartition(n, "key", "tree").sortWithinPartitions("key", "tree", "probe").mapInArrow(run, "a long, b long")
+    return dealt.repartition(n, "key", "tree").sortWithinPartitions("key", "tree", "probe").mapInArrow(lean(run), "a long, b long")
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:

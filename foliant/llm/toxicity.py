@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table
+from foliant.llm.common import lean, table
 
 
 @dataclass
@@ -80,7 +80,7 @@ def _passage_logits(values: np.ndarray, window: int) -> np.ndarray:
 class Scorer:
     """Scores texts; keeps the values of the words it has seen, up to a bound."""
 
-    def __init__(self, model: Model, keep: int = 600_000) -> None:
+    def __init__(self, model: Model, keep: int = 300_000) -> None:
         self.model, self.keep, self.values = model, keep, {}
 
     def _learn(self, words: list[str]) -> dict[str, float]:
@@ -206,11 +206,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     def run(batches):
         scorer = Scorer(Model(**shared.value))
         for b in batches:
-            s = pa.array([scorer(t) for t in b.column(cols.index(text)).to_pylist()], pa.float64())
+            s = pa.array([scorer(t.as_py()) for t in b.column(cols.index(text))], pa.float64())
             p = pa.array(np.asarray(s) >= threshold).cast(pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, s, p], schema.names)
 
-    return docs.select(*cols).mapInArrow(run, schema)
+    return docs.select(*cols).mapInArrow(lean(run), schema)
 
 
 #: Training documents of either class, at most.
