@@ -49,6 +49,14 @@ def stream_events(spark: SparkSession, folder: str, pattern: str = "events.parqu
     return heartbeats(spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder))
 
 
+def stream_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table's rows as a stream of its files, whether the table is a folder or one file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    return stream.parquet(path) if folder else stream.option("pathGlobFilter", path.rpartition("/")[2]).parquet(path.rpartition("/")[0])
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Writes all that has arrived and is final."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
