@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from foliant.functions import text as X
+from foliant.operators.medians import medians
 
 #: Side -> (least, most, default) fraction of the page. Fixed values.
 MARGINS = {
@@ -44,11 +45,18 @@ def margins(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFr
     return pd.DataFrame(out, columns=["left", "right", "top", "bottom"], dtype=float)
 
 
-def layout_profile(pages: DataFrame, key: str) -> DataFrame:
-    """Profile of each key's pages (width, height in bp; margins as fractions, null where unknown): exact medians."""
-    found = pages.groupBy(key).agg(
-        *(F.round(F.percentile(c, F.lit(0.5)), 2).alias(f"{c}_bp") for c in ("width", "height")), F.count("left").alias("sampled"),
-        *(F.round(_clamped(F.percentile(s, F.lit(0.5)), *bounds), 4).alias(s) for s, bounds in MARGINS.items()))
+def layout_profile(pages: DataFrame, key: str, many: int | None = None) -> DataFrame:
+    """Profile of each key's pages (width, height in bp; margins as fractions, null where unknown): exact medians.
+
+    Without `many` a key's values are held by an aggregate; with it keys of more pages than that are counted out (medians).
+    """
+    measures = ("width", "height", *MARGINS)
+    if many is None:
+        held = pages.groupBy(key).agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in measures), F.count("left").alias("sampled"))
+    else:
+        sampled = pages.groupBy(F.col(key).alias("_key")).agg(F.count("left").alias("sampled"))
+        held = medians(pages, key, measures, many).join(sampled, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    found = held.select(key, *(F.round(c, 2).alias(f"{c}_bp") for c in ("width", "height")), "sampled", *(F.round(_clamped(F.col(s), *bounds), 4).alias(s) for s, bounds in MARGINS.items()))
     w, h = F.col("width_bp") / 72, F.col("height_bp") / 72
     font = F.when((w <= 5.9) & (h <= 8.6), 12).when((w <= 6.4) | (h <= 9.2), 11).otherwise(10)
     bp = {s: F.round(F.col("width_bp" if s in ("left", "right") else "height_bp") * F.col(s), 2) for s in MARGINS}

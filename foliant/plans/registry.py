@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import bundle, catalog, metadata, operations, text
+from foliant.plans import bundle, catalog, metadata, operations, storage, streams, text
 
-_PLANS = (catalog, text, metadata, operations, bundle)
+_PLANS = (catalog, text, metadata, operations, bundle, streams, storage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

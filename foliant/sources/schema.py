@@ -22,6 +22,25 @@ KEYS = {
     "document_assets": ("document_id", "storage_path"),
     "document_metadata_snapshots": ("document_id",),
 }
+#: What no two rows of a table share.
+UNIQUE = {t: ((("id",),) if TABLES[t].startswith("id ") else ()) + (key,) for t, key in KEYS.items()}
+#: Table -> columns that are never null. Fixed values.
+REQUIRED = {
+    "documents": ("id", "slug", "title", "status", "storage_bucket", "page_count", "requested_page_count", "updated_at", "created_at"),
+    "authors": ("id", "display_name", "sort_name", "created_at"),
+    "document_authors": ("document_id", "author_id", "ordinal"),
+    "document_pages": ("id", "document_id", "page_number", "created_at"),
+    "document_assets": ("id", "document_id", "asset_type", "storage_bucket", "storage_path", "created_at"),
+    "document_metadata_snapshots": ("document_id", "raw_pdf_metadata", "deterministic_metadata", "ai_metadata", "effective_metadata", "rights_metadata", "layout_profile", "updated_at"),
+}
+#: Table and column -> the table and column it refers to; what refers to a row goes with it. Fixed values.
+REFERENCES = {
+    ("document_authors", "document_id"): ("documents", "id"),
+    ("document_authors", "author_id"): ("authors", "id"),
+    ("document_pages", "document_id"): ("documents", "id"),
+    ("document_assets", "document_id"): ("documents", "id"),
+    ("document_metadata_snapshots", "document_id"): ("documents", "id"),
+}
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
