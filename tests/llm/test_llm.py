@@ -653,7 +653,7 @@ def test_columns_of_any_name_pass_the_mix_and_the_stages(spark):
 
 def test_queries_are_registered():
     names = list(queries.QUERIES)
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(names)
 
 
