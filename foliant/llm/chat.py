@@ -4,15 +4,16 @@ Each turn becomes <|im_start|>role\\ntext<|im_end|>\\n. Prefix sums of the turns
 turns that fit the budget; each window holds the conversation's system turn (a first turn of role system), at most
 `history` earlier turns as far as they fit, and a span. History is repeated, so its targets are masked there: under the
 loss mask each assistant text counts once, in its own span. A turn that alone exceeds the budget gets a window of its
-own, whole. A system turn of more than half the budget isn't repeated: it is a turn like others, so the windows hold twice
-the conversation's tokens, and its history, at most.
+own, whole; so does each turn beside a system turn that leaves it no room, for the system turn stays whatever its size.
+Where that makes too much of a very long one, `system_share` sets the largest share of the budget that is repeated; a
+longer system turn is then a turn like others.
 
 Control strings inside roles and texts are escaped reversibly: in every <|...|> the bar after < is doubled for each
 level already there (<|im_end|> becomes <||im_end|>, <||x becomes <|||x), so no text can end a turn or start another.
 Line feeds in a role are escaped alike (\\ and \\n).
 
 A conversation's turns stream through one task in order (sorted by Spark, which spills), for spans and digests are
-sequential; the task holds the turns of two budgets at most, besides a single longer turn.
+sequential; the task holds the turns of two budgets at most, besides a single longer turn and the system turn.
 
 Null texts and roles count as empty; rows with null conversation ids are dropped, null turns come first. Equal turns are
 ordered by role and text; repeated rows are turns of their own. Empty tables give empty results. Other columns are not
@@ -78,10 +79,10 @@ _SCHEMA = "conv_id long, window int, first_turn int, n_new int, text string, los
 _ARROW = pa.schema([("conv_id", pa.int64()), ("window", pa.int32()), ("first_turn", pa.int32()), ("n_new", pa.int32()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
 
-def format_chats(turns: DataFrame, budget: int = 2048, history: int = 2) -> DataFrame:
+def format_chats(turns: DataFrame, budget: int = 2048, history: int = 2, system_share: float | None = None) -> DataFrame:
     """Windows of all conversations: conv_id, window, first_turn and n_new (the turns new in it), text, loss (spans of text).
 
-    Turns stream through a task in order; it never holds a whole conversation.
+    Turns stream through a task in order; it never holds a whole conversation. system_share: None keeps every system turn.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id IS NOT NULL")
 
@@ -112,7 +113,7 @@ def format_chats(turns: DataFrame, budget: int = 2048, history: int = 2) -> Data
                     if state:
                         close(state, True)
                     state = {"id": i, "system": [], "back": [], "new": [], "cost": 0, "n": 0, "at": 0}
-                    if role == "system" and 2 * n_tokens(role, text) <= budget:
+                    if role == "system" and (system_share is None or n_tokens(role, text) <= system_share * budget):
                         state["system"] = [(role, text)]
                         continue
                 state["new"].append((role, text))

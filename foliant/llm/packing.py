@@ -9,7 +9,7 @@ than a bin is cut: whole bins, and a rest that is packed like a document. Nothin
 Packing runs in groups of about `group` documents, dealt by a hash, so a source or cluster of any share of the rows is
 spread over all of them; conflicts are exact, for bins don't cross groups.
 
-Sizes are a tokenizer's ids (token_units, whose packed ids sequences() gives with the documents' bounds) or words
+Sizes are a tokenizer's ids (token_units, whose ids placed() gives by pieces and sequences() by bins, with the documents' bounds) or words
 (units_of). A null text has size 1, the end token, as an empty one has, and no cluster. Null sources are a source of their own.
 Repeated rows are copies (0, 1, ...) of one another, and of one cluster. An empty table gives an empty result.
 """
@@ -152,13 +152,18 @@ def token_units(docs: DataFrame, path: str, text: str = "text", end_id: int = 0)
     return rows.mapInArrow(run, "unit struct<doc_id: long, source: string>, key long, n_tokens long, cluster long").select("unit.*", "n_tokens", "cluster", "key")
 
 
+def placed(pieces: DataFrame, docs: DataFrame, path: str, text: str = "text", end_id: int = 0) -> DataFrame:
+    """The pieces of token_units() of docs with their tokens (ids)."""
+    ids = _encoded(docs, path, text, end_id).dropDuplicates(["id", "key"]).select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("ids").alias("_ids"))
+    cut = pieces.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    return cut.withColumn("ids", F.slice("_ids", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int"))).drop("_id", "_key", "_ids")
+
+
 def sequences(pieces: DataFrame, docs: DataFrame, path: str, text: str = "text", end_id: int = 0) -> DataFrame:
     """bin_id, ids (the bin's tokens) and documents (doc_id, copy, a, b: where each piece lies in ids) of the pieces of
     token_units() of docs."""
-    ids = _encoded(docs, path, text, end_id).dropDuplicates(["id", "key"])
-    cut = pieces.join(ids, pieces["doc_id"].eqNullSafe(ids["id"]) & (pieces["key"] == ids["key"]))
-    row = F.struct("piece", "doc_id", "copy", pieces["key"].alias("key"), F.slice("ids", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int")).alias("ids"))
-    held = cut.select("bin_id", row.alias("r")).groupBy("bin_id").agg(F.array_sort(F.collect_list("r")).alias("r"))  # a bin's capacity of tokens
+    row = F.struct("piece", "doc_id", "copy", "key", "ids")
+    held = placed(pieces, docs, path, text, end_id).select("bin_id", row.alias("r")).groupBy("bin_id").agg(F.array_sort(F.collect_list("r")).alias("r"))  # a bin's capacity of tokens
     ends = F.transform("r", lambda x, i: F.aggregate(F.slice("r", F.lit(1), i + 1), F.lit(0), lambda s, y: s + F.size(y["ids"])))
     places = F.zip_with("r", ends, lambda x, e: F.struct(x["doc_id"].alias("doc_id"), x["copy"].alias("copy"), (e - F.size(x["ids"])).alias("a"), e.alias("b")))
     return held.select("bin_id", F.flatten(F.transform("r", lambda x: x["ids"])).alias("ids"), places.alias("documents"))

@@ -1,11 +1,12 @@
 """Quality rules: a table of thresholds compiled into one Spark projection, without user functions.
 
 Nulls count as empty texts. Texts of any length are judged whole. Repeated rows are judged one by one. Columns that
-the rules don't know pass through; those named like a measure are replaced.
+the rules don't know pass through, whatever their names; those named like a measure are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -76,12 +77,13 @@ def measures(docs: DataFrame, text: str = "text", stop_words: Sequence[str] = ST
     ))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    of_words, of_lines = (f"_{uuid.uuid4().hex}" for _ in range(2))
     found = docs.withColumns({
-        "_words": counts, "_lines": dup,
+        of_words: counts, of_lines: dup,
         "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
     })
-    found = found.withColumns({c: F.col(f"{s}.{c}") for s, cs in (("_words", ("n_words", "n_repeat_words", "n_stop_words")), ("_lines", ("n_lines", "n_dup_lines"))) for c in cs}).drop("_words", "_lines")
+    found = found.withColumns({c: F.col(f"{s}.{c}") for s, cs in ((of_words, ("n_words", "n_repeat_words", "n_stop_words")), (of_lines, ("n_lines", "n_dup_lines"))) for c in cs}).drop(of_words, of_lines)
 
     def ratio(a: str, b: str) -> Column:
         return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))

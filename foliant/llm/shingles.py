@@ -1,9 +1,11 @@
 """Near copies: SimHash candidates of BK-trees, kept where the exact Jaccard similarity of the texts is 0.8 or more.
 
-A text has a set of five-word shingles (64-bit hashes), by which it is judged, and `FAMILIES` independent 64-bit SimHash
-fingerprints of its two-word shingles, by which it finds others: texts of similarity 0.8 whose differences lie scattered
-differ in some 4 % of their word pairs, which is about six bits of a fingerprint, so that one of eight is within `RADIUS`
-nearly always; where they differ in one run of words it is about ten bits, and one in two such pairs is missed. Fingerprints meet in shards of agreeing bit blocks (see simhash) and there in BK-trees.
+A text has a set of five-word shingles (64-bit hashes), by which it is judged, and `FAMILIES` 64-bit SimHash fingerprints,
+by which it finds others. A fingerprint is made of a sample of `SAMPLE` shingles: those that come first in as many
+random orders, the same for all texts. Two sets of similarity s have equal samples, and so equal fingerprints, with
+probability s^4 in each family, wherever their texts differ: scattered, in one run, or by what was appended. Of 16 families
+none agrees with probability (1 - s^4)^16, which is 0.0002 at 0.8 and less above. A SimHash of whole texts would do for scattered
+differences only. Fingerprints meet in shards of agreeing bit blocks (see simhash) and there in BK-trees.
 
 Pairs are found in two rounds. First each set is paired with the `NEAREST` found nearest, or with all within the
 radius if they are no more; of these each set's best is compared, which joins most of a group. Then, where sets had
@@ -34,12 +36,14 @@ from foliant.llm.simhash import choices_of, components
 
 SEED = 42
 WIDTH = 5
-#: Fingerprints: words of a shingle, how many, and the radius of a link.
-WORDS, FAMILIES, RADIUS = 2, 8, 5
+#: Fingerprints: how many, of how many sampled shingles each, and the radius within which they meet.
+FAMILIES, SAMPLE, RADIUS = 16, 4, 1
 NEAREST = 2
 #: Pairs across components for each row of a shard, above which the shard's sets are compared where they are.
 DENSE = 1
-_BLOCK = 255 * 64
+_BLOCK = 1 << 12
+#: A random order for each sampled shingle.
+_ORDERS = P.mix(np.arange(1, FAMILIES * SAMPLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -57,19 +61,16 @@ def _shingles(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, n).view(np.int64))
 
 
-def fingerprints(words: list[bytes]) -> np.ndarray:
-    """The SimHash of the words' two-word shingles under each family of hashes; zeros without words."""
-    if not words:
+def fingerprints(found: np.ndarray) -> np.ndarray:
+    """The SimHash of each family's sample of a set of shingles: a bit is set where over half of the sample has it. Zeros
+    without shingles."""
+    if not len(found):
         return np.zeros(FAMILIES, np.uint64)
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
-    h = P.window_hashes(h, WORDS) if len(h) >= WORDS else P.mix(h.sum(keepdims=True))
-    ones, salts = np.zeros(64 * FAMILIES, np.int64), np.array(P.MULTIPLIERS[:FAMILIES], np.uint64)[None, :]
+    h, first = found.view(np.uint64), np.full(len(_ORDERS), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(h), _BLOCK):
-        some = P.mix(h[at : at + _BLOCK, None] + salts)
-        bits = np.unpackbits(some.view(np.uint8).reshape(len(some), 8 * FAMILIES), axis=1, bitorder="little")
-        for k in range(0, len(bits), 255):  # as many as a byte can count
-            ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
-    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
+        first = np.minimum(first, P.mix(h[at : at + _BLOCK, None] ^ _ORDERS[None, :]).min(0))
+    bits = np.unpackbits(P.mix(first).view(np.uint8).reshape(FAMILIES, SAMPLE, 8), axis=2, bitorder="little")
+    return np.packbits(2 * bits.sum(1) > SAMPLE, axis=1, bitorder="little").reshape(-1).view(np.uint64)
 
 
 def sets(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -81,7 +82,7 @@ def sets(docs: DataFrame, text: str = "text") -> DataFrame:
             for t in b.column(2):
                 words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 found.append(_shingles(words, WIDTH))
-                fps.append(fingerprints(words))
+                fps.append(fingerprints(found[-1]))
             sizes = np.fromiter(map(len, found), np.int32, len(found))
             nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found), np.uint64, len(found)).view(np.int64)
             fps = np.concatenate([*fps, np.zeros(0, np.uint64)]).view(np.int64)
@@ -316,12 +317,13 @@ def _by_tree(batches, most: int = 4096):
 
 def _places(node) -> tuple:
     """Word and bit of a hash in a filter of 65,536 words."""
-    return F.pmod(node, F.lit(1 << 16)), F.expr(f"shiftleft(1L, cast(pmod(shiftright({node._jc.toString()}, 16), 64) AS int))")
+    ones = F.array(*(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)))
+    return F.pmod(node, F.lit(1 << 16)), F.element_at(ones, (F.pmod(F.shiftright(node, 16), F.lit(64)) + 1).cast("int"))
 
 
 def filtered(rows: DataFrame, column: str, some: DataFrame) -> DataFrame:
     """rows with _may: whether the column's hash may be one of some's. The filter is broadcast: 65,536 rows at most."""
-    word, bit = _places(F.col(column))
+    word, bit = _places(F.col(f"`{column}`"))
     bits = some.select(F.col(some.columns[0]).alias(column)).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     out = rows.join(F.broadcast(bits), word == F.col("_word"), "left")
     return out.withColumn("_may", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")

@@ -23,6 +23,7 @@ import types
 import zlib
 from collections.abc import Sequence
 from itertools import chain
+from math import ceil
 
 import numpy as np
 import public_tokenizers
@@ -148,6 +149,8 @@ class FileReader:
 #: What Python counts as white space, as a class of RE2.
 _WHITE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 _SLICE = 8 << 20
+#: Bytes of text for a task, which sorts them.
+_TASK = 256 << 20
 
 
 _MARKS = ".,!?;:"
@@ -335,7 +338,8 @@ def write(docs: DataFrame, path: str, text: str = "text", end_id: int | None = 0
         if docs_:
             yield from file(rest=True)
 
-    n = partitions(docs.sparkSession)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), ceil(size / _TASK))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(run, "part int, shard int, before long, n_tokens long, folder string, name string"))
 
@@ -351,7 +355,7 @@ def read(files: DataFrame) -> DataFrame:
                 crc = np.fromiter((zlib.crc32(ids[x:y]) for x, y in zip(a[:-1].tolist(), a[1:].tolist())), np.int64, len(r.doc_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (r.doc_ids, before + a[:-1], np.diff(a), crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # Tokens before each part: one number for each range partition, so few rows.
+    # Tokens before each part: one number for each range partition, a row for 256 MB of text.
     parts = sorted(tuple(r) for r in files.groupBy("part").agg(F.sum("n_tokens")).collect())
     before, total = [], 0
     for p, n in parts:

@@ -7,7 +7,7 @@ the same in a short and in a very long text. Training alternates: the model pick
 passage, then embeddings and softmax learn together from those passages (and random ones of clean documents).
 
 The model is fitted on at most `max_docs` labelled documents of either class, chosen by a hash of the id (training is
-bounded by that parameter) with `max_chars` characters together; all documents are scored over whole texts. Nulls count as empty texts, which get the
+bounded by that parameter) with `max_chars` characters together, texts of more than a quarter of that last, but one in any case; all documents are scored over whole texts. Nulls count as empty texts, which get the
 softmax's score of an empty bag. Rows with a null id or label don't train; conflicting labels of one id train as they
 stand; of rows that repeat an id one trains. With training labels of one class only, every score is that class's value (0 without any label). Other columns are not read; repeated rows get the same score each.
 """
@@ -181,15 +181,18 @@ def fit(texts: list[str | None], labels: list[int], dim: int = 8, bits: int = 18
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int, keep: Column | None = None, max_chars: int = 50_000_000) -> DataFrame:
     """At most max_docs labelled documents of either class, by a hash of the id, and as many of them as have max_chars
-    characters together; of an id's rows, the least text."""
+    characters together; of an id's rows, the least text. Texts of more than a quarter of max_chars come last, so that none
+    keeps others out, and a class with nothing else trains on its first one, whatever its length."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     marks = marks if keep is None else marks.where(keep)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [marks.where(F.col("toxic") == c).orderBy(*order).limit(max_docs) for c in (0, 1)]
     some = F.broadcast(some[0].union(some[1]).distinct())  # at most 2 * max_docs rows
     rows = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    before = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy(*order))  # max_docs rows
-    return rows.withColumn("_chars", before).where(F.col("_chars") <= max_chars).drop("_chars")
+    chars = F.coalesce(F.length("text"), F.lit(0))
+    turn = Window.partitionBy("toxic").orderBy(4 * chars > max_chars, *order)  # max_docs rows
+    rows = rows.withColumns({"_chars": F.sum(chars).over(turn.rowsBetween(Window.unboundedPreceding, 0)), "_place": F.row_number().over(turn)})
+    return rows.where((F.col("_chars") <= max_chars) | (F.col("_place") == 1)).drop("_chars", "_place")
 
 
 def fit_on(rows: DataFrame, **kwargs) -> Model:

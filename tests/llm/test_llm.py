@@ -684,7 +684,7 @@ def test_pipeline_stages(spark):
     for s, t in mixing.targets(dict(totals), mixing.WEIGHTS).items():
         assert abs(taken[s] - t) <= 0.02 * t + 5
     assert Counter(r.doc_id for r in held[4].select("doc_id").collect()).most_common(1)[0][1] <= 2
-    units = packing.units_of(held[4])
+    units = packing.token_units(held[4], P.TOKENIZER)
     check_bins(held[5].collect(), units.collect(), 2048, 4)
 
 
@@ -715,7 +715,7 @@ def jaccard_least(texts):
 
 
 def test_near_dedup_against_all_pairs(spark):
-    """Nothing but near copies goes; candidates come from fingerprints, so a few copies may stay (one of 79 does)."""
+    """Nothing but near copies goes; candidates come from fingerprints, so a copy may stay."""
     import corpus_pipeline as P
 
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
@@ -762,7 +762,7 @@ def test_near_dedup_of_one_text_varied(spark):
 
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join("x" if k == i * 9 else w for k, w in enumerate(base))) for i in range(1, 11)]  # similarity 86 / 106 or more
-    rows += [(20 + i, " ".join("y" if k % 25 == i else w for k, w in enumerate(base))) for i in range(1, 4)]  # two-word fingerprints are near, sets are not
+    rows += [(20 + i, " ".join("y" if k % 25 == i else w for k, w in enumerate(base))) for i in range(1, 4)]  # texts are near, sets are not
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()) == [1, 21, 22, 23]
     sets = five_word_sets(dict(rows))
