@@ -24,6 +24,23 @@ MARGINS = {
 INK_SHARE, INK_LEAST, DARK = 0.02, 6, 215
 
 
+#: Width and height that a page is reduced to fit before it is measured. Fixed values.
+THUMBNAIL = (600, 800)
+
+
+def reduced(page: np.ndarray, most: tuple[int, int] = THUMBNAIL) -> np.ndarray:
+    """A grayscale page that fits a width and height, in its proportions: each pixel is the average of those it stands for."""
+    size = page.shape
+    scale = min(1.0, most[1] / size[0], most[0] / size[1])
+    if scale == 1.0:
+        return page
+    new = [max(1, min(limit, round(n * scale))) for n, limit in zip(size, reversed(most))]
+    cuts = [np.arange(n) * old // n for n, old in zip(new, size)]
+    total = np.add.reduceat(np.add.reduceat(page.astype(np.int64), cuts[0], axis=0), cuts[1], axis=1)
+    area = np.outer(*(np.diff(np.append(c, n)) for c, n in zip(cuts, size)))
+    return ((total + area // 2) // area).astype(np.uint8)
+
+
 def _clamped(c: Column, least: float, most: float, default: float) -> Column:
     """Between bounds; the default for null (greatest and least alone would pass nulls over)."""
     return F.when(c.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), c)))
@@ -31,13 +48,14 @@ def _clamped(c: Column, least: float, most: float, default: float) -> Column:
 
 @F.pandas_udf(StructType([StructField(side, DoubleType()) for side in MARGINS]))
 def margins(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-    """The margins of a page's content as fractions of the page, from a grayscale thumbnail (a byte a pixel, row by row);
-    nulls for a page without ink or pixels that don't fit the size."""
+    """The margins of a page's content as fractions of the page, from its grayscale pixels (a byte each, row by row), reduced to
+    a thumbnail first; nulls for a page without ink or pixels that don't fit the size."""
     out = []
     for data, w, h in zip(pixels, width, height):
         sides = [None] * 4
         if data is not None and w and h and len(data) == int(w) * int(h):
-            dark = np.frombuffer(data, np.uint8).reshape(int(h), int(w)) < DARK
+            dark = reduced(np.frombuffer(data, np.uint8).reshape(int(h), int(w))) < DARK
+            h, w = dark.shape
             inked = [np.flatnonzero(dark.sum(axis) >= max(INK_LEAST, int(n * INK_SHARE))) for axis, n in ((0, h), (1, w))]
             if len(inked[0]) and len(inked[1]):
                 sides = [x for places, n in zip(inked, (int(w), int(h))) for x in (places[0] / n, (n - 1 - places[-1]) / n)]

@@ -5,30 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of a level: a row is compared with this many twice, for their square of buckets.
-_FAN = 24
+from foliant.streaming.paths import held
+
+#: Bits of a row's place within its partition, as monotonically_increasing_id has it.
+_PLACE = 33
 
 
 def numbered(rows: DataFrame, key: list[Column], name: str, start: Column | None = None) -> DataFrame:
     """rows with a column of their places, from 1 (after start, if given), in the ascending order of the key's columns.
 
-    A sample of the keys, drawn by a hash and of bounded size, cuts the table into buckets; rows are ranked within their
-    bucket and shifted by what the buckets before hold. Buckets depend on the rows alone, so a repeated task gives the
-    same places. Equal keys are ranked arbitrarily; end the key with something unique.
+    Rows are dealt by ranges of the key to as many partitions as the session's shuffles have, sorted there, and written with
+    their place in the partition; what the partitions before hold is added then, a number for each. Equal keys are ranked
+    arbitrarily; end the key with something unique.
     """
-    keyed = rows.select(F.struct("*").alias("row"), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]).alias("key"))
-    sample = keyed.select("key").orderBy(F.xxhash64("key"), "key").limit(4096).agg(F.array_sort(F.collect_set("key")).alias("s"))  # one row
-    n = F.size("s")
-    every = F.transform(F.sequence(F.lit(0), F.lit(_FAN * _FAN - 1)), lambda i: F.get("s", (i * n / (_FAN * _FAN)).cast("int")))
-    cuts = sample.select(every.alias("c"))
-    lows = cuts.select(
-        F.transform(F.sequence(F.lit(1), F.lit(_FAN - 1)), lambda i: F.get("c", i * _FAN)).alias("coarse"),
-        F.transform(F.sequence(F.lit(0), F.lit(_FAN - 1)), lambda i: F.slice("c", i * _FAN + 2, _FAN - 1)).alias("fine"))
-    below = lambda bounds, k: F.size(F.filter(bounds, lambda b: b <= k))
-    placed = keyed.crossJoin(F.broadcast(lows)).withColumn("major", below("coarse", F.col("key")))
-    placed = placed.withColumn("bucket", F.col("major") * _FAN + below(F.get("fine", F.col("major")), F.col("key"))).select("row", "key", "bucket")
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size"))  # _FAN * _FAN rows at most
-    before = sizes.select("bucket", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-    place = F.col("before") + rank + (F.lit(0) if start is None else start)
-    return placed.join(F.broadcast(before), "bucket").withColumn("place", place).select("row.*", F.col("place").alias(name))
+    shift = [] if start is None else [start.alias("_start")]
+    dealt = rows.select("*", *shift).repartitionByRange(*key).sortWithinPartitions(*key)
+    placed = held(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", _PLACE)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # a row a partition
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << _PLACE) - 1)) + 1
+    found = placed.join(F.broadcast(before), part == F.col("_part"))
+    return found.withColumn(name, place if start is None else place + F.col("_start")).select(*rows.columns, name)

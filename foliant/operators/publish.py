@@ -62,9 +62,9 @@ def replace_children(current: DataFrame, incoming: DataFrame, parents: DataFrame
 
 
 def identities(rows: DataFrame, current: DataFrame, order: str) -> DataFrame:
-    """rows with ids after the greatest in current, in order; ranked in buckets, so no task ranks all rows."""
+    """rows with ids after the greatest in current, in order; placed by ranges, so no task ranks all rows."""
     most = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_most"))  # one row
-    return numbered(rows.crossJoin(F.broadcast(most)), [F.col(order)], "id", F.col("row._most")).drop("_most")
+    return numbered(rows.crossJoin(F.broadcast(most)), [F.col(order)], "id", F.col("_most")).drop("_most")
 
 
 def page_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:

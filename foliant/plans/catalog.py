@@ -71,7 +71,7 @@ QUERIES = {
     "card_projection": _published(C.cards),
     "page_snippet": lambda s, d: pages(s, d).select("id", X.page_snippet(F.col("digitalized_text"), F.col("korean_text")).alias("snippet")),
     "page_availability": lambda s, d: pages(s, d).select("id", X.page_availability(F.col("digitalized_text"), F.col("korean_text")).alias("label")),
-} | {f"sort_{k}": (lambda k: _published(lambda p: C.positions(p, k)))(k) for k in C.SORTS}
+} | {f"sort_{k}": (lambda k: _published(lambda p: C.positions(p, k)))(k) for k in C.SORTS} | {f"sort_{k}_locale": (lambda k: _published(lambda p: C.positions(p, k, "UNICODE")))(k) for k in C.SORTS}
 
 _SNIP = "trim(regexp_replace(coalesce(digitalized_text, korean_text, ''), '\\s+', ' ', 'g'))"
 
@@ -102,3 +102,5 @@ ORACLE_SQL = {
     "page_snippet": with_pages(f"SELECT id, CASE WHEN {_SNIP} = '' THEN 'No extracted text available.' WHEN length({_SNIP}) > 140 THEN concat(rtrim(substr({_SNIP}, 1, 137)), '...') ELSE {_SNIP} END AS snippet FROM doc_pages"),
     "page_availability": with_pages("SELECT id, CASE WHEN trim(coalesce(digitalized_text, '')) <> '' AND trim(coalesce(korean_text, '')) <> '' THEN 'Original + Korean' WHEN trim(coalesce(digitalized_text, '')) <> '' THEN 'Original only' WHEN trim(coalesce(korean_text, '')) <> '' THEN 'Korean only' ELSE 'Image only' END AS label FROM doc_pages"),
 } | {f"sort_{k}": with_catalog(f"SELECT id, cast(row_number() OVER (ORDER BY {o}) AS int) AS pos FROM published") for k, o in _ORDERS.items()}
+# Names in the order of a locale: ties of the collation go by the id.
+ORACLE_SQL |= {f"sort_{k}_locale": with_catalog(f"SELECT id, cast(row_number() OVER (ORDER BY {o.replace('title', 'title COLLATE en').replace('author\')', 'author\') COLLATE en')}) AS int) AS pos FROM published") for k, o in _ORDERS.items()}

@@ -12,6 +12,7 @@ from foliant.operators import integrity
 from foliant.operators import operations as O
 from foliant.operators import publish as P
 from foliant.operators import trigrams
+from foliant.operators.layout import margins
 from foliant.operators.medians import medians
 from foliant.plans.catalog import _TEXT, ORACLE_SQL as CATALOG_SQL
 from foliant.plans.operations import AS_OF, FILES, ORACLE_SQL as OPERATIONS_SQL
@@ -104,8 +105,22 @@ def _medians(s: SparkSession, d: str) -> DataFrame:
     return medians(sized, "lang", ["width", "height", "left"])
 
 
+# Margins: a text is a page of 200 columns, whose white space is paper
+
+
+_WIDTH = 200
+
+
+def _margins(s: SparkSession, d: str) -> DataFrame:
+    ink = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "x"), r"[\x20\x09-\x0D]", "\u00ff")
+    pages = s.read.parquet(f"{d}/documents.parquet").select("doc_id", ink.alias("ink")).withColumn("rows", F.ceil(F.length("ink") / _WIDTH).cast("int"))
+    pixels = F.encode(F.rpad("ink", F.col("rows") * _WIDTH, F.lit("\u00ff")), "ISO-8859-1")
+    return pages.select("doc_id", margins(pixels, F.lit(_WIDTH), F.col("rows")).alias("m")).select("doc_id", "m.*")
+
+
 QUERIES = {
     "page_medians": _medians,
+    "page_margins": _margins,
     "folder_summary": _summary,
     "folder_kinds": _kinds,
     "report_files": _written,
@@ -142,7 +157,14 @@ _LEFT = " UNION ALL ".join(
 _REPORT = "'{\n  \"status\": \"dry_run\",\n  \"reason\": null,\n  \"slug\": \"é-' || s_suppkey || '\",\n  \"storage_bucket\": \"b\",\n  \"storage_root\": \"documents/é-' || s_suppkey || '\",\n  \"uploaded_assets\": ' || s_suppkey % 7 || ',\n  \"published_pages\": ' || s_suppkey % 5 || ',\n  \"slug_conflict_policy\": \"skip\",\n  \"published_at\": null\n}'"
 _KIND = "CASE path WHEN 'n_digitalized.pdf' THEN 'pdf' WHEN 'n_Korean.pdf' THEN 'pdf' " + " ".join(f"WHEN 'n{end}' THEN '{k}'" for k, end in O.REPORTS.items()) + " ELSE 'log' END"
 
+_LEAST = "greatest(6, cast(floor({} * 0.02) AS int))"
 ORACLE_SQL = {
+    "page_margins": f"""WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', 'x', 'g'), '[\\x20\\x09-\\x0D]', ' ', 'g'), '') AS c FROM documents),
+      p AS (SELECT doc_id, unnest(c) AS c, generate_subscripts(c, 1) - 1 AS i, cast(ceil(len(c) / {_WIDTH}) AS int) AS h FROM t),
+      x AS (SELECT doc_id, i % {_WIDTH} AS x, any_value(h) AS h FROM p WHERE c <> ' ' GROUP BY 1, 2 HAVING count(*) >= {_LEAST.format('any_value(h)')}),
+      y AS (SELECT doc_id, i // {_WIDTH} AS y, any_value(h) AS h FROM p WHERE c <> ' ' GROUP BY 1, 2 HAVING count(*) >= {_LEAST.format(_WIDTH)}),
+      m AS (SELECT doc_id, min(x) AS l, {_WIDTH} - 1 - max(x) AS r FROM x GROUP BY 1), n AS (SELECT doc_id, min(y) AS t, any_value(h) - 1 - max(y) AS b, any_value(h) AS h FROM y GROUP BY 1)
+      SELECT d.doc_id, l / {_WIDTH}.0::DOUBLE AS "left", r / {_WIDTH}.0::DOUBLE AS "right", n.t / n.h::DOUBLE AS top, n.b / n.h::DOUBLE AS bottom FROM documents d LEFT JOIN (m JOIN n USING (doc_id)) USING (doc_id)""",
     "page_medians": """SELECT lang, median(380.0::DOUBLE + length(line) % 211 + (n - 1) % 10 / 10.0::DOUBLE) AS width, median((560 + length(line) % 223)::DOUBLE) AS height, median(CASE WHEN (n - 1) % 4 <> 0 THEN length(line) % 25 / 100.0::DOUBLE END) AS "left"
       FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) GROUP BY lang""",
     "folder_summary": OPERATIONS_SQL["ops_summary"].replace("FROM documents", f"FROM {_SUPPLIERS}"),

@@ -250,6 +250,25 @@ def test_margins_of_a_page(spark):
     assert got[1] == pytest.approx((0.10, 0.20, 0.10, 0.25)) and all(m is None or m != m for i in (2, 3, 4) for m in got[i])
 
 
+def test_pages_are_reduced_before_they_are_measured(spark):
+    from foliant.operators.layout import THUMBNAIL, reduced
+
+    page = np.full((4000, 2400), 255, np.uint8)
+    page[400:3000, 240:2040] = 0
+    small = reduced(page)
+    assert small.shape == (800, 480) and (small[81:599, 49:407] == 0).all() and (small[:79] == 255).all()
+    wide = np.arange(7 * 5000, dtype=np.int64).reshape(7, 5000) % 251
+    assert reduced(wide.astype(np.uint8)).shape == (1, 600) and reduced(page[:10, :10]).shape == (10, 10) and reduced(page[:, :1]).shape == (800, 1)
+    assert all(a <= b for a, b in zip(reversed(small.shape), THUMBNAIL))
+    df = spark.createDataFrame([(bytearray(page.tobytes()), 2400, 4000)], "pixels binary, w int, h int")
+    assert tuple(df.select(margins("pixels", "w", "h").alias("m")).first().m) == pytest.approx((0.10, 0.15, 0.10, 0.25), abs=0.003)
+
+
+def test_parameters_of_a_request():
+    assert [C.first_param(v) for v in (None, "", "x", [], ["a", "b"], ("c",))] == ["", "", "x", "", "a", "c"]
+    assert [C.sort_param(v) for v in (None, "", "title", "TITLE", "pages_desc", "newest")] == ["recent", "recent", "title", "recent", "pages_desc", "recent"]
+
+
 def test_conflict_policy():
     assert P.conflict_policy(" SKIP ") == "skip" and P.conflict_policy(None) == "overwrite"
     with pytest.raises(ValueError):
