@@ -104,8 +104,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
-    docs, made = common.table(spark, sf_dir, "documents"), common.made()
-    for _, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir))
-        common.sweep(spark, made, docs)
+    docs = common.table(spark, sf_dir, "documents")
+    with common.scope() as own:
+        for _, stage in STAGES:
+            docs = common.written(stage(spark, docs, sf_dir))
+            own.sweep(spark, docs)
     return docs
