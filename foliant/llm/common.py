@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,52 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-#: The folders that this process's operators have written to, in order.
-_MADE: list[str] = []
+class Scratch:
+    """The folders and tables that one run of operators has written."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+        self.tables: list[str] = []
+
+    def sweep(self, spark: SparkSession, keep: DataFrame | None = None) -> None:
+        """Removes them, but for the folder of keep, a written() table. For whoever has consumed or written the operators'
+        results, which are lazy and read these folders."""
+        kept = getattr(keep, "_folder", None)
+        for name in self.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for folder in [f for f in self.folders if f != kept]:
+            _delete(spark, folder)
+            self.folders.remove(folder)
+        self.tables.clear()
+
+
+class _Owner:
+    """Whose run this thread's operators work for; what runs outside a scope is kept for the process. Workers, which get this
+    module by value, start with one of their own."""
+
+    def __init__(self) -> None:
+        self.var: ContextVar[Scratch] = ContextVar("scratch", default=Scratch())
+
+    def __reduce__(self):
+        return _Owner, ()
+
+
+_OWNER = _Owner()
+
+
+def owner() -> Scratch:
+    return _OWNER.var.get()
+
+
+@contextmanager
+def scope() -> Iterator[Scratch]:
+    """A run of its own: what operators write inside, in this thread, belongs to it and to no other run."""
+    mine = Scratch()
+    token = _OWNER.var.set(mine)
+    try:
+        yield mine
+    finally:
+        _OWNER.var.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,15 +72,18 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="foliant-")
         spark.sparkContext.setCheckpointDir(base)
-    _MADE.append(f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    folder = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    owner().folders.append(folder)
+    return folder
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage ends there, and lost executors cost nothing."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -44,22 +93,8 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 
 def removed(df: DataFrame) -> None:
-    """Removes the folder of a written table that nothing reads any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
-
-
-def made() -> int:
-    """How many folders there are now, for sweep()."""
-    return len(_MADE)
-
-
-def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Removes what the operators have written since there were `since` folders (of made()), but for keep's. For whoever has consumed or written the operators' results, which are lazy and read these folders."""
-    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in keep.inputFiles()} if keep is not None else set()
-    for folder in [f for f in _MADE[since:] if f.rsplit("/", 1)[1] not in kept]:
-        _delete(spark, folder)
-        _MADE.remove(folder)
+    """Removes the folder of a written() table that nothing reads any more."""
+    _delete(df.sparkSession, df._folder)
 
 
 def lean(run):

@@ -5,7 +5,9 @@ counts, g(v) what discounting freed; p(w) likewise from the number of words that
 1 / (V + 1), so an unknown word has a share and all shares add up to one. Every text starts in a context of its own
 and ends with an end token.
 
-Counting sends each task's distinct bigrams to hash buckets, so a bigram of any frequency is one entry for each task.
+Counting sends each task's distinct bigrams to hash buckets, so a bigram of any frequency is one entry for each task. A task
+sends to 256 buckets at most; where there are more, relays merge what has come for some bits of the bucket, by tens of MB, and
+send it on by eight bits more, so the number of blobs grows with the input and not with its square.
 A bucket becomes a file in the shared folder: bigram hashes in order (32 bits each behind a directory of the next
 bits), counts beside them; another holds the words' statistics. Workers map the files into memory (where the shared
 folder is no local path, they read them one at a time) and look up a batch of texts, sorted by hash.
@@ -34,6 +36,8 @@ from foliant.llm.common import lean, partitions, shared_dir, table, written
 _DIGEST = xxhash.xxh3_64_digest
 _START, _END = (int.from_bytes(_DIGEST(x), "little") for x in (b" start", b" end"))
 _SLOT_BITS = 14  # of a bigram file's directory
+#: Bits of a bucket's number by which a sender tells buckets apart, and the bytes that a relay merges at once.
+FAN_BITS, _RELAY = 8, 64_000_000
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -86,16 +90,63 @@ def _send(kind: int, key: np.ndarray, columns: list[np.ndarray], by: np.ndarray,
     """The columns by bucket (top bits of key), ordered by `by` within it, which compresses."""
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
     order = np.lexsort((by, bucket))
-    cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-    for b in range(1 << bits):
-        s = order[cuts[b] : cuts[b + 1]]
-        if len(s):
-            yield kind, b, P.squeeze(*(c[s] for c in columns))
+    names, first = np.unique(bucket[order], return_index=True)
+    for b, lo, hi in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+        yield kind, b, P.squeeze(*(c[order[lo:hi]] for c in columns))
+
+
+def _added_pairs(held: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Keys and columns (v, w, c) of distinct bigrams of some blobs, their counts added, and what they are ordered by."""
+    v, w, c = (np.concatenate(x) for x in zip(*map(P.unsqueeze, held)))
+    g = _pair(v, w)
+    order, first = _groups(g)
+    v, w, g, c = v[order][first], w[order][first], g[order][first], np.add.reduceat(c[order].astype(np.int64), first)
+    return g, [v, w, c], v
+
+
+def _added_words(held: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The same of words and their statistics."""
+    word, *stats = (np.concatenate(x) for x in zip(*map(P.unsqueeze, held)))
+    order, first = _groups(P.mix(word))
+    word = word[order][first]
+    return P.mix(word), [word, *(np.add.reduceat(s[order].astype(np.int64), first) for s in stats)], word
+
+
+def _routed(sent: DataFrame, added, bits: int, tasks: int, fan: int) -> DataFrame:
+    """sent (pack, bucket, blob), whose buckets are of the first `fan` bits, as it is to come to buckets of all bits."""
+    for have in range(fan, bits, fan):
+        sent = _relayed(sent, added, min(bits, have + fan), tasks)
+    return sent
+
+
+def _relayed(sent: DataFrame, added, bits: int, tasks: int) -> DataFrame:
+    def run(batches):
+        bucket, held, size = None, [], 0
+
+        def flush():
+            key, columns, by = added(held)
+            for kind, b, blob in _send(0, key, columns, by, bits):
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["pack", "bucket", "blob"])
+
+        for b in batches:
+            for k, blob in zip(b.column(1).to_pylist(), b.column(2)):
+                if held and (k != bucket or size >= _RELAY):
+                    yield from flush()
+                    held, size = [], 0
+                bucket = k
+                held.append(blob.as_py())
+                size += len(held[-1])
+        if held:
+            yield from flush()
+
+    # A bucket is dealt over several relays, for each merges only a part of it.
+    salt = F.pmod(F.xxhash64("blob"), F.lit(max(1, tasks >> FAN_BITS)))
+    return sent.select("pack", "bucket", "blob").repartition(tasks, "bucket", salt).sortWithinPartitions("bucket").mapInArrow(lean(run), "pack long, bucket int, blob binary")
 
 
 def _count(docs: DataFrame, text: str, bits: int) -> DataFrame:
     def run(batches):
-        held, sizes = [], []
+        held, sizes, total = [], [], 0
 
         def flush():
             w, n = np.concatenate(held), np.array(sizes)
@@ -111,18 +162,24 @@ def _count(docs: DataFrame, text: str, bits: int) -> DataFrame:
             for t in b.column(0):
                 held.append(_hashes(t.as_py()))
                 sizes.append(len(held[-1]))
-                if len(held) % 64 == 0 and sum(sizes) >= 1_500_000:
+                total += sizes[-1]
+                if total >= 1_500_000:
                     yield from flush()
-                    held, sizes = [], []
+                    held, sizes, total = [], [], 0
         if held:
             yield from flush()
 
     return docs.select(text).mapInArrow(lean(run), "pack long, bucket int, blob binary")
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits if they fit."""
+    return counts.astype(np.uint32) if not len(counts) or counts.max() < 1 << 32 else counts
+
+
 def _save(folder: str, name: str, arrays: list[np.ndarray]) -> str:
-    """A file of arrays, one after the other, behind their lengths; returns its name."""
-    head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
+    """A file of arrays, one after the other, behind their lengths and the bytes of their items; returns its name."""
+    head = np.array([len(arrays), *(len(a) for a in arrays), *(a.itemsize for a in arrays)], np.int64).tobytes()
     return store.save(folder, name, [head, *(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)])
 
 
@@ -135,25 +192,22 @@ class Files:
     def arrays(self, name: str, kinds: list[type]) -> list[np.ndarray]:
         raw = store.load(self.folder, name)
         n = int(raw[:8].view(np.int64)[0])
-        at, out = 8 + 8 * n, []
-        for size, kind in zip(raw[8:at].view(np.int64).tolist(), kinds):
-            width = size * np.dtype(kind).itemsize
-            out.append(raw[at : at + width].view(kind))
+        at, out = 8 + 16 * n, []
+        head = raw[8:at].view(np.int64).tolist()
+        for size, item, kind in zip(head[:n], head[n:], kinds):
+            width = size * item
+            out.append(raw[at : at + width].view(kind if np.dtype(kind).itemsize == item else np.uint32))
             at += width + -width % 8
         return out
 
 
 _PAIR_KINDS = [np.uint32, np.uint32, np.uint8, np.uint32, np.int64]
-_WORD_KINDS = [np.uint64] + [np.int64] + [np.uint32] * 5
+_WORD_KINDS = [np.uint64] + [np.int64] * 6
 
 
-def _merge_pairs(bucket: int, held: list[tuple[int, bytes]], folder: str, bits: int):
+def _merge_pairs(bucket: int, held: list[tuple[int, bytes]], folder: str, bits: int, fan: int):
     """Writes a bucket's bigrams; sends its words' statistics on. Rows: pack (0: file, 1: statistics), bucket, blob, name, n1..n4, types."""
-    v, w, c = (np.concatenate(x) for x in zip(*(P.unsqueeze(blob) for _, blob in held)))
-    g = _pair(v, w)
-    order, first = _groups(g)
-    c = np.add.reduceat(c[order].astype(np.int64), first)
-    v, w, g = v[order][first], w[order][first], g[order][first]
+    g, (v, w, c), _ = _added_pairs([blob for _, blob in held])
     rest = g << np.uint64(bits)
     slots = np.searchsorted(rest >> np.uint64(64 - _SLOT_BITS), np.arange((1 << _SLOT_BITS) + 1, dtype=np.uint64)).astype(np.uint32)
     keys = ((rest << np.uint64(_SLOT_BITS)) >> np.uint64(32)).astype(np.uint32)
@@ -162,23 +216,22 @@ def _merge_pairs(bucket: int, held: list[tuple[int, bytes]], folder: str, bits:
     yield (0, bucket, None, name, *(int((c == k).sum()) for k in (1, 2, 3, 4)), len(g))
     order, first = _groups(v)
     cv = c[order]
-    add = lambda x: np.add.reduceat(x, first).astype(np.uint32)
-    zero = np.zeros(len(first), np.uint32)
-    stats = [[v[order][first], zero.astype(np.int64), zero, np.add.reduceat(cv, first).astype(np.uint32), add(cv == 1), add(cv == 2), add(cv > 2)]]
+    add = lambda x: np.add.reduceat(x.astype(np.int64), first)
+    zero = np.zeros(len(first), np.int64)
+    stats = [[v[order][first], zero, zero, add(cv), add(cv == 1), add(cv == 2), add(cv > 2)]]
     order, first = _groups(w)
-    zero = np.zeros(len(first), np.uint32)
-    stats.append([w[order][first], np.add.reduceat(c[order], first), np.diff(np.append(first, len(order))).astype(np.uint32), zero, zero, zero, zero])
+    zero = np.zeros(len(first), np.int64)
+    stats.append([w[order][first], np.add.reduceat(c[order], first), np.diff(np.append(first, len(order))), zero, zero, zero, zero])
     joined = [np.concatenate(x) for x in zip(*stats)]
-    for _, b, blob in _send(1, P.mix(joined[0]), joined, joined[0], bits):
+    joined[2:] = map(_narrow, joined[2:])
+    for _, b, blob in _send(1, P.mix(joined[0]), joined, joined[0], min(bits, fan)):
         yield (1, b, blob, None, 0, 0, 0, 0, 0)
 
 
 def _merge_words(bucket: int, held: list[tuple[int, bytes]], folder: str):
     """Writes a bucket's words. Rows: bucket, name, n1..n4 of the words followed, more (words with 3 or more), words, tokens."""
-    word, *stats = (np.concatenate(x) for x in zip(*(P.unsqueeze(blob) for _, blob in held)))
-    order, first = _groups(P.mix(word))
-    stats = [np.add.reduceat(s[order].astype(np.int64), first) for s in stats]
-    name = _save(folder, f"words-{bucket}", [P.mix(word)[order][first], stats[0], *(s.astype(np.uint32) for s in stats[1:])])
+    keys, (_, *stats), _ = _added_words([blob for _, blob in held])
+    name = _save(folder, f"words-{bucket}", [keys, stats[0], *map(_narrow, stats[1:])])
     known, follows = stats[0] > 0, stats[1]
     yield (bucket, name, *(int((follows[known] == k).sum()) for k in (1, 2, 3, 4)), int((follows[known] > 2).sum()), int(known.sum()), int(stats[0].sum()))
 
@@ -191,7 +244,7 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [min(max(d, 0.05), k) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
 
-def fit(docs: DataFrame, text: str = "text") -> dict:
+def fit(docs: DataFrame, text: str = "text", fan: int = FAN_BITS) -> dict:
     """The model of the texts: file names by bucket and a few totals; its size is a few bytes a bucket."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.length(F.col(text)))).first()[0] or 0
@@ -199,10 +252,11 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
     tasks = max(partitions(spark), ceil(size / 24_000_000))
     schema = "pack long, bucket int, blob binary, name string, n1 long, n2 long, n3 long, n4 long, types long"
     names = [f.split()[0] for f in schema.split(", ")]
-    merged = written(P.by_bucket(_count(docs, text, bits), tasks, lambda b, held: _merge_pairs(b, held, folder, bits), schema, names))
+    sent = _routed(_count(docs, text, min(bits, fan)), _added_pairs, bits, tasks, fan)
+    merged = written(P.by_bucket(sent, tasks, lambda b, held: _merge_pairs(b, held, folder, bits, fan), schema, names))
     pairs = merged.where("pack = 0").drop("blob")
     word_schema = "bucket int, name string, n1 long, n2 long, n3 long, n4 long, more long, words long, tokens long"
-    words = written(P.by_bucket(merged.where("pack = 1"), tasks, lambda b, held: _merge_words(b, held, folder), word_schema, [f.split()[0] for f in word_schema.split(", ")]))
+    words = written(P.by_bucket(_routed(merged.where("pack = 1"), _added_words, bits, tasks, fan), tasks, lambda b, held: _merge_words(b, held, folder), word_schema, [f.split()[0] for f in word_schema.split(", ")]))
     total = lambda df, *cs: [x or 0 for x in df.agg(*(F.sum(c) for c in cs)).first()]
     *n, types = total(pairs, "n1", "n2", "n3", "n4", "types")
     *m, more, v, tokens = total(words, "n1", "n2", "n3", "n4", "more", "words", "tokens")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from foliant.llm import chat, common, packing, quality, shingles, toxicity
+from foliant.llm import chat, common, ngrams, packing, quality, shingles, toxicity
 
 VARIED = ("scattered", "replaced run", "appended", "prepended", "removed run")
 
@@ -123,3 +123,59 @@ def test_a_long_text_empties_no_class(spark):
     assert kept == {0: [10] * 7, 1: [10] * 10}
     alone = toxicity.training_rows(docs.where("doc_id < 20"), labels, 100, max_chars=500)
     assert {r.toxic: r["count"] for r in alone.groupBy("toxic").count().collect()} == {0: 1, 1: 10}
+
+
+def test_runs_own_what_they_write(spark):
+    """Two operators at once: the sweep of one leaves the other's tables, and no table stays in the catalog."""
+    import threading
+
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    tables, ready, swept, out = {t.name for t in spark.catalog.listTables()}, threading.Event(), threading.Event(), {}
+
+    def other():
+        with common.scope() as mine:
+            held = common.written(docs.limit(7))
+            ready.set()
+            swept.wait(60)
+            out["rows"], out["folders"] = held.count(), len(mine.folders)
+            mine.sweep(spark)
+
+    thread = threading.Thread(target=other)
+    with common.scope() as mine:
+        thread.start()
+        ready.wait(60)
+        from foliant.llm import repeats
+
+        result = common.written(repeats.remove_repeats(docs))
+        assert len(mine.tables) == 1 and len(mine.folders) > 2
+        mine.sweep(spark, keep=result)
+        swept.set()
+        thread.join()
+        assert result.count() == docs.count() and len(mine.folders) == 1
+        mine.sweep(spark)
+    assert out == {"rows": 7, "folders": 1} and {t.name for t in spark.catalog.listTables()} == tables and not mine.folders
+
+
+@pytest.mark.parametrize("relay", [1, 64_000_000])
+def test_relays_change_no_count(spark, monkeypatch, relay):
+    """The model by one level of buckets, and by as many levels as buckets have bits."""
+    monkeypatch.setattr(ngrams, "_RELAY", relay)
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").repartition(5)
+    one, many = ngrams.fit(docs), ngrams.fit(docs, fan=1)
+    kept = ("bits", "d", "d_low", "types", "vocabulary", "tokens", "free_low")
+    assert one["bits"] >= 3 and {k: one[k] for k in kept} == {k: many[k] for k in kept} and one["pairs"].keys() == many["pairs"].keys()
+    a, b = (sorted(map(tuple, ngrams.score(docs, m).drop("text").collect())) for m in (one, many))
+    assert a == b
+
+
+def test_senders_tell_few_buckets_apart(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("text").repartition(4)
+    sent = ngrams._count(docs, "text", 2)
+    assert sent.where("bucket >= 4").count() == 0
+    fine = ngrams._routed(sent, ngrams._added_pairs, 6, 4, 2)
+    assert fine.select("bucket").distinct().count() == 64 and fine.count() <= 4 * 64
+
+
+def test_counts_beyond_32_bits_are_kept():
+    big, small = np.array([1, 1 << 40]), np.array([1, 2])
+    assert ngrams._narrow(big).dtype == np.int64 and ngrams._narrow(small).dtype == np.uint32
