@@ -6,6 +6,8 @@ the driver: all folders of a batch go through the same plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,13 +206,14 @@ def _of_last(rows: DataFrame, last: DataFrame) -> DataFrame:
     return rows.join(last.select("folder", "slug"), ["folder", "slug"], "left_semi")
 
 
-def published(current: dict[str, DataFrame], bundles: dict[str, DataFrame], policy: str = "overwrite") -> dict[str, DataFrame]:
+def published(current: dict[str, DataFrame], bundles: dict[str, DataFrame], policy: str = "overwrite", hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """The archive's six tables (documents, authors, document_authors, document_pages, document_assets,
     document_metadata_snapshots) after bundles are published.
 
     Documents merge by slug and keep their ids, authors by sort name; pages, assets, snapshots and author links of the
     documents published are replaced. Of folders that share a slug the last counts. With the policy "skip", documents whose
-    slug is there already stay as they are.
+    slug is there already stay as they are. hold: keeps the new documents and authors, which the other tables are made from, in a
+    table, where all six are wanted.
     """
     docs = current["documents"]
     last = bundles["documents"].groupBy("slug").agg(F.max("folder").alias("folder"))
@@ -219,11 +222,11 @@ def published(current: dict[str, DataFrame], bundles: dict[str, DataFrame], poli
     incoming = {k: _of_last(df, last) for k, df in bundles.items()}
     merged = P.upsert(docs, incoming["documents"].drop("folder"), "slug")
     fresh = P.identities(merged.where("id IS NULL").drop("id"), docs, "slug")
-    documents = merged.where("id IS NOT NULL").unionByName(fresh)
+    documents = hold(merged.where("id IS NOT NULL").unionByName(fresh))
     ids = documents.join(last.select("slug"), "slug", "left_semi").select("slug", F.col("id").alias("document_id"))
     named = incoming["authors"].where("sort_name IS NOT NULL")
     authors = P.upsert(current["authors"], _last_author(named), "sort_name")
-    authors = authors.where("id IS NOT NULL").unionByName(P.identities(authors.where("id IS NULL").drop("id"), current["authors"], "sort_name"))
+    authors = hold(authors.where("id IS NOT NULL").unionByName(P.identities(authors.where("id IS NULL").drop("id"), current["authors"], "sort_name")))
     linked = named.join(ids, "slug").join(authors.select("sort_name", F.col("id").alias("author_id")), "sort_name").select("document_id", "author_id", F.lit(1).alias("ordinal"))
     child = lambda k, *drop: incoming[k].join(ids, "slug").drop("folder", "slug", *drop)
     assets = child("assets", "relative_path").dropDuplicates(["document_id", "storage_path"])

@@ -89,7 +89,7 @@ def _versioned(s: SparkSession, d: str) -> dict[str, DataFrame]:
     """The archive as readers have it after two versions of its six tables, the second made from the first."""
     root, new = scratch(s, "archive"), {k: held(df, k) for k, df in bundles(s, d).items()}
     snapshot.publish(_archive(s, new), root)
-    snapshot.publish(B.published(snapshot.read(s, root), new), root)
+    snapshot.publish(B.published(snapshot.read(s, root), new, hold=lambda df: held(df, "published")), root)
     return snapshot.read(s, root)
 
 

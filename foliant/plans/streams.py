@@ -125,5 +125,5 @@ ORACLE_SQL = {
     "browse_page_overview": CATALOG_SQL["archive_overview"],
     "browse_page_eras": CATALOG_SQL["era_sections"],
     "observed_stages": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-      SELECT 'lines' AS job, * FROM (SELECT 'read' AS stage, 0 AS seq, count(*) AS rows FROM documents UNION ALL SELECT 'split', 1, count(*) FROM l UNION ALL SELECT 'count', 2, count(DISTINCT doc_id) FROM l WHERE trim(line) <> '' UNION ALL SELECT 'complete', 3, NULL)""",
+      SELECT 'lines' AS job, * FROM (SELECT 'read' AS stage, 0::BIGINT AS seq, count(*) AS rows FROM documents UNION ALL SELECT 'split', 1, count(*) FROM l UNION ALL SELECT 'count', 2, count(DISTINCT doc_id) FROM l WHERE trim(line) <> '' UNION ALL SELECT 'complete', 3, NULL)""",
 }
