@@ -2,7 +2,7 @@
 
 Lines are job, at (any whole number that orders them), seq, line; ties of at and seq go by the line. A state of at most `most`
 lines a job is the ring that new ones push out of. Each task first keeps the last lines of a job in a batch of Arrow rows, so
-that no job sends more than `most` of them. Lines without job or text are dropped.
+that no job sends more than `most` of them. Lines without job or text are dropped; null at or seq counts as 0.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class Ring(StatefulProcessor):
 
 def tails(lines: DataFrame, most: int = SHOWN) -> DataFrame:
     """job, tail (an array, oldest first) of a stream of lines, whenever a job's tail changes."""
-    rows = lines.where("job IS NOT NULL AND line IS NOT NULL").select("job", F.col("at").cast("long").alias("at"), F.col("seq").cast("long").alias("seq"), "line")
+    rows = lines.where("job IS NOT NULL AND line IS NOT NULL").select("job", *(F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("at", "seq")), "line")
 
     def last_of_batch(batches):
         for b in batches:

@@ -2,7 +2,8 @@
 further input from it.
 
 Beats are job, stage, at, seq, threshold_sec. Before they are shuffled each task keeps the last beat of a job in a batch of
-Arrow rows, so a job with a large part of all beats sends few. Beats without job or time are dropped.
+Arrow rows, so a job with a large part of all beats sends few. Beats without job or time are dropped; one without threshold has
+the least that a run has, one without seq has 0.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _STATE = "stage string, at_us long, seq long, threshold_sec long, told boolean"
 _US = 1_000_000
+#: Seconds of silence that are allowed to any run. Fixed value.
+LEAST = 360
 
 
 class Silence(StatefulProcessor):
@@ -76,7 +79,7 @@ def alerts(beats: DataFrame, late: str = "1 hour", final: str = "complete", cloc
     By the event clock time passes with the watermark, `late` behind the latest beat of any job, and beats older than that are
     ignored; by the processing clock it passes by itself, also when no job sends anything.
     """
-    rows = beats.where("job IS NOT NULL AND at IS NOT NULL").select("job", "stage", F.unix_micros("at").alias("at_us"), F.col("seq").cast("long").alias("seq"), F.col("threshold_sec").cast("long").alias("threshold_sec"), "at")
+    rows = beats.where("job IS NOT NULL AND at IS NOT NULL").select("job", "stage", F.unix_micros("at").alias("at_us"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.coalesce(F.col("threshold_sec").cast("long"), F.lit(LEAST)).alias("threshold_sec"), "at")
     rows = rows.mapInPandas(_last_of_batch, rows.schema)
     if clock == "event":
         rows = rows.withWatermark("at", late)

@@ -66,7 +66,7 @@ def test_alerts_end_as_the_batch_rule(spark, tmp_path):
 
 def test_silence_by_the_processing_clock(spark, tmp_path):
     now = datetime.now(timezone.utc)
-    spark.createDataFrame([(1, "translation", now, 0, 1), (2, "complete", now, 0, 1), (None, "x", now, 0, 1), (3, "x", None, 0, 1)], BEATS).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(1, "translation", now, 0, 1), (2, "complete", now, 0, 1), (None, "x", now, 0, 1), (3, "x", None, 0, 1), (4, "x", now, None, None)], BEATS).write.parquet(f"{tmp_path}/in")
     out = f"{tmp_path}/out"
     q = state.maintain(watch.alerts(spark.readStream.schema(BEATS).parquet(f"{tmp_path}/in"), clock="processing"), out, f"{tmp_path}/c", "append", processingTime="1 second")
     try:
@@ -82,13 +82,13 @@ def test_silence_by_the_processing_clock(spark, tmp_path):
 
 def test_tails_keep_the_last_lines(spark, tmp_path):
     random.seed(6)
-    lines = [(random.choice("abc"), i // 3, i % 3, f"line {i}") for i in range(900)] + [(None, 1, 1, "x"), ("a", 2, 2, None), ("d", 1, 1, "")]
+    lines = [(random.choice("abc"), i // 3, i % 3, f"line {i}") for i in range(900)] + [(None, 1, 1, "x"), ("a", 2, 2, None), ("d", 1, 1, ""), ("d", None, None, "first")]
     random.shuffle(lines)
     schema, out, c = "job string, at long, seq long, line string", f"{tmp_path}/out", f"{tmp_path}/c"
     for r, part in enumerate((lines[:400], lines[400:])):
         spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/in/r={r}")
         logs.drain(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/r=*"), out, c, most=100).awaitTermination()
-    want = {j: [x for *_, x in sorted((a, s, x) for k, a, s, x in lines if k == j and x is not None)][-100:] for j in "abcd"}
+    want = {j: [x for *_, x in sorted((a or 0, s or 0, x) for k, a, s, x in lines if k == j and x is not None)][-100:] for j in "abcd"}
     got = lambda: {r.job: r.tail for r in logs.shown(spark, out).collect()}
     assert got() == want and len(want["a"]) == 100
     # The sink is told of the last batch once more, as after a failure between its end and the checkpoint.
