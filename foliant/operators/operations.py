@@ -63,7 +63,7 @@ def _get(v: Column, path: str, kind: str = "string") -> Column:
 def summary(files: DataFrame, as_of: str) -> DataFrame:
     """The state of every folder as of a time. Reports that are no JSON object count as absent values."""
     wide = reports(files)
-    objects = {k: F.when(F.coalesce(F.schema_of_variant(F.try_parse_json(k)).startswith("OBJECT"), F.lit(False)), F.try_parse_json(k)) for k in REPORTS}
+    objects = {k: F.when(F.col(k).rlike(r"^[ \t\n\r]*\{"), F.try_parse_json(k)) for k in REPORTS}
     v = wide.withColumns({f"_{k}": c for k, c in objects.items()}).drop(*REPORTS)
     q, s, p, m, r, o = (F.col(f"_{k}") for k in ("quality", "state", "publish", "metadata", "rights", "override"))
     strings = lambda c, path: F.coalesce(_get(c, path, "array<string>"), F.array().cast("array<string>"))
