@@ -4,9 +4,10 @@ Each turn becomes <|im_start|>role\\ntext<|im_end|>\\n. Prefix sums of the turns
 turns that fit the budget; each window holds the conversation's system turn (a first turn of role system), at most
 `history` earlier turns as far as they fit, and a span. History is repeated, so its targets are masked there: under the
 loss mask each assistant text counts once, in its own span. A turn that alone exceeds the budget gets a window of its
-own, whole; so does each turn beside a system turn that leaves it no room, for the system turn stays whatever its size.
-Where that makes too much of a very long one, `system_share` sets the largest share of the budget that is repeated; a
-longer system turn is then a turn like others.
+own, whole; so does each turn beside a system turn that leaves it no room. `system_share` is the largest share of the budget
+that a system turn may take to be repeated (half by default, so the windows hold twice the conversation's tokens, and its
+history, at most); a longer one is a turn like others. None repeats a system turn of any size: windows then grow with its
+size times the turns.
 
 Control strings inside roles and texts are escaped reversibly: in every <|...|> the bar after < is doubled for each
 level already there (<|im_end|> becomes <||im_end|>, <||x becomes <|||x), so no text can end a turn or start another.
@@ -79,7 +80,7 @@ _SCHEMA = "conv_id long, window int, first_turn int, n_new int, text string, los
 _ARROW = pa.schema([("conv_id", pa.int64()), ("window", pa.int32()), ("first_turn", pa.int32()), ("n_new", pa.int32()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
 
-def format_chats(turns: DataFrame, budget: int = 2048, history: int = 2, system_share: float | None = None) -> DataFrame:
+def format_chats(turns: DataFrame, budget: int = 2048, history: int = 2, system_share: float | None = 0.5) -> DataFrame:
     """Windows of all conversations: conv_id, window, first_turn and n_new (the turns new in it), text, loss (spans of text).
 
     Turns stream through a task in order; it never holds a whole conversation. system_share: None keeps every system turn.
