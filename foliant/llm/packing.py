@@ -27,9 +27,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import let, table, word_array, written
-from foliant.llm.tokens import encoder, slices
+from foliant.llm.common import lean, let, table, word_array, written
+from foliant.llm.tokens import Encoder, slices
 
+#: Bytes of text that a task encodes at once, and the pieces whose ids it keeps: what a worker holds goes with its task.
+_SLICE, _KEPT = 2 << 20, 100_000
 SCHEMA = "bin_id long, doc_id long, copy int, source string, piece int, start long, n_tokens long"
 
 
@@ -111,9 +113,9 @@ def _encoded(docs: DataFrame, path: str, text: str, end_id: int) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(path)
+        encode = Encoder(path, _KEPT)
         for b in batches:
-            for lo, hi in slices(b.column(2)):
+            for lo, hi in slices(b.column(2), _SLICE):
                 n, ids = encode.column(b.column(2).slice(lo, hi - lo))
                 closed = np.full(len(ids) + len(n), end_id, np.int32)
                 closed[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
@@ -121,7 +123,7 @@ def _encoded(docs: DataFrame, path: str, text: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:2]), pa.ListArray.from_arrays(bounds, pa.array(closed))], ["id", "key", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, key long, ids array<int>")
+    return rows.mapInArrow(lean(run), "id long, key long, ids array<int>")
 
 
 def units_of(docs: DataFrame, text: str = "text", cluster: Column | None = None) -> DataFrame:
@@ -136,20 +138,22 @@ def token_units(docs: DataFrame, path: str, text: str = "text", end_id: int = 0)
     for white space and the case of A-Z. key is a hash of the text."""
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")).alias("unit"), F.xxhash64(text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
+    def plain(t: pa.Scalar) -> bytes:
+        return b" ".join(t.as_py().encode("utf-8", "surrogatepass").lower().split())
+
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(path)
+        encode = Encoder(path, _KEPT)
         for b in batches:
-            for lo, hi in slices(b.column(2)):
+            for lo, hi in slices(b.column(2), _SLICE):
                 some = b.column(2).slice(lo, hi - lo)
                 n, _ = encode.column(some)
-                words = [t.as_py().encode("utf-8", "surrogatepass").lower().split() for t in some]
-                cluster = pa.array([xxhash.xxh64_intdigest(b" ".join(w)) - (1 << 63) if w else None for w in words], pa.int64())
+                cluster = pa.array([xxhash.xxh64_intdigest(w) - (1 << 63) if (w := plain(t)) else None for t in some], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:2]), pa.array(n + 1), cluster], ["unit", "key", "n_tokens", "cluster"])
 
-    return rows.mapInArrow(run, "unit struct<doc_id: long, source: string>, key long, n_tokens long, cluster long").select("unit.*", "n_tokens", "cluster", "key")
+    return rows.mapInArrow(lean(run), "unit struct<doc_id: long, source: string>, key long, n_tokens long, cluster long").select("unit.*", "n_tokens", "cluster", "key")
 
 
 def placed(pieces: DataFrame, docs: DataFrame, path: str, text: str = "text", end_id: int = 0) -> DataFrame:

@@ -279,11 +279,11 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def slices(texts: pa.Array):
-    """Bounds of runs of texts of about _SLICE bytes."""
+def slices(texts: pa.Array, most: int = _SLICE):
+    """Bounds of runs of texts of about `most` bytes."""
     size, a = np.cumsum(np.asarray(pc.binary_length(texts), np.int64)), 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + _SLICE, "right")))
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right")))
         yield a, b
         a = b
 
