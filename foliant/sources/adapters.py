@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CATALOG = r"""
 SELECT d.doc_id AS id, concat('doc-', cast(d.doc_id AS string)) AS slug,
@@ -41,8 +42,10 @@ FROM {documents} d, {lines} p WHERE p.doc_id = d.doc_id
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog of documents."""
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels")}
-    return spark.sql(CATALOG, **t)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    # No column holds more than a text's first 200 characters; cut before the join, whole texts aren't shuffled.
+    docs = docs.select("doc_id", F.substring("text", 1, 200).alias("text"), "lang", "source", "n_chars")
+    return spark.sql(CATALOG, documents=docs, labels=labels)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,11 +163,16 @@ def test_index_reads_few_blocks(spark, index):
     found = trigrams.search(spark, path, "10.1000/12 journal")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan and "In(gram" in plan
-    assert max(len(r.ids) for r in spark.read.parquet(f"{path}/grams").collect()) <= 64
+    assert max(len(r.places) for r in spark.read.parquet(f"{path}/grams").collect()) <= 2 * 64
     named = trigrams.candidates(spark, path, some).count()
     assert found.count() <= named < docs.count() / 10
 
 
+def test_index_of_nothing(spark, index, tmp_path):
+    trigrams.build(index[0].limit(0), str(tmp_path / "i"))
+    assert all(trigrams.search(spark, str(tmp_path / "i"), q).count() == 0 for q in ("", "author", "a"))
+
+
 @pytest.mark.parametrize("many", [0, 40, 10**6])
 def test_medians_are_exact(spark, many):
     random.seed(7)
