@@ -127,19 +127,23 @@ def latex_to_text(c: Column) -> Column:
 def split_pages(c: Column) -> Column:
     """The pages of a document, each wrapped as a document of its own."""
     pattern = r"(?s)^(.*?\\begin\{document\})(.*)\\end\{document\}\s*$"
-    head, body = F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)
-    chunks = F.filter(F.transform(F.split(body, r"\n\s*\\newpage\s*\n"), strip), lambda x: x != "")
-    docs = F.transform(chunks, lambda x: F.concat(head, F.lit("\n"), x, F.lit("\n" + _END)))
-    return F.when(c.rlike(pattern) & (F.size(chunks) > 0), docs).otherwise(F.array(c))
+
+    def cut(x: Column) -> Column:
+        chunks = F.filter(F.transform(F.split(F.regexp_extract(x, pattern, 2), r"\n\s*\\newpage\s*\n"), strip), lambda k: k != "")
+        # The head is taken once, not in each page's turn: that would read the document as often as it has pages.
+        wrapped = lambda ks: let(F.regexp_extract(x, pattern, 1), lambda head: F.transform(ks, lambda k: F.concat(head, F.lit("\n"), k, F.lit("\n" + _END))))
+        return F.when(x.rlike(pattern), let(chunks, lambda ks: F.when(F.size(ks) > 0, wrapped(ks))))
+
+    return let(c, lambda x: F.coalesce(cut(x), F.array(x)))
 
 
 def merge_pages(pages: Column) -> Column:
     """One document of several: the first page's preamble, all bodies. An array of one is that page; of none, null."""
     begin = r"(?s)^.*?\\begin\{document\}"
-    body = F.transform(pages, lambda p: F.when(p.contains(_BEGIN), strip(F.regexp_replace(F.regexp_replace(p, begin, ""), r"\\end\{document\}\s*$", ""))).otherwise(F.lit("")))
-    head = F.when(pages[0].contains(_BEGIN), F.regexp_extract(pages[0], begin, 0)).otherwise(pages[0])
-    joined = F.concat(head, F.lit("\n"), F.array_join(body, "\n\n\\newpage\n\n"), F.lit("\n" + _END))
-    return F.when(F.size(pages) == 1, pages[0]).when(F.size(pages) > 1, joined)
+    bodied = lambda p: F.when(p.contains(_BEGIN), strip(F.regexp_replace(F.regexp_replace(p, begin, ""), r"\\end\{document\}\s*$", ""))).otherwise(F.lit(""))
+    head = lambda p: F.when(p.contains(_BEGIN), F.regexp_extract(p, begin, 0)).otherwise(p)
+    joined = lambda ps: F.concat(head(ps[0]), F.lit("\n"), F.array_join(F.transform(ps, bodied), "\n\n\\newpage\n\n"), F.lit("\n" + _END))
+    return let(pages, lambda ps: F.when(F.size(ps) == 1, ps[0]).when(F.size(ps) > 1, joined(ps)))
 
 
 #: What surrounds a model's answer, in the order in which it is taken off. Fixed values.

@@ -177,14 +177,14 @@ def assembled(outputs: DataFrame, files: DataFrame, at: str, bucket: str = BUCKE
     root = F.concat(F.lit("documents/"), F.col("slug"), F.lit("/"))
     stored = files.join(named.select("folder", "slug"), "folder").withColumn("storage_bucket", F.lit(bucket))
     stored = stored.withColumn("storage_path", F.concat(root, X.storage_path(F.col("relative_path"), F.col("asset_type"), U.ascii_fold("relative_path"))))
-    docs = lambda c: F.transform(X.split_pages(F.col(c)), X.latex_to_text)
-    paired = named.select("folder", "slug", F.explode(P.page_texts(F.col("done"), docs("digitalized"), docs("korean"))).alias("p")).select("folder", "slug", "p.*")
+    texts = P.page_texts(F.col("done"), X.split_pages(F.col("digitalized")), X.split_pages(F.col("korean")))
+    paired = named.select("folder", "slug", F.explode(texts).alias("p")).select("folder", "slug", "p.page_number", *(X.latex_to_text(F.col(f"p.{c}")).alias(c) for c in ("digitalized_text", "korean_text")))
     assets = stored.select(F.col("folder").alias("document_id"), "relative_path", "storage_path", "asset_type")
-    paths = P.page_assets(paired.select(F.col("folder").alias("document_id"), "page_number"), assets).withColumnRenamed("document_id", "folder")
+    paths = P.page_assets(named.select(F.col("folder").alias("document_id"), F.explode("done").alias("page_number")), assets).withColumnRenamed("document_id", "folder")  # of numbers alone: no text is read for them
     pages = paired.join(paths, ["folder", "page_number"]).select("folder", "slug", "page_number", "image_path", F.col("tex_path").alias("digitalized_tex_path"), "digitalized_text", "korean_text", F.col("structure_path").alias("structure_json_path"))
     kinds = ("source_pdf", "digitalized_pdf", "korean_pdf")
     key = P.key_assets(assets).where(F.col("asset_type").isin(*kinds)).groupBy(F.col("document_id").alias("folder")).agg(*(F.max(F.when(F.col("asset_type") == k, F.col("storage_path"))).alias(f"{k}_path") for k in kinds))
-    cover = pages.join(named.select("folder", F.get("done", F.lit(0)).alias("page_number")), ["folder", "page_number"]).select("folder", F.col("image_path").alias("cover_image_path"))
+    cover = paths.join(named.select("folder", F.get("done", F.lit(0)).alias("page_number")), ["folder", "page_number"]).select("folder", F.col("image_path").alias("cover_image_path"))
     null = lambda kind: F.lit(None).cast(kind)
     rows = named.join(key, "folder", "left").join(cover, "folder", "left").select(
         "folder", "slug", "title", e["author"].alias("author_display"), e["publication_year"].alias("publication_year"), X.century_label(e["publication_year"]).alias("century_label"), e["language"].alias("language"),

@@ -78,7 +78,9 @@ def page_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
 
 def page_texts(numbers: Column, originals: Column, translations: Column) -> Column:
     """Pages with texts by their place in the lists, not by number; a missing text is empty."""
-    return F.transform(numbers, lambda n, i: F.struct(n.alias("page_number"), F.coalesce(F.get(originals, i), F.lit("")).alias("digitalized_text"), F.coalesce(F.get(translations, i), F.lit("")).alias("korean_text")))
+    text = lambda texts, i: F.coalesce(F.get(texts, i), F.lit(""))
+    paired = lambda o, t: F.transform(numbers, lambda n, i: F.struct(n.alias("page_number"), text(o, i).alias("digitalized_text"), text(t, i).alias("korean_text")))
+    return X.let(originals, lambda o: X.let(translations, lambda t: paired(o, t)))  # the lists are made once, not for each number
 
 
 def key_assets(assets: DataFrame) -> DataFrame:

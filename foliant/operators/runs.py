@@ -32,9 +32,9 @@ def initial_state(runs: DataFrame, prior: DataFrame, at: str) -> DataFrame:
 
 def page_groups(pages: Column, size: int) -> Column:
     """Pages in groups of `size`, in order; one group where there are no more than that."""
-    n = F.ceil(F.size(pages) / size).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(pages, i * size + 1, F.lit(size)))
-    return F.when(F.size(pages) > size, cut).otherwise(F.array(pages))
+    n = lambda ps: F.ceil(F.size(ps) / size).cast("int")
+    cut = lambda ps: F.transform(F.sequence(F.lit(0), n(ps) - 1), lambda i: F.slice(ps, i * size + 1, F.lit(size)))
+    return X.let(pages, lambda ps: F.when(F.size(ps) > size, cut(ps)).otherwise(F.array(ps)))  # made once, not for each group
 
 
 def translation_chunks(sources: DataFrame, key: str, source: Column, size: int) -> DataFrame:
