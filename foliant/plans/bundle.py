@@ -3,6 +3,8 @@ and their DuckDB SQL."""
 
 from __future__ import annotations
 
+from string import ascii_letters
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ _PLAINLY = (("[^A-Za-z \\n]", ""), ("\\n[ \\n]*\\n", "\\n"), ("^[ \\n]+|[ \\n]+$
 
 def plain(c: Column) -> Column:
     for pattern, to in _PLAINLY:
-        c = F.regexp_replace(c, pattern, to.replace("\\n", "\n"))
+        # Letters one by one: Java looks single characters up in a table, and asks ranges in turn.
+        c = F.regexp_replace(c, pattern.replace("A-Za-z", ascii_letters), to.replace("\\n", "\n"))
     return c
 
 
@@ -80,14 +83,19 @@ def _archive(s: SparkSession, new: dict[str, DataFrame]) -> dict[str, DataFrame]
     return {"documents": docs, "authors": authors, "document_authors": links, "document_pages": one("pages"), "document_assets": one("assets"), "document_metadata_snapshots": one("snapshots")}
 
 
+def _shared(new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Bundles with those in tables that all six tables of the archive are made from; the others are used in one of them, if at all."""
+    return new | {k: held(new[k], k) for k in ("documents", "authors")}
+
+
 def published(s: SparkSession, d: str, policy: str = "overwrite") -> dict[str, DataFrame]:
-    new = {k: held(df, k) for k, df in bundles(s, d).items()}
+    new = _shared(bundles(s, d))
     return B.published(_archive(s, new), new, policy)
 
 
 def _versioned(s: SparkSession, d: str) -> dict[str, DataFrame]:
     """The archive as readers have it after two versions of its six tables, the second made from the first."""
-    root, new = scratch(s, "archive"), {k: held(df, k) for k, df in bundles(s, d).items()}
+    root, new = scratch(s, "archive"), _shared(bundles(s, d))
     snapshot.publish(_archive(s, new), root)
     snapshot.publish(B.published(snapshot.read(s, root), new, hold=lambda df: held(df, "published")), root)
     return snapshot.read(s, root)

@@ -53,3 +53,14 @@ def test_texts_are_paired_in_one_pass(spark):
     took, got = seconds(docs.select(F.explode(P.page_texts(F.col("numbers"), texts, F.slice(texts, 1, 5))).alias("p")).select("p.*"))
     assert len(got) == n and got[4].korean_text == got[4].digitalized_text and got[5].korean_text == "" and got[n - 1].digitalized_text.startswith(f"line {n - 1}")
     assert took < 8  # the lists are made once, not for each number
+
+
+def test_tables_make_only_what_they_are_made_from(spark, monkeypatch):
+    kept = []
+    real = PB.held
+    monkeypatch.setattr(PB, "held", lambda df, name: kept.append(name) or real(df, name))
+    out = PB.published(spark, SF)
+    assert set(kept) == {"outputs", "documents", "authors"}  # no page's text is made for authors, links, assets or snapshots
+    for name in ("authors", "document_authors", "document_assets", "document_metadata_snapshots", "documents"):
+        assert "newpage" not in plan(out[name])
+    assert out["document_pages"].count() > 0
