@@ -31,7 +31,8 @@ def _folders(s: SparkSession, d: str) -> str:
     """An output folder for each supplier, with its reports, logs and PDFs as files."""
     root = scratch(s, "output")
     made = s.sql(FILES, documents=s.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS doc_id"))
-    sink.write(made.select(F.concat_ws("/", "folder", "path").alias("path"), F.col("content").cast("binary").alias("content")), root)
+    dealt = made.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "folder")  # the table is one task's; a folder's files go together
+    sink.write(dealt.select(F.concat_ws("/", "folder", "path").alias("path"), F.col("content").cast("binary").alias("content")), root)
     return root
 
 
@@ -51,7 +52,7 @@ def _written(s: SparkSession, d: str) -> DataFrame:
     slug = F.concat(F.lit("é-"), i.cast("string"))
     report = P.dry_run_report(slug, F.lit("b"), F.concat(F.lit("documents/"), slug), (i % 7).cast("int"), (i % 5).cast("int"), "skip")
     rows = s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("out-"), i.cast("string"), F.lit("/n_publish_report.json")).alias("path"), report.alias("content"))
-    sink.write(rows, root)
+    sink.write(rows.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "path"), root)
     read = s.read.text(root, wholetext=True, recursiveFileLookup=True)
     return read.select(F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)$", 1).alias("path"), F.col("value").alias("content"))
 

@@ -2,7 +2,7 @@
 
 Rows are path (below the root) and content: a string that holds JSON, a variant's text say, or binary. Tasks write into folders
 of their own below root/_staging-<run>; the commit moves the files of the tasks that Spark counts, and only these, to their
-places. So nothing shows before the job has succeeded, a failed job leaves nothing, and a task that ran twice leaves one file.
+places, a new folder's at once. Rows are best dealt by folder. So nothing shows before the job has succeeded, a failed job leaves nothing, and a task that ran twice leaves one file.
 Files that are there already are replaced, one by one. What tasks tell the driver is a folder's name each.
 
 A row without path or content is an error, and so are a path that leaves the root and one that a task gets twice; of one that two
@@ -15,6 +15,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
@@ -72,19 +73,31 @@ class _Writer(DataSourceWriter):
         from pyarrow import fs
 
         at, root = store(self.root)
+        there = at.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        old = {f.base_name for f in there}
         with ThreadPoolExecutor(16) as pool:
-            for m in messages:
-                if m is None:
-                    continue
-                found = [f.path for f in at.get_file_info(fs.FileSelector(m.folder, recursive=True)) if f.type == fs.FileType.File]
-                if len(found) != m.files:
-                    raise OSError(f"{len(found)} of {m.files} staged files are there")
-                places = [(f, f"{root}/{f[len(m.folder) + 1 :]}") for f in found]
-                for folder in {p.rpartition("/")[0] for _, p in places}:
-                    at.create_dir(folder, recursive=True)
-                list(pool.map(lambda x: at.move(*x), places))
+            list(pool.map(lambda m: self._place(at, root, m, old), (m for m in messages if m)))
         self._clear(at, root)
 
+    def _place(self, at, root: str, m: _Staged, old: set[str]) -> None:
+        """A folder that root doesn't have is moved as one, so that the driver's moves are as many as folders; else file by file."""
+        from pyarrow import fs
+
+        found = [f.path[len(m.folder) + 1 :] for f in at.get_file_info(fs.FileSelector(m.folder, recursive=True)) if f.type == fs.FileType.File]
+        if len(found) != m.files:
+            raise OSError(f"{len(found)} of {m.files} staged files are there")
+        moved = set()
+        for top in {f.partition("/")[0] for f in found if "/" in f} - old:
+            # Another task's folder may have come there meanwhile, and some stores have no folders to move.
+            with suppress(OSError, NotImplementedError):
+                at.move(f"{m.folder}/{top}", f"{root}/{top}")
+                moved.add(top)
+        left = [f for f in found if f.partition("/")[0] not in moved]
+        for folder in {f.rpartition("/")[0] for f in left} - {""}:
+            at.create_dir(f"{root}/{folder}", recursive=True)
+        for f in left:
+            at.move(f"{m.folder}/{f}", f"{root}/{f}")
+
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         self._clear(*store(self.root))
 

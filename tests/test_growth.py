@@ -8,6 +8,7 @@ from foliant.functions import text as X
 from foliant.operators import publish as P
 from foliant.operators import runs as N
 from foliant.plans import bundle as PB
+from foliant.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +65,35 @@ def test_tables_make_only_what_they_are_made_from(spark, monkeypatch):
     for name in ("authors", "document_authors", "document_assets", "document_metadata_snapshots", "documents"):
         assert "newpage" not in plan(out[name])
     assert out["document_pages"].count() > 0
+
+
+def test_a_new_folder_is_one_move(tmp_path, monkeypatch):
+    moves = []
+
+    class Counted:
+        def __init__(self, at):
+            self.at = at
+
+        def __getattr__(self, name):
+            return getattr(self.at, name)
+
+        def move(self, a, b):
+            moves.append((a, b))
+            self.at.move(a, b)
+
+    real = files.store
+    monkeypatch.setattr(files, "store", lambda path: (Counted(real(path)[0]), real(path)[1]))
+    files_of = lambda v, *folders: [{"path": f"{f}/sub/r{i}", "content": v} for f in folders for i in range(20)]
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old/kept").write_bytes(b"k")
+    w = files._Writer(str(tmp_path), 2)
+    staged = [w.write(iter(files_of(b"1", "a", "b", "old"))), w.write(iter(files_of(b"2", "c") + [{"path": "loose", "content": b"x"}])), None]
+    w.commit(staged)
+    assert len(moves) == 3 + 20 + 1  # new folders as one, the others' files and the loose one by one
+    assert {p.name for p in tmp_path.iterdir()} == {"a", "b", "c", "old", "loose"} and len(list(tmp_path.rglob("r*"))) == 80 and (tmp_path / "old/kept").read_bytes() == b"k"
+
+
+def test_two_tasks_share_a_folder(tmp_path):
+    w = files._Writer(str(tmp_path), 2)
+    w.commit([w.write(iter([{"path": f"a/s{t}/r", "content": b"1"}, {"path": f"a/x{t}", "content": b"1"}])) for t in range(8)])
+    assert len([p for p in tmp_path.rglob("*") if p.is_file()]) == 16 and [p.name for p in tmp_path.iterdir()] == ["a"]
