@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows the one before has kep
 last return the columns of documents as they are, whatever their names; columns that a stage computes on the way don't
 replace them. Rows whose doc_id is null pass the dedup stages. Of rows that repeat an id, those with unlike texts are
 documents of their own; of those with the same text one stays, the least by its JSON. Null texts count as empty ones. Other
-columns than those of documents go by names of their own within a stage, so names may hold anything.
+columns than those of documents go by names of their own within a stage, so names may hold anything. The stages bound the
+bytes of a batch that the session hands to Python, also for what is written after they return (common.BATCH_BYTES).
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ def of_documents(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.keep_batches_small(spark)
         names = {c if c in OWN else f"_column{i}": c for i, c in enumerate(docs.columns)}
         plain = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(n) for n, c in names.items()])
         return stage(spark, plain, sf_dir).select(*[F.col(n).alias(c) for n, c in names.items()])
@@ -85,6 +87,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their tokens, in bins of 2048 tokens."""
+    common.keep_batches_small(spark)
     docs = docs.select("doc_id", "source", "text")
     pieces = packing.pack(packing.token_units(docs, TOKENIZER))
     return packing.placed(pieces, docs, TOKENIZER).drop("key")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -77,10 +78,67 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of a batch that Spark hands to Python while operators write. Batches of its 64 MB leave executors and workers with
+#: memory that neither gives back: buffers beyond the pools' chunks of 4 MB come from malloc, which keeps what is freed.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+class _Narrow:
+    """Which sessions have small batches for now: how many threads want them, and the setting before. As _Owner, workers start
+    with one of their own."""
+
+    def __init__(self) -> None:
+        self.lock, self.held = threading.Lock(), {}
+
+    def __reduce__(self):
+        return _Narrow, ()
+
+
+_NARROW = _Narrow()
+
+
+def _wide(spark: SparkSession) -> bool:
+    return spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES
+
+
+def keep_batches_small(spark: SparkSession) -> None:
+    """small_batches() for the rest of the session: for applications whose lazy results are written after they return."""
+    with _NARROW.lock:
+        if _wide(spark):
+            spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of BATCH_BYTES at most, or one row, go to Python while this is open; the session's setting comes back when the
+    last of its threads has left."""
+    own = spark._jsparkSession.sessionUUID()
+    with _NARROW.lock:
+        n, before = _NARROW.held.get(own, (0, None))
+        if not n:
+            before = spark.conf.get(_BATCH, None)
+            if _wide(spark):
+                spark.conf.set(_BATCH, BATCH_BYTES)
+        _NARROW.held[own] = (n + 1, before)
+    try:
+        yield
+    finally:
+        with _NARROW.lock:
+            n, before = _NARROW.held.pop(own)
+            if n > 1:
+                _NARROW.held[own] = (n - 1, before)
+            elif before is None:
+                spark.conf.unset(_BATCH)
+            else:
+                spark.conf.set(_BATCH, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage ends there, and lost executors cost nothing."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
@@ -112,6 +170,7 @@ def lean(run):
             trim = lambda _: None
         for b in run(batches):
             yield b
+            b = None  # freed before the next is made
             trim(0)
         pa.default_memory_pool().release_unused()
         trim(0)

@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,7 +141,10 @@ def _planned(totals: DataFrame, weights: list[float], share: float, cap: float)
         whole = int(ratio + _EPS)
         frac = ratio - whole
         out.append((s, i, sizes[s], goal[s], whole, frac if _EPS < frac < 1 - _EPS else 0.0))
-    return totals.sparkSession.createDataFrame(out, "source string, group int, source_size long, target double, whole int, p double")
+    # As an Arrow table: rows of Python's would go through an RDD, whose workers executors start and keep beside the others.
+    kinds = {"source": pa.string(), "group": pa.int32(), "source_size": pa.int64(), "target": pa.float64(), "whole": pa.int32(), "p": pa.float64()}
+    columns = list(zip(*out)) or [()] * len(kinds)
+    return totals.sparkSession.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds)))
 
 
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float = 2.0, size: Column | None = None, block: int = 2000, seed: int = 11) -> DataFrame:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import lean, owner, shared_dir
+from foliant.llm.common import lean, owner, shared_dir, small_batches
 
 #: Odd multipliers for the places of a window, by splitmix64.
 MULTIPLIERS = []
@@ -101,7 +101,8 @@ def pack(docs: DataFrame, columns: list[str], buckets: int, target: int = 4_000_
 
     made = docs.select(*columns).mapInArrow(lean(run), "pack long, body binary")
     owner().tables.append(name)
-    made.write.bucketBy(buckets, "pack").option("path", shared_dir(spark)).saveAsTable(name)
+    with small_batches(spark):
+        made.write.bucketBy(buckets, "pack").option("path", shared_dir(spark)).saveAsTable(name)
     return spark.table(name)
 
 

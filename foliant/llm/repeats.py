@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from foliant.llm import packs as P
-from foliant.llm.common import lean, partitions, table, written
+from foliant.llm.common import BATCH_BYTES, lean, partitions, table, written
 
 _NO_ID = (1 << 63) - 1
 _LOW = np.uint64(0xFFFFFFFF)
@@ -50,9 +50,10 @@ class _Pack:
         self.sizes = np.array([len(h) for h in hashes], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.words = np.concatenate(hashes) if hashes else np.zeros((0, 2), np.uint64)
+        del hashes
         self.docs = np.array([_NO_ID if r[0] is None else r[0] for r in rows], np.int64)
-        place = np.arange(len(self.words)) - np.repeat(self.starts[:-1], self.sizes)
-        left = np.repeat(self.sizes, self.sizes) - place
+        place = (np.arange(len(self.words)) - np.repeat(self.starts[:-1], self.sizes)).astype(np.int32)
+        left = np.repeat(self.sizes.astype(np.int32), self.sizes) - place
         self.anchored = left >= self.k  # words at which a whole rolling window starts
         self.wide = left >= width
         n = len(self.words)
@@ -60,7 +61,9 @@ class _Pack:
         full = P.window_hashes(np.ascontiguousarray(self.words[:, 0]), self.k)
         grams[: len(full)] = full
         keys = _places(grams[self.anchored], buckets)
-        self.probes, self.inverse, self.counts = np.unique(keys, return_inverse=True, return_counts=True)
+        self.probes, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        self.inverse, self.counts = inverse.astype(np.int32), counts.astype(np.int32)  # numbers of a pack's words
+        del keys, grams, full, inverse, counts
         self.indexed = np.zeros(len(self.probes), bool)
         self.indexed[self.inverse[(place[self.anchored] % self.k) == 0]] = True
 
@@ -76,9 +79,9 @@ class _Pack:
         found, cuts = self.indexed & (self.counts > 1), _cuts(self.probes, self.buckets)
         for b, blob in answers:
             found[cuts[b] : cuts[b + 1]] |= np.unpackbits(P.unsqueeze(blob)[0], count=int(cuts[b + 1] - cuts[b])).astype(bool)
-        hit = np.zeros(len(self.words) + 1, np.int64)
+        hit = np.zeros(len(self.words) + 1, np.int32)
         hit[1:][self.anchored] = found[self.inverse]
-        total, n = np.cumsum(hit), len(self.words)
+        total, n = np.cumsum(hit, dtype=np.int32), len(self.words)
         ends = np.minimum(np.arange(n) + self.width - self.k + 1, n)
         self.at = np.nonzero(self.wide & (total[ends] > total[:n]))[0]
         low, high = (P.window_hashes(np.ascontiguousarray(self.words[:, c]), self.width, s) for c, s in ((0, 0), (1, 64)))
@@ -130,7 +133,7 @@ def _shared_anchors(held: list[tuple[int, bytes]]):
         at = np.minimum(np.searchsorted(index, keys), len(index) - 1)
         there = index[at] == keys
         times[at[there]] += 1
-        places.append((at, there))
+        places.append((at.astype(np.uint32), there))  # index has 32-bit values
     for (p, _, _), (at, there) in zip(sent, places):
         hit = there & (times[at] > 1)
         if hit.any():
@@ -187,13 +190,21 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+
+        def judged(rows: list[tuple], got: list[dict]) -> tuple[np.ndarray, list[int]]:
+            """Whether each word goes, and where documents start; the pack's arrays are freed before its rows are made."""
+            p = _Pack(rows, width, buckets)
+            p.take_anchors([(g["bucket"], g["blob"]) for g in got if g["bucket"] >= 0])
+            return p.removed([(-1 - g["bucket"], g["blob"]) for g in got if g["bucket"] < 0]), p.starts.tolist()
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
         for b in batches:
             for body, got in zip(b.column(1), b.column(2)):
-                rows, got = P.rows_of(body.as_py()), got.as_py() or []
-                p = _Pack(rows, width, buckets)
-                p.take_anchors([(g["bucket"], g["blob"]) for g in got if g["bucket"] >= 0])
-                goes, out = p.removed([(-1 - g["bucket"], g["blob"]) for g in got if g["bucket"] < 0]), []
-                for r, a, z in zip(rows, p.starts[:-1].tolist(), p.starts[1:].tolist()):
+                rows = P.rows_of(body.as_py())
+                (goes, starts), out, size = judged(rows, got.as_py() or []), [], 0
+                for r, a, z in zip(rows, starts, starts[1:]):
                     gone = goes[a:z]
                     words = (r[-1] or "").encode("utf-8", "surrogatepass").split()
                     kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
@@ -201,7 +212,12 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
                     edges = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
                     spans = [{"a": x, "b": y} for x, y in zip(edges[::2], edges[1::2])]
                     out.append((*r[:-1], body_text, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                    size += len(kept)
+                    if size >= BATCH_BYTES:
+                        yield batch(out)
+                        out, size = [], 0
+                if out:
+                    yield batch(out)
 
     return P.with_answers(packed, answers).mapInArrow(lean(cut), schema)
 
