@@ -293,11 +293,12 @@ PAGE_ASSETS = ((r"^page_\d{3}\.tex$", "page_tex"), (r"^page_\d{3}_structure\.jso
 MIME = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "json": "application/json", "tex": "text/x-tex", "txt": "text/plain"}
 
 
-def asset_type(path: Column, name: Column) -> Column:
+def asset_type(path: Column, name: Column, long: bool = False) -> Column:
+    """The kind of a file. Files of pages have three digits in their names; with long, three or more, for documents of over 999 pages."""
     rel = F.replace(path, F.lit("\\"), F.lit("/"))
     out = F.lit("artifact")
     for pattern, kind in reversed(PAGE_ASSETS):
-        out = F.when(rel.rlike(pattern), kind).otherwise(out)
+        out = F.when(rel.rlike(pattern.replace("{3}", "{3,}") if long else pattern), kind).otherwise(out)
     out = F.when(rel.startswith("images/"), "page_image").otherwise(out)
     for suffix, (kind, _) in reversed(NAMED_ASSETS.items()):
         out = F.when(F.lower(rel) == F.concat(F.lower(name), F.lit(suffix)), kind).otherwise(out)

@@ -83,9 +83,12 @@ def page_texts(numbers: Column, originals: Column, translations: Column) -> Colu
     return X.let(originals, lambda o: X.let(translations, lambda t: paired(o, t)))  # the lists are made once, not for each number
 
 
-def key_assets(assets: DataFrame) -> DataFrame:
-    """The stored path of each asset type; the last in order of paths holds, plain artifacts have none."""
-    return assets.where("asset_type <> 'artifact'").groupBy("document_id", "asset_type").agg(F.max_by("storage_path", "relative_path").alias("storage_path"))
+def key_assets(assets: DataFrame, order: str = "relative_path") -> DataFrame:
+    """The stored path of each asset type; the last in order of paths holds, plain artifacts have none.
+
+    As text page_1000 comes before page_999; where pages may be more than 999, order names a column that sorts them by number.
+    """
+    return assets.where("asset_type <> 'artifact'").groupBy("document_id", "asset_type").agg(F.max_by("storage_path", order).alias("storage_path"))
 
 
 def author_bridge(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
